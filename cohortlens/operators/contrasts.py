@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import decode_codes
-from cohortlens.functions.stats import mean_expr, quantile_exprs, rounded_ratio
+from cohortlens.functions.stats import QUANTILE_PROBS, mean_expr, quantile_exprs, rounded_ratio
+from cohortlens.operators.quantiles import exact_quantiles
 
 STAT_ORDER = ("n", "share", "avg", "min", "max", "median", "p25", "p75")
 
@@ -36,6 +37,12 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     """Per (cohort, level): ``n`` (COUNT(*)), share of the cohort, mean,
     min, max and quartiles of ``measure``.
 
+    ``method``: ``exact`` (``percentile``: per-group value->count map, for
+    measures with a bounded set of values such as minutes), ``approx``
+    (``percentile_approx``: bounded sketch, observed values) or
+    ``exact_sorted`` (``operators.quantiles.exact_quantiles``: exact for any
+    measure, no per-group state, costs a range shuffle and a checkpoint).
+
     Groups are formed on the raw codes and decoded afterwards, so the CASE
     for a label runs once per group.  Codes outside a codebook survive as a
     NULL-labelled group.  Output is sorted by (level code, cohort code)
@@ -51,10 +58,19 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     if "max" in stats:
         aggs["max"] = F.round(F.max(x).cast("double"), digits)
     qnames = [s for s in ("median", "p25", "p75") if s in stats]
-    if qnames:
+    if qnames and method != "exact_sorted":
         aggs.update(quantile_exprs(x, qnames, method, digits))
 
     grouped = df.groupBy(cohort, level).agg(*[e.alias(f"_{k}") for k, e in aggs.items()])
+    if qnames and method == "exact_sorted":
+        # Distributed exact quantiles (no per-group state); joined back on the
+        # group keys -- both sides hold one row per group.
+        q = exact_quantiles(df, [cohort, level], measure, {n: QUANTILE_PROBS[n] for n in qnames},
+                            digits=digits)
+        q = q.select(*[F.col(c).alias(f"_q_{c}") for c in (cohort, level)],
+                     *[F.col(n).alias(f"_{n}") for n in qnames])
+        cond = (grouped[cohort].eqNullSafe(q[f"_q_{cohort}"])) & (grouped[level].eqNullSafe(q[f"_q_{level}"]))
+        grouped = grouped.join(q, cond, "left").drop(f"_q_{cohort}", f"_q_{level}")
     if "share" in stats:
         grouped = grouped.withColumn("_share", share_within("_n", [cohort]))
 

@@ -570,3 +570,34 @@ def events_band_contrast(spark, sf_dir):
     ev = ev.withColumn("time_band", band_ranges("hhmm", S.TIME_BANDS))
     return C.contrast(ev, "event_type", "time_band", "amount_cents", stats=("n", "avg", "median"),
                       suffix="amount_cents")
+
+
+# ---- high-cardinality measure: order totals (exact without per-group state) ----
+
+_PRICE_GROUP = "o_orderstatus, o_orderpriority"
+
+
+@query("orders_price_quartiles",
+       f"SELECT {_PRICE_GROUP}, {N} AS n, round(quantile_cont(o_totalprice, 0.5), 4) AS median_totalprice, "
+       "round(quantile_cont(o_totalprice, 0.25), 4) AS p25_totalprice, "
+       f"round(quantile_cont(o_totalprice, 0.75), 4) AS p75_totalprice FROM orders GROUP BY {_PRICE_GROUP}")
+def orders_price_quartiles(spark, sf_dir):
+    o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
+    return C.contrast(o, "o_orderstatus", "o_orderpriority", "o_totalprice",
+                      stats=("n", "median", "p25", "p75"), method="exact_sorted", digits=4, suffix="totalprice")
+
+
+@query("orders_price_quartiles_approx",
+       f"SELECT {_PRICE_GROUP}, {N} AS n, CAST(quantile_disc(o_totalprice, 0.5) AS DOUBLE) AS median_totalprice, "
+       "CAST(quantile_disc(o_totalprice, 0.25) AS DOUBLE) AS p25_totalprice, "
+       f"CAST(quantile_disc(o_totalprice, 0.75) AS DOUBLE) AS p75_totalprice FROM orders GROUP BY {_PRICE_GROUP}")
+def orders_price_quartiles_approx(spark, sf_dir):
+    o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
+    return C.contrast(o, "o_orderstatus", "o_orderpriority", "o_totalprice",
+                      stats=("n", "median", "p25", "p75"), method="approx", suffix="totalprice")
+
+
+@query("distribution_contrast_sorted", ORACLE_CONTRASTS["distribution_contrast"])
+def distribution_contrast_sorted(spark, sf_dir):
+    """The flagship contrast with the distributed exact quantile path."""
+    return S.run_dimension(visits(spark, sf_dir), "distribution", "exact_sorted")
