@@ -63,9 +63,9 @@ def gap_extremes(gap_df: DataFrame, index: str, gap: str = "gap", by: Sequence[s
     base = (gap_df.filter(F.col(gap).isNotNull())
             .select(*by, index, gap, F.abs(F.col(gap)).alias("abs_gap"))
             .withColumn("_hi", F.max("abs_gap").over(w)).withColumn("_lo", F.min("abs_gap").over(w)))
-    wide = base.filter(F.col("abs_gap") == F.col("_hi")).withColumn("extreme", F.lit("widest"))
-    narrow = base.filter(F.col("abs_gap") == F.col("_lo")).withColumn("extreme", F.lit("narrowest"))
-    return (wide.unionByName(narrow).select(*by, "extreme", index, gap, "abs_gap")
+    tags = F.array_compact(F.array(F.when(F.col("abs_gap") == F.col("_hi"), F.lit("widest")),
+                                   F.when(F.col("abs_gap") == F.col("_lo"), F.lit("narrowest"))))
+    return (base.select(*by, F.explode(tags).alias("extreme"), index, gap, "abs_gap")
             .orderBy(*by, "extreme", F.asc_nulls_first(index)))
 
 

@@ -4,7 +4,9 @@ Shares of a grand total use a *scalar subquery* for the total
 (``DataFrame.scalar()``): one extra aggregate that yields exactly one value,
 instead of ``SUM(..) OVER ()`` which would move every group row into a single
 partition.  That keeps high-cardinality profiles (one row per distinct value)
-fully distributed.
+fully distributed.  The total is summed over the *grouped* rows, so adaptive
+execution reuses the grouping shuffle and the source is scanned once; it is
+projected once as a column before the exact-rounding arithmetic uses it.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ def grand_total(df: DataFrame) -> Column:
     return df.select(F.count(F.lit(1))).scalar()
 
 
+def with_share(df: DataFrame, n_col: str, total: Column, name: str, digits: int = 2) -> DataFrame:
+    """Add ``name = n * 100 / total`` (exact HALF_UP) for a scalar ``total``.
+    The scalar is projected once, so its subquery is planned once."""
+    return (df.withColumn("_total", total)
+            .withColumn(name, rounded_ratio(n_col, "_total", digits, factor=100)).drop("_total"))
+
+
 def frequency(df: DataFrame, column: str | Column, value_name: str = "value",
               pct_name: str = "pct_of_total", digits: int = 2,
               denominator: Column | None = None) -> DataFrame:
@@ -46,8 +55,8 @@ def frequency(df: DataFrame, column: str | Column, value_name: str = "value",
     """
     col = F.col(column) if isinstance(column, str) else column
     grouped = df.groupBy(col.alias(value_name)).agg(F.count(F.lit(1)).alias("n"))
-    total = denominator if denominator is not None else grand_total(df)
-    return grouped.withColumn(pct_name, rounded_ratio("n", total, digits, factor=100))
+    total = denominator if denominator is not None else grouped.select(F.sum("n")).scalar()
+    return with_share(grouped, "n", total, pct_name, digits)
 
 
 def top_values(df: DataFrame, column: str | Column, k: int = 20, value_name: str = "value",
@@ -59,7 +68,11 @@ def top_values(df: DataFrame, column: str | Column, k: int = 20, value_name: str
     plans the ``row_number <= k`` filter as a per-partition WindowGroupLimit,
     so only k rows per partition reach the single final sort.
     """
-    freq = frequency(df, column, value_name, pct_name, digits)
+    return top_of_profile(frequency(df, column, value_name, pct_name, digits), k, value_name)
+
+
+def top_of_profile(freq: DataFrame, k: int, value_name: str = "value") -> DataFrame:
+    """Top ``k`` rows of a frequency profile by ``n`` (ties by value), ranked."""
     w = Window.orderBy(F.desc("n"), F.asc_nulls_last(value_name))
     return (freq.withColumn("rank", F.row_number().over(w))
             .filter(F.col("rank") <= k)
@@ -72,12 +85,16 @@ def sentinel_hunt(df: DataFrame, column: str, codes: Sequence[int], value_name:
     share of the hunted rows and share of all rows."""
     hunted = df.filter(F.col(column).isin(list(codes)))
     grouped = hunted.groupBy(F.col(column).alias(value_name)).agg(F.count(F.lit(1)).alias("n"))
-    hunted_total = grand_total(hunted)
-    return grouped.select(
-        value_name, "n",
-        rounded_ratio("n", hunted_total, digits, factor=100).alias("pct_of_hunted"),
-        rounded_ratio("n", grand_total(df), digits, factor=100).alias("pct_of_total"),
-    )
+    out = with_share(grouped, "n", grouped.select(F.sum("n")).scalar(), "pct_of_hunted", digits)
+    return with_share(out, "n", grand_total(df), "pct_of_total", digits)
+
+
+def hunt_in_profile(freq: DataFrame, value_name: str, codes: Sequence[int], digits: int = 2) -> DataFrame:
+    """The sentinel hunt read off an existing frequency profile (no new scan
+    when the profile is computed anyway): suspect rows and their share of
+    the hunted rows."""
+    hunted = freq.filter(F.col(value_name).isin(list(codes))).select(value_name, "n")
+    return with_share(hunted, "n", hunted.select(F.sum("n")).scalar(), "pct_of_hunted", digits)
 
 
 def sentinel_summary(df: DataFrame, column: str, codes: Sequence[int], digits: int = 2) -> DataFrame:
@@ -94,7 +111,7 @@ def profile_subtotals(profile: DataFrame, value_name: str, excluded_codes: Seque
     keep_label, drop_label = labels
     cat = F.when(F.col(value_name).isin(list(excluded_codes)), F.lit(drop_label)).otherwise(F.lit(keep_label))
     sub = profile.groupBy(cat.alias("category")).agg(F.sum("n").cast("long").alias("n"))
-    return sub.withColumn("pct_of_total", rounded_ratio("n", sub.select(F.sum("n")).scalar(), digits, factor=100))
+    return with_share(sub, "n", sub.select(F.sum("n")).scalar(), "pct_of_total", digits)
 
 
 def range_check(df: DataFrame, column: str) -> DataFrame:

@@ -256,10 +256,11 @@ def stacked_profile(spark, sf_dir):
     def shape(df, name, block, pct="pct_of_total"):
         return df.select(F.lit(name).alias("column_name"), F.col("value").cast("string").alias("value"), "n",
                          F.col(pct).alias("pct_of_total"), F.lit(block).alias("block"))
+    wait = P.frequency(v, "WAITTIME")  # shared by the top-20 and the sentinel block
     blocks = [
         shape(P.frequency(v, "ARREMS"), "ARREMS", "arrival_distribution"),
-        shape(P.top_values(v, "WAITTIME", S.TOP_K), "WAITTIME", "waittime_top20"),
-        shape(P.sentinel_hunt(v, "WAITTIME", S.WAITTIME_SUSPECT_CODES), "WAITTIME_PLACEHOLDERS",
+        shape(P.top_of_profile(wait, S.TOP_K), "WAITTIME", "waittime_top20"),
+        shape(P.hunt_in_profile(wait, "value", S.WAITTIME_SUSPECT_CODES), "WAITTIME_PLACEHOLDERS",
               "placeholder_hunt", pct="pct_of_hunted"),
     ]
     return P.stack_blocks(blocks).orderBy("block", F.desc("n"))

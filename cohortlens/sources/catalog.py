@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def literal_rows(spark, rows: Sequence[tuple], schema: T.StructType):
+    """A small DataFrame of literal rows, built JVM-side (``inline`` of an
+    array of structs): no Python worker, no RDD, rows kept in order."""
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 _INVENTORY_SCHEMA = T.StructType([
     T.StructField("column_name", T.StringType(), False),
     T.StructField("data_type", T.StringType(), False),
@@ -23,8 +31,8 @@ _INVENTORY_SCHEMA = T.StructType([
 def column_inventory(df: DataFrame) -> DataFrame:
     """(column_name, data_type, ordinal_position) ordered by ordinal, 1-based."""
     rows = [(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema.fields, start=1)]
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, _INVENTORY_SCHEMA).orderBy("ordinal_position")
+    # Rows are built in ordinal order; a local relation keeps that order.
+    return literal_rows(df.sparkSession, rows, _INVENTORY_SCHEMA)
 
 
 def validate_schema(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
@@ -34,7 +42,7 @@ def validate_schema(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     """
     inv = {f.name: (f.dataType.simpleString(), i) for i, f in enumerate(df.schema.fields, start=1)}
     rows = []
-    for name, want in expected.items():
+    for name, want in sorted(expected.items()):
         got, pos = inv.get(name, (None, None))
         rows.append((name, got, want, pos, got == want))
     schema = T.StructType([
@@ -44,7 +52,7 @@ def validate_schema(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
         T.StructField("ordinal_position", T.IntegerType(), True),
         T.StructField("ok", T.BooleanType(), False),
     ])
-    return df.sparkSession.createDataFrame(rows, schema).orderBy("column_name")
+    return literal_rows(df.sparkSession, rows, schema)
 
 
 def required_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -56,7 +64,7 @@ def required_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
         T.StructField("present", T.BooleanType(), False),
         T.StructField("ordinal_position", T.IntegerType(), True),
     ])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return literal_rows(df.sparkSession, rows, schema)
 
 
 def dataset_shape(df: DataFrame, n_names: int = 10) -> DataFrame:
