@@ -9,8 +9,9 @@ never holds a group in one task:
    shuffle on (keys, value), so a hot group spreads by value;
 2. ``repartitionByRange`` on (keys, value): each partition holds one
    contiguous slice of the global (keys, value) order, and a hot group spans
-   many partitions; the slices are checkpointed (to ``spark.checkpoint.dir``)
-   so partition ids are stable and lineage is cut;
+   many partitions; the slices are written once as a table under
+   ``spark.checkpoint.dir`` with their partition id as a column, so ids are
+   stable and lineage is cut;
 3. per (partition, group) row counts -> a small table (at most
    #partitions + #groups rows) -> prefix offsets per group; the table is
    broadcast only after its row count is checked;
@@ -50,16 +51,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     equal to ``percentile(value, p)``.  NULL values are ignored; a group
     with no non-NULL value does not appear."""
     spark = df.sparkSession
-    scratch_dir(spark)  # make sure a checkpoint directory is configured
     keys = list(keys)
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(value).cast("double")
 
     hist = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
             .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    ranged = (hist.repartitionByRange(n_parts, *keys, "_v")
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    # Materialise the slices once as a table under the shared checkpoint
+    # folder: ``_pid`` becomes a stored column (stable under retries and
+    # re-reads) and the lineage is cut.  Only the column is relied upon later,
+    # never the physical partitioning of the re-read table.
+    path = scratch_dir(spark, "quantiles")
+    (hist.repartitionByRange(n_parts, *keys, "_v")
+     .withColumn("_pid", F.spark_partition_id())
+     .write.mode("error").parquet(path))
+    ranged = spark.read.parquet(path)
 
     part = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_pc"))
     by_group = Window.partitionBy(*keys)

@@ -41,12 +41,26 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+# The study defines its base relations once and reuses them in every step.
+# A DataFrame is an immutable logical plan, so one per (session, folder) is
+# shared by all queries; nothing is cached in memory by this.
+_BASE: dict[tuple, DataFrame] = {}
+
+
+def _shared(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    key = (kind, id(spark), sf_dir)
+    df = _BASE.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _BASE[key] = build()
+    return df
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.coded_visits(spark, sf_dir)
+    return _shared("visits", spark, sf_dir, lambda: B.coded_visits(spark, sf_dir))
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.clean_universe(visits(spark, sf_dir))
+    return _shared("clean", spark, sf_dir, lambda: S.clean_universe(visits(spark, sf_dir)))
 
 
 # SQL fragments ---------------------------------------------------------------
@@ -365,7 +379,7 @@ _DIMENSION_QUERIES = {
 
 def _dimension_query(dim: str, method: str) -> QueryFn:
     def fn(spark, sf_dir):
-        return S.run_dimension(visits(spark, sf_dir), dim, method)
+        return S.dimension_contrast(clean(spark, sf_dir), dim, method)
     return fn
 
 
@@ -424,7 +438,7 @@ _GAP_QUERIES = {
 
 def _gap_query(dim: str, index: str, rng) -> QueryFn:
     def fn(spark, sf_dir):
-        con = S.run_dimension(visits(spark, sf_dir), dim)
+        con = S.dimension_contrast(clean(spark, sf_dir), dim)
         if rng is not None:
             con = con.filter(F.col(index).between(*rng))
         return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS)
@@ -453,7 +467,7 @@ def _dims_sql() -> str:
 
 @query("study_all_dimensions", with_visits(_dims_sql()))
 def study_all_dimensions(spark, sf_dir):
-    return S.all_dimensions(visits(spark, sf_dir))
+    return S.all_dimensions(visits(spark, sf_dir), clean=clean(spark, sf_dir))
 
 
 _GAPS_CTE = (
@@ -480,7 +494,7 @@ def _with_gaps(body: str) -> str:
     "WHEN count_if(gap > 0) = count(*) THEN 'higher at every level' ELSE 'mixed' END AS verdict "
     "FROM gaps GROUP BY dimension"))
 def gap_verdict(spark, sf_dir):
-    return G.gap_verdict(S.gap_tables(visits(spark, sf_dir)), by=["dimension"])
+    return G.gap_verdict(S.gap_tables(visits(spark, sf_dir), clean=clean(spark, sf_dir)), by=["dimension"])
 
 
 @query("gap_extremes", _with_gaps(
@@ -490,7 +504,8 @@ def gap_verdict(spark, sf_dir):
     "UNION ALL SELECT dimension, 'narrowest', level, gap, abs(gap), "
     "min(abs(gap)) OVER (PARTITION BY dimension) FROM gaps WHERE gap IS NOT NULL) WHERE abs_gap = target"))
 def gap_extremes(spark, sf_dir):
-    return G.gap_extremes(S.gap_tables(visits(spark, sf_dir)), "level", by=["dimension"])
+    return G.gap_extremes(S.gap_tables(visits(spark, sf_dir), clean=clean(spark, sf_dir)), "level",
+                          by=["dimension"])
 
 
 @query("mean_median_divergence", _with_gaps(
@@ -498,7 +513,7 @@ def gap_extremes(spark, sf_dir):
     "walk_in AS median_walk_in, round(mean_ambulance - mean_walk_in, 1) AS mean_gap, "
     "gap AS median_gap, round(abs(gap - round(mean_ambulance - mean_walk_in, 1)), 1) AS divergence FROM gaps"))
 def mean_median_divergence(spark, sf_dir):
-    return S.divergence_table(visits(spark, sf_dir))
+    return S.divergence_table(visits(spark, sf_dir), clean=clean(spark, sf_dir))
 
 
 # ---- filtered statistics and scorecard (A15, P12, V1, V2, X7, F3) -------------
@@ -601,4 +616,4 @@ def orders_price_quartiles_approx(spark, sf_dir):
 @query("distribution_contrast_sorted", ORACLE_CONTRASTS["distribution_contrast"])
 def distribution_contrast_sorted(spark, sf_dir):
     """The flagship contrast with the distributed exact quantile path."""
-    return S.run_dimension(visits(spark, sf_dir), "distribution", "exact_sorted")
+    return S.dimension_contrast(clean(spark, sf_dir), "distribution", "exact_sorted")

@@ -121,10 +121,15 @@ DEFAULT_DIMENSION = "distribution"
 
 
 def run_dimension(visits: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact") -> DataFrame:
-    """The contrast of one dimension over the clean universe."""
+    """The contrast of one dimension over the clean universe of ``visits``."""
+    return dimension_contrast(clean_universe(visits), name, method)
+
+
+def dimension_contrast(clean: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact") -> DataFrame:
+    """The contrast of one dimension over an already-built clean universe."""
     d = DIMENSIONS[name]
     return contrast(
-        clean_universe(visits), COHORT, d.level, MEASURE, stats=d.stats, method=method,
+        clean, COHORT, d.level, MEASURE, stats=d.stats, method=method,
         cohort_labels=ARRIVAL_LABELS, level_labels=d.level_labels, cohort_name="arrival_method",
         level_name=d.level_name, share_name="pct_of_arrival_method", level_first=d.level_first,
         order_by=list(d.order_by) if d.order_by else None,
@@ -138,7 +143,7 @@ _SET_LEVELS = [("triage", "IMMEDR", TRIAGE_LABELS), ("time_of_day", "time_of_day
                ("boarding", "boarding_status", None), ("region", "REGION", REGION_LABELS)]
 
 
-def all_dimensions(visits: DataFrame, method: str = "exact") -> DataFrame:
+def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None) -> DataFrame:
     """Every dimension from one scan: ``GROUPING SETS`` over (cohort, level_i).
 
     The Expand that feeds the sets sits in the same codegen stage as the
@@ -146,7 +151,8 @@ def all_dimensions(visits: DataFrame, method: str = "exact") -> DataFrame:
     at most (#sets x #groups) partial states.  Output shape:
     (dimension, arrival_method, level, n, avg_wait_minutes, median_wait_minutes).
     """
-    cu = clean_universe(visits).withColumn("PAINSCALE_S", F.col("PAINSCALE").cast("string"))
+    cu = (clean if clean is not None else clean_universe(visits)) \
+        .withColumn("PAINSCALE_S", F.col("PAINSCALE").cast("string"))
     levels = [lvl if lvl != "PAINSCALE" else "PAINSCALE_S" for _, lvl, _ in _SET_LEVELS]
     dtype = cu.schema[MEASURE].dataType
     q = quantile_exprs(MEASURE, ["median"], method)
@@ -174,24 +180,24 @@ def labelled_visits(visits: DataFrame) -> DataFrame:
                                "in_clean": F.coalesce(keep_mask(CLEAN_RULES), F.lit(False))})
 
 
-def _gap_input(visits: DataFrame, method: str) -> DataFrame:
+def _gap_input(visits: DataFrame, method: str, clean: DataFrame | None = None) -> DataFrame:
     """All-dimension contrast rows that enter the gap family: every dimension
     but boarding, and pain scores 0-10 only (sentinel scores stay out)."""
-    dims = all_dimensions(visits, method)
+    dims = all_dimensions(visits, method, clean)
     lo, hi = PAIN_GAP_RANGE
     pain_ok = F.col("level").try_cast("int").between(lo, hi)
     return dims.filter((F.col("dimension") != "boarding")
                        & ((F.col("dimension") != "pain") | F.coalesce(pain_ok, F.lit(False))))
 
 
-def gap_tables(visits: DataFrame, method: str = "exact") -> DataFrame:
+def gap_tables(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None) -> DataFrame:
     """(dimension, level, ambulance, walk_in, gap) of medians for every
     dimension, from the single GROUPING SETS scan."""
-    return gap_table(_gap_input(visits, method), ["dimension", "level"], "arrival_method",
+    return gap_table(_gap_input(visits, method, clean), ["dimension", "level"], "arrival_method",
                      "median_wait_minutes", GAP_COHORTS)
 
 
-def divergence_table(visits: DataFrame, method: str = "exact") -> DataFrame:
+def divergence_table(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None) -> DataFrame:
     """Mean gap versus median gap per (dimension, level)."""
-    return mean_median_divergence(_gap_input(visits, method), ["dimension", "level"], "arrival_method",
+    return mean_median_divergence(_gap_input(visits, method, clean), ["dimension", "level"], "arrival_method",
                                   "avg_wait_minutes", "median_wait_minutes", GAP_COHORTS)
