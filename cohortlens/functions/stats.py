@@ -25,23 +25,45 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def rounded_ratio(num: str | Column, den: str | Column, digits: int, factor: int = 1) -> Column:
-    """``round(factor * num / den, digits)`` HALF_UP, exact for integral inputs.
-
-    q = (2*m*|num| + |den|) div (2*|den|) with m = factor * 10^digits, then
-    the sign is re-applied and q is scaled back.  NULL when ``den`` is 0 or
+def rounded_ratio(num: str | Column, den: str | Column, digits: int, factor: int = 1,
+                  rounding: str = "half_up") -> Column:
+    """``round(factor * num / den, digits)``, exact for integral inputs.
+
+    ``half_up`` (away from zero, the SQL flavour):
+    q = (2*m*|num| + |den|) div (2*|den|) with m = factor * 10^digits.
+    ``half_even`` (the pandas flavour): q = m*|num| div |den|, plus one when
+    the remainder is more than half of |den|, or exactly half and q is odd.
+    The sign is re-applied and q scaled back.  NULL when ``den`` is 0 or
     NULL (the ``try_divide`` contract, so ANSI mode never raises here).
     """
     num, den = _col(num), _col(den)
     m = factor * 10 ** digits
     a = F.abs(num).cast(_BIG)
     b = F.abs(den).cast(_BIG)
-    q = F.call_function("div", a * F.lit(2 * m).cast(_BIG) + b, b * F.lit(2).cast(_BIG))
+    if rounding == "half_up":
+        q = F.call_function("div", a * F.lit(2 * m).cast(_BIG) + b, b * F.lit(2).cast(_BIG))
+    elif rounding == "half_even":
+        scaled = a * F.lit(m).cast(_BIG)
+        f = F.call_function("div", scaled, b)
+        twice_rem = (scaled - f * b) * F.lit(2).cast(_BIG)
+        up = (twice_rem > b) | ((twice_rem == b) & (f % 2 == 1))
+        q = f + F.when(up, F.lit(1)).otherwise(F.lit(0)).cast(_BIG)
+    else:
+        raise ValueError(f"unknown rounding {rounding!r}")
     signed = F.when((num < 0) != (den < 0), -q).otherwise(q)
     return F.when(den != 0, signed.cast("double") / F.lit(float(10 ** digits))).cast("double")
 
 
-def mean_expr(c: str | Column, dtype: T.DataType, digits: int = 1) -> Column:
+def round_value(c: Column, digits: int, rounding: str = "half_up") -> Column:
+    """Round a floating value: ``round`` (HALF_UP) or ``bround`` (HALF_EVEN)."""
+    if rounding == "half_up":
+        return F.round(c, digits)
+    if rounding == "half_even":
+        return F.bround(c, digits)
+    raise ValueError(f"unknown rounding {rounding!r}")
+
+
+def mean_expr(c: str | Column, dtype: T.DataType, digits: int = 1, rounding: str = "half_up") -> Column:
     """Aggregate: the rounded mean of ``c`` (NULLs ignored, like AVG).
 
     Integral and decimal measures use the exact sum/count form; floating
@@ -49,16 +71,16 @@ def mean_expr(c: str | Column, dtype: T.DataType, digits: int = 1) -> Column:
     """
     c = _col(c)
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return rounded_ratio(F.sum(c), F.count(c), digits)
+        return rounded_ratio(F.sum(c), F.count(c), digits, rounding=rounding)
     if isinstance(dtype, T.DecimalType):
         unit = 10 ** dtype.scale
         units = (F.sum(c) * F.lit(unit)).cast(_BIG)
-        return rounded_ratio(units, F.count(c) * F.lit(unit), digits)
-    return F.round(F.avg(c), digits).cast("double")
+        return rounded_ratio(units, F.count(c) * F.lit(unit), digits, rounding=rounding)
+    return round_value(F.avg(c), digits, rounding).cast("double")
 
 
 def quantile_exprs(c: str | Column, names: Sequence[str], method: str = "exact",
-                   digits: int = 1, accuracy: int = 10000) -> dict[str, Column]:
+                   digits: int = 1, accuracy: int = 10000, rounding: str = "half_up") -> dict[str, Column]:
     """Aggregates for the requested quartile names (``p25``/``median``/``p75``).
 
     ``exact``  -- ``percentile`` (linear interpolation between order
@@ -75,7 +97,7 @@ def quantile_exprs(c: str | Column, names: Sequence[str], method: str = "exact",
     probs = [QUANTILE_PROBS[n] for n in names]
     if method == "exact":
         arr = F.percentile(c, probs)
-        return {n: F.round(arr[i], digits).cast("double") for i, n in enumerate(names)}
+        return {n: round_value(arr[i], digits, rounding).cast("double") for i, n in enumerate(names)}
     if method == "approx":
         arr = F.percentile_approx(c, probs, accuracy)
         return {n: arr[i].cast("double") for i, n in enumerate(names)}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import decode_codes
-from cohortlens.functions.stats import QUANTILE_PROBS, mean_expr, quantile_exprs, rounded_ratio
+from cohortlens.functions.stats import QUANTILE_PROBS, mean_expr, quantile_exprs, round_value, rounded_ratio
 from cohortlens.operators.quantiles import exact_quantiles
 
 STAT_ORDER = ("n", "share", "avg", "min", "max", "median", "p25", "p75")
@@ -33,7 +33,7 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
              cohort_labels: Mapping | None = None, level_labels: Mapping | None = None,
              cohort_name: str | None = None, level_name: str | None = None,
              share_name: str = "pct_of_cohort", level_first: bool = False,
-             order_by: Sequence[str] | None = None) -> DataFrame:
+             order_by: Sequence[str] | None = None, rounding: str = "half_up") -> DataFrame:
     """Per (cohort, level): ``n`` (COUNT(*)), share of the cohort, mean,
     min, max and quartiles of ``measure``.
 
@@ -43,6 +43,9 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     ``exact_sorted`` (``operators.quantiles.exact_quantiles``: exact for any
     measure, no per-group state, costs a range shuffle and a checkpoint).
 
+    ``rounding``: ``half_up`` (SQL flavour, default) or ``half_even``
+    (pandas flavour); it only matters for values ending in an exact half.
+
     Groups are formed on the raw codes and decoded afterwards, so the CASE
     for a label runs once per group.  Codes outside a codebook survive as a
     NULL-labelled group.  Output is sorted by (level code, cohort code)
@@ -52,27 +55,27 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     x = F.col(measure)
     aggs: dict[str, Column] = {"n": F.count(F.lit(1))}
     if "avg" in stats:
-        aggs["avg"] = mean_expr(x, dtype, digits)
+        aggs["avg"] = mean_expr(x, dtype, digits, rounding)
     if "min" in stats:
-        aggs["min"] = F.round(F.min(x).cast("double"), digits)
+        aggs["min"] = round_value(F.min(x).cast("double"), digits, rounding)
     if "max" in stats:
-        aggs["max"] = F.round(F.max(x).cast("double"), digits)
+        aggs["max"] = round_value(F.max(x).cast("double"), digits, rounding)
     qnames = [s for s in ("median", "p25", "p75") if s in stats]
     if qnames and method != "exact_sorted":
-        aggs.update(quantile_exprs(x, qnames, method, digits))
+        aggs.update(quantile_exprs(x, qnames, method, digits, rounding=rounding))
 
     grouped = df.groupBy(cohort, level).agg(*[e.alias(f"_{k}") for k, e in aggs.items()])
     if qnames and method == "exact_sorted":
         # Distributed exact quantiles (no per-group state); joined back on the
         # group keys -- both sides hold one row per group.
         q = exact_quantiles(df, [cohort, level], measure, {n: QUANTILE_PROBS[n] for n in qnames},
-                            digits=digits)
+                            digits=digits, rounding=rounding)
         q = q.select(*[F.col(c).alias(f"_q_{c}") for c in (cohort, level)],
                      *[F.col(n).alias(f"_{n}") for n in qnames])
         cond = (grouped[cohort].eqNullSafe(q[f"_q_{cohort}"])) & (grouped[level].eqNullSafe(q[f"_q_{level}"]))
         grouped = grouped.join(q, cond, "left").drop(f"_q_{cohort}", f"_q_{level}")
     if "share" in stats:
-        grouped = grouped.withColumn("_share", share_within("_n", [cohort]))
+        grouped = grouped.withColumn("_share", share_within("_n", [cohort], rounding=rounding))
 
     cohort_name = cohort_name or cohort
     level_name = level_name or level
@@ -86,10 +89,11 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     return out.orderBy(*keys).drop("_lvl", "_coh")
 
 
-def share_within(n_col: str, partition: Sequence[str], digits: int = 2) -> Column:
+def share_within(n_col: str, partition: Sequence[str], digits: int = 2, rounding: str = "half_up") -> Column:
     """``n * 100 / SUM(n) OVER (PARTITION BY partition)`` over *aggregated*
     rows (the window sees groups, never raw rows)."""
-    return rounded_ratio(n_col, F.sum(n_col).over(Window.partitionBy(*partition)), digits, factor=100)
+    return rounded_ratio(n_col, F.sum(n_col).over(Window.partitionBy(*partition)), digits, factor=100,
+                         rounding=rounding)
 
 
 def cohort_rate(df: DataFrame, cohort: str, predicate: Column, *, cohort_labels: Mapping | None = None,

@@ -31,6 +31,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.functions.stats import round_value
 from cohortlens.session import scratch_dir
 
 # Offsets tables up to this many rows are broadcast (a few tens of MB);
@@ -46,7 +47,8 @@ def _null_safe_join_cond(left: DataFrame, right: DataFrame, keys: Sequence[str])
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                    partitions: int | None = None, digits: int | None = None) -> DataFrame:
+                    partitions: int | None = None, digits: int | None = None,
+                    rounding: str = "half_up") -> DataFrame:
     """Per group of ``keys``: one column per ``probs`` entry (name -> p),
     equal to ``percentile(value, p)``.  NULL values are ignored; a group
     with no non-NULL value does not appear."""
@@ -113,5 +115,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         vlo, vhi = F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
         interp = (F.ceil(p) - p) * vlo + (p - F.floor(p)) * vhi
         q = F.when((F.floor(p) == F.ceil(p)) | (vlo == vhi), vlo).otherwise(interp)
-        out.append((F.round(q, digits) if digits is not None else q).cast("double").alias(n))
+        out.append((round_value(q, digits, rounding) if digits is not None else q).cast("double").alias(n))
     return grouped.select(*keys, *out)

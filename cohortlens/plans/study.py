@@ -120,16 +120,18 @@ DIMENSIONS: dict[str, Dimension] = {
 DEFAULT_DIMENSION = "distribution"
 
 
-def run_dimension(visits: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact") -> DataFrame:
+def run_dimension(visits: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact",
+                  rounding: str = "half_up") -> DataFrame:
     """The contrast of one dimension over the clean universe of ``visits``."""
-    return dimension_contrast(clean_universe(visits), name, method)
+    return dimension_contrast(clean_universe(visits), name, method, rounding)
 
 
-def dimension_contrast(clean: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact") -> DataFrame:
+def dimension_contrast(clean: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact",
+                       rounding: str = "half_up") -> DataFrame:
     """The contrast of one dimension over an already-built clean universe."""
     d = DIMENSIONS[name]
     return contrast(
-        clean, COHORT, d.level, MEASURE, stats=d.stats, method=method,
+        clean, COHORT, d.level, MEASURE, stats=d.stats, method=method, rounding=rounding,
         cohort_labels=ARRIVAL_LABELS, level_labels=d.level_labels, cohort_name="arrival_method",
         level_name=d.level_name, share_name="pct_of_arrival_method", level_first=d.level_first,
         order_by=list(d.order_by) if d.order_by else None,

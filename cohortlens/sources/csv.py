@@ -21,9 +21,16 @@ VISIT_SCHEMA = T.StructType([
 ])
 
 
-def read_visits_csv(spark: SparkSession, path: str, schema: T.StructType = VISIT_SCHEMA) -> DataFrame:
-    """Header CSV scan with an explicit schema (FAILFAST: a malformed row is an error)."""
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path))
+def read_visits_csv(spark: SparkSession, path: str, schema: T.StructType | None = VISIT_SCHEMA) -> DataFrame:
+    """Header CSV scan (FAILFAST: a malformed row is an error).
+
+    With ``schema=None`` the types are inferred like the study's own CSV
+    read; that costs one extra full pass over the files, so production reads
+    pass the schema.
+    """
+    reader = spark.read.option("header", True).option("mode", "FAILFAST")
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    return reader.csv(path)
 
 
 def csv_round_trip(spark: SparkSession, df: DataFrame, schema: T.StructType | None = None) -> DataFrame:

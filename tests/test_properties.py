@@ -111,3 +111,22 @@ def test_generic_contrast_on_decimal_measure(spark):
                                "c string, l int, x string").withColumn("x", F.col("x").cast("decimal(10,2)"))
     r = contrast(df, "c", "l", "x", stats=("n", "avg"), digits=2).first()
     assert r.avg_wait_minutes == 1.05  # 3.15 / 3 exactly
+
+
+def test_half_even_rounding_is_exact(spark):
+    rnd = random.Random(21)
+    pairs = [(rnd.randint(-10 ** 9, 10 ** 9), rnd.choice([2, 4, 8, 20, 40, 3, 7])) for _ in range(2000)]
+    pairs += [(25, 20), (35, 20), (-25, 20), (125, 100), (135, 100)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = df.select("a", "b", rounded_ratio("a", "b", 1, rounding="half_even").alias("r")).collect()
+    from decimal import ROUND_HALF_EVEN
+    for row in got:
+        want = float((Decimal(row.a) / Decimal(row.b)).quantize(Decimal("0.1"), ROUND_HALF_EVEN))
+        assert row.r == want, row
+
+
+def test_half_even_contrast_flavour(spark):
+    df = spark.createDataFrame([(1, 1, 1), (1, 1, 2)], "c int, l int, x int")
+    up = contrast(df, "c", "l", "x", stats=("p25",)).first().p25_wait_minutes
+    even = contrast(df, "c", "l", "x", stats=("p25",), rounding="half_even").first().p25_wait_minutes
+    assert (up, even) == (1.3, 1.2)

@@ -23,3 +23,12 @@ def test_inventory_and_validation(spark):
 def test_binding_scan_prunes_columns(spark):
     plan = coded_visits(spark, SF001).select("ARREMS")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint>" in plan
+
+
+def test_csv_with_inferred_types(spark):
+    from cohortlens.sources.csv import read_visits_csv
+    v = coded_visits(spark, SF001)
+    back = csv_round_trip(spark, v, VISIT_SCHEMA)
+    inferred = read_visits_csv(spark, back.inputFiles()[0].rsplit("/", 1)[0], schema=None)
+    assert dict(inferred.dtypes)["ARREMS"] == "int" and dict(inferred.dtypes)["PATWT"] == "double"
+    assert inferred.count() == v.count()
