@@ -20,7 +20,7 @@ from cohortlens.functions.labels import decode_codes
 from cohortlens.functions.stats import QUANTILE_PROBS, mean_expr, quantile_exprs, round_value, rounded_ratio
 from cohortlens.operators.quantiles import exact_quantiles
 
-STAT_ORDER = ("n", "share", "avg", "min", "max", "median", "p25", "p75")
+STAT_ORDER = ("n", "n_valid", "share", "avg", "min", "max", "median", "p25", "p75")
 
 
 def _labelled(code: str, labels: Mapping | None, name: str) -> Column:
@@ -34,8 +34,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
              cohort_name: str | None = None, level_name: str | None = None,
              share_name: str = "pct_of_cohort", level_first: bool = False,
              order_by: Sequence[str] | None = None, rounding: str = "half_up") -> DataFrame:
-    """Per (cohort, level): ``n`` (COUNT(*)), share of the cohort, mean,
-    min, max and quartiles of ``measure``.
+    """Per (cohort, level): ``n`` (COUNT(*)), ``n_valid`` (non-NULL measure
+    values), share of the cohort, mean, min, max and quartiles of ``measure``.
 
     ``method``: ``exact`` (``percentile``: per-group value->count map, for
     measures with a bounded set of values such as minutes), ``approx``
@@ -54,6 +54,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     dtype = df.schema[measure].dataType
     x = F.col(measure)
     aggs: dict[str, Column] = {"n": F.count(F.lit(1))}
+    if "n_valid" in stats:
+        aggs["n_valid"] = F.count(x)  # non-NULL measure values (pandas' count)
     if "avg" in stats:
         aggs["avg"] = mean_expr(x, dtype, digits, rounding)
     if "min" in stats:
@@ -82,7 +84,7 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     label_cols = [_labelled(cohort, cohort_labels, cohort_name), _labelled(level, level_labels, level_name)]
     if level_first:
         label_cols.reverse()
-    names = {"n": "n", "share": share_name}
+    names = {"n": "n", "n_valid": "n_valid", "share": share_name}
     stat_cols = [F.col(f"_{s}").alias(names.get(s, f"{s}_{suffix}")) for s in STAT_ORDER if s in stats]
     out = grouped.select(*label_cols, *stat_cols, F.col(level).alias("_lvl"), F.col(cohort).alias("_coh"))
     keys = list(order_by) if order_by else [F.asc_nulls_first("_lvl"), F.asc_nulls_first("_coh")]

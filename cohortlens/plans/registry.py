@@ -617,3 +617,19 @@ def orders_price_quartiles_approx(spark, sf_dir):
 def distribution_contrast_sorted(spark, sf_dir):
     """The flagship contrast with the distributed exact quantile path."""
     return S.dimension_contrast(clean(spark, sf_dir), "distribution", "exact_sorted")
+
+
+# ---- the production path: a stored visit table (pushdown + pruning) -----------
+
+@query("distribution_contrast_stored", ORACLE_CONTRASTS["distribution_contrast"])
+def distribution_contrast_stored(spark, sf_dir):
+    """The flagship contrast over the visits stored as parquet (written once
+    under the shared checkpoint folder): the exclusion rules are pushed into
+    the parquet reader and only the used columns are read."""
+    def build():
+        from cohortlens.session import scratch_dir
+        path = scratch_dir(spark, "visits")
+        visits(spark, sf_dir).write.mode("error").parquet(path)
+        return B.read_visits(spark, path)
+    stored = _shared("stored_visits", spark, sf_dir, build)
+    return S.run_dimension(stored, "distribution")

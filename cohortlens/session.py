@@ -41,7 +41,10 @@ def get_spark(master: str | None = None, app: str = "cohortlens",
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # Spark Connect
+        pass
     scratch_dir(spark)
     return spark
 
@@ -57,8 +60,11 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), f"cohortlens-ckpt-{uuid.uuid4().hex[:8]}")
         spark.conf.set(_CKPT_KEY, base)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext on the client; paths suffice
+        sc = None
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     if not parts:
         return base

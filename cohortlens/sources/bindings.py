@@ -76,6 +76,13 @@ def coded_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def read_visits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A stored visit table (any number of extra columns).  Operators select
+    what they use, so the scan reads only those columns, and the exclusion
+    rules reach the reader as pushed ``Not(In(...))`` filters."""
+    return spark.read.format(fmt).load(path)
+
+
 def lineitem_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Real columns of ``lineitem``: cohort = linestatus, level = linenumber,
     measure = quantity (whole units, held as int so sums are exact), share

@@ -32,3 +32,22 @@ def test_csv_with_inferred_types(spark):
     inferred = read_visits_csv(spark, back.inputFiles()[0].rsplit("/", 1)[0], schema=None)
     assert dict(inferred.dtypes)["ARREMS"] == "int" and dict(inferred.dtypes)["PATWT"] == "double"
     assert inferred.count() == v.count()
+
+
+def test_stored_visits_get_pushdown_and_pruning(spark):
+    from cohortlens.plans.registry import QUERIES
+    df = QUERIES["distribution_contrast_stored"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    start = plan.index("PushedFilters: [")
+    pushed = plan[start:plan.index("ReadSchema", start)]
+    for col in ("ARREMS", "WAITTIME", "IMMEDR"):
+        assert f"Not(In({col}, [" in pushed
+    assert "ReadSchema: struct<WAITTIME:int,ARREMS:int,IMMEDR:int>" in plan
+    assert sum(r.n for r in df.collect()) == 903
+
+
+def test_n_valid_counts_non_null_measure(spark):
+    from cohortlens.operators import contrast
+    df = spark.createDataFrame([(1, 1, 5), (1, 1, None), (1, 1, 7)], "c int, l int, x int")
+    r = contrast(df, "c", "l", "x", stats=("n", "n_valid", "avg")).first()
+    assert (r.n, r.n_valid, r.avg_wait_minutes) == (3, 2, 6.0)
