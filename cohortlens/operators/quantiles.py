@@ -46,6 +46,26 @@ def _null_safe_join_cond(left: DataFrame, right: DataFrame, keys: Sequence[str])
     return cond
 
 
+def value_slices(df: DataFrame, keys: Sequence[str], value: Column, n_parts: int) -> DataFrame:
+    """Steps 1-2: the (keys, value) histogram cut into ``n_parts`` contiguous
+    slices of the global (keys, value) order, as a stored table
+    ``(keys..., _v, _c, _pid)``.
+
+    The slices are written once under the shared checkpoint folder: ``_pid``
+    becomes a stored column (stable under retries and re-reads) and the
+    lineage is cut.  Only the column is relied upon later, never the
+    physical partitioning of the re-read table.
+    """
+    spark = df.sparkSession
+    hist = (df.select(*keys, value.alias("_v")).filter(F.col("_v").isNotNull())
+            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    path = scratch_dir(spark, "quantiles")
+    (hist.repartitionByRange(n_parts, *keys, "_v")
+     .withColumn("_pid", F.spark_partition_id())
+     .write.mode("error").parquet(path))
+    return spark.read.parquet(path)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
                     partitions: int | None = None, digits: int | None = None,
                     rounding: str = "half_up") -> DataFrame:
@@ -57,17 +77,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     v = F.col(value).cast("double")
 
-    hist = (df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-            .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    # Materialise the slices once as a table under the shared checkpoint
-    # folder: ``_pid`` becomes a stored column (stable under retries and
-    # re-reads) and the lineage is cut.  Only the column is relied upon later,
-    # never the physical partitioning of the re-read table.
-    path = scratch_dir(spark, "quantiles")
-    (hist.repartitionByRange(n_parts, *keys, "_v")
-     .withColumn("_pid", F.spark_partition_id())
-     .write.mode("error").parquet(path))
-    ranged = spark.read.parquet(path)
+    ranged = value_slices(df, keys, v, n_parts)
 
     part = ranged.groupBy("_pid", *keys).agg(F.sum("_c").alias("_pc"))
     by_group = Window.partitionBy(*keys)
