@@ -98,7 +98,9 @@ def dataset_shape(spark, sf_dir):
 _HEAD = ", ".join(S.HEAD_COLUMNS)
 
 
-@query("head_sample", with_visits(f"SELECT {_HEAD} FROM visits ORDER BY {_HEAD} LIMIT 3", clean=False))
+@query("head_sample", with_visits(
+    f"SELECT {_HEAD} FROM visits ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in S.HEAD_COLUMNS)} LIMIT 3",
+    clean=False))
 def head_sample(spark, sf_dir):
     return CAT.head_sample(visits(spark, sf_dir), S.HEAD_COLUMNS, 3)
 

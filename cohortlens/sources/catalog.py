@@ -82,7 +82,7 @@ def dataset_shape(df: DataFrame, n_names: int = 10) -> DataFrame:
 
 def head_sample(df: DataFrame, columns: Sequence[str], n: int = 3,
                 order_by: Sequence[str] | None = None) -> DataFrame:
-    """First ``n`` rows of a projection, ordered for determinism
-    (``TakeOrderedAndProject``: each task keeps n rows, one merge)."""
+    """First ``n`` rows of a projection, ordered for determinism (ascending,
+    NULLs first) -- ``TakeOrderedAndProject``: each task keeps n rows, one merge."""
     keys = list(order_by or columns)
-    return df.select(*columns).orderBy(*keys).limit(n)
+    return df.select(*columns).orderBy(*[F.asc_nulls_first(k) for k in keys]).limit(n)
