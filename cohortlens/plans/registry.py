@@ -13,19 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.labels import band_ranges, decode_codes
+from cohortlens.functions.labels import band_ranges
 from cohortlens.functions.stats import weekday_of
 from cohortlens.operators import contrasts as C
-from cohortlens.operators import gaps as G
-from cohortlens.operators import profile as P
 from cohortlens.operators import rules as R
-from cohortlens.operators.scorecard import scorecard, scorecard_summary
 from cohortlens.plans import checks as K
+from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
 from cohortlens.plans.oracle import avg1, r, with_visits
 from cohortlens.sources import bindings as B
-from cohortlens.sources import catalog as CAT
-from cohortlens.sources.csv import csv_round_trip
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -63,6 +59,11 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shared("clean", spark, sf_dir, lambda: S.clean_universe(visits(spark, sf_dir)))
 
 
+def _study(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A study step (``plans.steps``) over the coded binding of ``sf_dir``."""
+    return T.STEPS[name](visits(spark, sf_dir), clean(spark, sf_dir))
+
+
 # SQL fragments ---------------------------------------------------------------
 TWO_LAYER_SQL = "ARREMS NOT IN (-9, -8) AND WAITTIME NOT IN (-9, -7, 99)"
 CLEAN_SQL = TWO_LAYER_SQL + " AND IMMEDR NOT IN (-9, -8, 0, 7)"
@@ -79,20 +80,19 @@ def _int_list(xs) -> str:
 
 @query("scan_visits", with_visits("SELECT * FROM visits", clean=False))
 def scan_visits(spark, sf_dir):
-    return visits(spark, sf_dir)
+    return _study(spark, sf_dir, "scan_visits")
 
 
 @query("csv_scan", with_visits("SELECT * FROM visits", clean=False))
 def csv_scan(spark, sf_dir):
-    from cohortlens.sources.csv import VISIT_SCHEMA
-    return csv_round_trip(spark, visits(spark, sf_dir), VISIT_SCHEMA)
+    return _study(spark, sf_dir, "csv_scan")
 
 
 @query("dataset_shape", with_visits(
     f"SELECT {N} AS n_rows, CAST(15 AS INTEGER) AS n_columns, "
     f"'{', '.join(S.CORE_COLUMNS[:10])}' AS first_columns FROM visits", clean=False))
 def dataset_shape(spark, sf_dir):
-    return CAT.dataset_shape(visits(spark, sf_dir))
+    return _study(spark, sf_dir, "dataset_shape")
 
 
 _HEAD = ", ".join(S.HEAD_COLUMNS)
@@ -102,7 +102,7 @@ _HEAD = ", ".join(S.HEAD_COLUMNS)
     f"SELECT {_HEAD} FROM visits ORDER BY {', '.join(c + ' ASC NULLS FIRST' for c in S.HEAD_COLUMNS)} LIMIT 3",
     clean=False))
 def head_sample(spark, sf_dir):
-    return CAT.head_sample(visits(spark, sf_dir), S.HEAD_COLUMNS, 3)
+    return _study(spark, sf_dir, "head_sample")
 
 
 _TYPES = {c: ("double" if c in ("PATWT", "EDWT") else "int") for c in S.CORE_COLUMNS}
@@ -113,20 +113,20 @@ _POS = {c: i for i, c in enumerate(S.CORE_COLUMNS, start=1)}
     f"('{c}', '{_TYPES[c]}', {_POS[c]})" for c in S.CORE_COLUMNS)
     + ") AS t(column_name, data_type, ordinal_position)")
 def column_inventory(spark, sf_dir):
-    return CAT.column_inventory(visits(spark, sf_dir))
+    return _study(spark, sf_dir, "column_inventory")
 
 
 @query("schema_validation", "SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', 'int', 'int', {_POS[c]}, true)" for c in S.SCHEMA_CHECK_COLUMNS)
     + ") AS t(column_name, data_type, expected_type, ordinal_position, ok)")
 def schema_validation(spark, sf_dir):
-    return CAT.validate_schema(visits(spark, sf_dir), {c: "int" for c in S.SCHEMA_CHECK_COLUMNS})
+    return _study(spark, sf_dir, "schema_validation")
 
 
 @query("required_columns", "SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', true, {_POS[c]})" for c in S.CORE_COLUMNS) + ") AS t(column_name, present, ordinal_position)")
 def required_columns(spark, sf_dir):
-    return CAT.required_columns(visits(spark, sf_dir), S.CORE_COLUMNS)
+    return _study(spark, sf_dir, "required_columns")
 
 
 # ---- counts, rules, waterfall (A1-A6, P4, P5, P11, P21, V3) ------------------
@@ -136,17 +136,17 @@ def required_columns(spark, sf_dir):
     + ", ".join(f"CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_{c.lower()}" for c in S.CARDINALITY_COLUMNS)
     + " FROM visits", clean=False))
 def cardinality_baseline(spark, sf_dir):
-    return P.cardinality(visits(spark, sf_dir), S.CARDINALITY_COLUMNS)
+    return _study(spark, sf_dir, "cardinality_baseline")
 
 
 @query("clean_universe_two_layer", with_visits(f"SELECT * FROM visits WHERE {TWO_LAYER_SQL}", clean=False))
 def clean_universe_two_layer(spark, sf_dir):
-    return R.exclude_codes(visits(spark, sf_dir), S.TWO_LAYER_RULES)
+    return _study(spark, sf_dir, "clean_universe_two_layer")
 
 
 @query("clean_universe", with_visits("SELECT * FROM clean"))
 def clean_universe(spark, sf_dir):
-    return clean(spark, sf_dir)
+    return _study(spark, sf_dir, "clean_universe")
 
 
 _A_EX, _W_EX = "ARREMS IN (-9, -8)", "WAITTIME IN (-9, -7, 99)"
@@ -159,7 +159,7 @@ _A_EX, _W_EX = "ARREMS IN (-9, -8)", "WAITTIME IN (-9, -7, 99)"
     f" AS multi_rule_excluded, CAST(count_if({TWO_LAYER_SQL}) AS BIGINT) AS clean_universe, "
     f"{r(f'count_if({TWO_LAYER_SQL})', 'count(*)', 2, 100)} AS clean_pct_of_total FROM visits", clean=False))
 def exclusion_waterfall(spark, sf_dir):
-    return R.waterfall(visits(spark, sf_dir), S.TWO_LAYER_RULES)
+    return _study(spark, sf_dir, "exclusion_waterfall")
 
 
 @query("final_universe", with_visits(
@@ -169,7 +169,7 @@ def exclusion_waterfall(spark, sf_dir):
     f"{r(f'count(*) - count_if({CLEAN_SQL})', 'count(*)', 2, 100)} AS total_excluded_pct FROM visits",
     clean=False))
 def final_universe(spark, sf_dir):
-    return R.final_universe(visits(spark, sf_dir), S.CLEAN_RULES)
+    return _study(spark, sf_dir, "final_universe")
 
 
 _LAYERS = [("ARREMS + WAITTIME", S.TWO_LAYER_RULES), ("IMMEDR", S.IMMEDR_RULE)]
@@ -184,7 +184,7 @@ _LAYERS = [("ARREMS + WAITTIME", S.TWO_LAYER_RULES), ("IMMEDR", S.IMMEDR_RULE)]
     "UNION ALL SELECT 1, 'ARREMS + WAITTIME', s1, s0 - s1, s0 FROM s "
     "UNION ALL SELECT 2, 'IMMEDR', s2, s1 - s2, s0 FROM s)", clean=False))
 def layer_accounting(spark, sf_dir):
-    return R.layer_accounting(visits(spark, sf_dir), _LAYERS)
+    return _study(spark, sf_dir, "layer_accounting")
 
 
 # ---- profiles (A7-A11, A20, O5, O6, W1, W3, W4, U1, U2, P3, P6, X1) ------------
@@ -192,15 +192,14 @@ def layer_accounting(spark, sf_dir):
 @query("frequency_profile", with_visits(
     f"SELECT ARREMS AS value, {N} AS n, {PCT_ALL} AS pct_of_total FROM visits GROUP BY ARREMS", clean=False))
 def frequency_profile(spark, sf_dir):
-    return P.frequency(visits(spark, sf_dir), "ARREMS").orderBy(F.desc("n"))
+    return _study(spark, sf_dir, "frequency_profile")
 
 
 @query("triage_profile", with_visits(
     f"SELECT IMMEDR AS triage_level, {N} AS n, {PCT_ALL} AS pct_of_total FROM visits "
     f"WHERE {TWO_LAYER_SQL} GROUP BY IMMEDR", clean=False))
 def triage_profile(spark, sf_dir):
-    two = R.exclude_codes(visits(spark, sf_dir), S.TWO_LAYER_RULES)
-    return P.frequency(two, "IMMEDR", value_name="triage_level").orderBy("triage_level")
+    return _study(spark, sf_dir, "triage_profile")
 
 
 @query("profile_subtotals", with_visits(
@@ -209,8 +208,7 @@ def triage_profile(spark, sf_dir):
     "SELECT CASE WHEN IMMEDR IN (-9, -8, 0, 7) THEN 'excluded' ELSE 'legitimate' END AS category, "
     f"count(*) AS n FROM visits WHERE {TWO_LAYER_SQL} GROUP BY IMMEDR) GROUP BY category", clean=False))
 def profile_subtotals(spark, sf_dir):
-    prof = triage_profile(spark, sf_dir)
-    return P.profile_subtotals(prof, "triage_level", S.IMMEDR_RULE["IMMEDR"])
+    return _study(spark, sf_dir, "profile_subtotals")
 
 
 _SHORT_DAY_SQL = "CASE VDAYR " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.WEEKDAY_SHORT.items()) + " END"
@@ -220,9 +218,7 @@ _SHORT_DAY_SQL = "CASE VDAYR " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.W
     f"SELECT VDAYR AS vdayr, {_SHORT_DAY_SQL} AS label, {N} AS n, {PCT_ALL} AS pct_of_total "
     "FROM clean GROUP BY VDAYR"))
 def weekday_profile(spark, sf_dir):
-    freq = P.frequency(clean(spark, sf_dir), "VDAYR", value_name="vdayr")
-    return (freq.select("vdayr", decode_codes("vdayr", S.WEEKDAY_SHORT).alias("label"), "n", "pct_of_total")
-            .orderBy("vdayr"))
+    return _study(spark, sf_dir, "weekday_profile")
 
 
 _SUSPECT = _int_list(S.WAITTIME_SUSPECT_CODES)
@@ -233,14 +229,14 @@ _SUSPECT = _int_list(S.WAITTIME_SUSPECT_CODES)
     f"{r('count(*)', '(SELECT count(*) FROM visits)', 2, 100)} AS pct_of_total "
     f"FROM visits WHERE WAITTIME IN ({_SUSPECT}) GROUP BY WAITTIME", clean=False))
 def sentinel_hunt(spark, sf_dir):
-    return P.sentinel_hunt(visits(spark, sf_dir), "WAITTIME", S.WAITTIME_SUSPECT_CODES).orderBy(F.desc("n"))
+    return _study(spark, sf_dir, "sentinel_hunt")
 
 
 @query("sentinel_summary", with_visits(
     f"SELECT CAST(count_if(WAITTIME IN ({_SUSPECT})) AS BIGINT) AS sentinel_rows, {N} AS total_records, "
     f"{r(f'count_if(WAITTIME IN ({_SUSPECT}))', 'count(*)', 2, 100)} AS pct_of_total FROM visits", clean=False))
 def sentinel_summary(spark, sf_dir):
-    return P.sentinel_summary(visits(spark, sf_dir), "WAITTIME", S.WAITTIME_SUSPECT_CODES)
+    return _study(spark, sf_dir, "sentinel_summary")
 
 
 def _top_sql(col: str, source: str, k: int = S.TOP_K) -> str:
@@ -251,12 +247,12 @@ def _top_sql(col: str, source: str, k: int = S.TOP_K) -> str:
 
 @query("top_values", with_visits(_top_sql("WAITTIME", "visits"), clean=False))
 def top_values(spark, sf_dir):
-    return P.top_values(visits(spark, sf_dir), "WAITTIME", S.TOP_K)
+    return _study(spark, sf_dir, "top_values")
 
 
 @query("top_arrival_times", with_visits(_top_sql("ARRTIME", "clean")))
 def top_arrival_times(spark, sf_dir):
-    return P.top_values(clean(spark, sf_dir), "ARRTIME", S.TOP_K)
+    return _study(spark, sf_dir, "top_arrival_times")
 
 
 @query("stacked_profile", with_visits(
@@ -267,43 +263,27 @@ def top_arrival_times(spark, sf_dir):
     f"UNION ALL SELECT 'WAITTIME_PLACEHOLDERS', CAST(WAITTIME AS VARCHAR), {N}, {PCT_ALL}, 'placeholder_hunt' "
     f"FROM visits WHERE WAITTIME IN ({_SUSPECT}) GROUP BY WAITTIME", clean=False))
 def stacked_profile(spark, sf_dir):
-    v = visits(spark, sf_dir)
-
-    def shape(df, name, block, pct="pct_of_total"):
-        return df.select(F.lit(name).alias("column_name"), F.col("value").cast("string").alias("value"), "n",
-                         F.col(pct).alias("pct_of_total"), F.lit(block).alias("block"))
-    wait = P.frequency(v, "WAITTIME")  # shared by the top-20 and the sentinel block
-    blocks = [
-        shape(P.frequency(v, "ARREMS"), "ARREMS", "arrival_distribution"),
-        shape(P.top_of_profile(wait, S.TOP_K), "WAITTIME", "waittime_top20"),
-        shape(P.hunt_in_profile(wait, "value", S.WAITTIME_SUSPECT_CODES), "WAITTIME_PLACEHOLDERS",
-              "placeholder_hunt", pct="pct_of_hunted"),
-    ]
-    return P.stack_blocks(blocks).orderBy("block", F.desc("n"))
+    return _study(spark, sf_dir, "stacked_profile")
 
 
 @query("stacked_profile_clean", with_visits(
     "SELECT 'ARRTIME' AS column_name, value, n, pct_of_total FROM (" + _top_sql("ARRTIME", "clean") + ") "
     f"UNION ALL SELECT 'VDAYR', VDAYR, {N}, {PCT_ALL} FROM clean GROUP BY VDAYR"))
 def stacked_profile_clean(spark, sf_dir):
-    cu = clean(spark, sf_dir)
-    cols = ["value", "n", "pct_of_total"]
-    blocks = [P.top_values(cu, "ARRTIME", S.TOP_K).select(F.lit("ARRTIME").alias("column_name"), *cols),
-              P.frequency(cu, "VDAYR").select(F.lit("VDAYR").alias("column_name"), *cols)]
-    return P.stack_blocks(blocks).orderBy("column_name", F.desc("n"))
+    return _study(spark, sf_dir, "stacked_profile_clean")
 
 
 @query("time_range_check", with_visits(
     "SELECT min(ARRTIME) AS min_value, max(ARRTIME) AS max_value, "
     f"CAST(count_if(ARRTIME IS NULL) AS BIGINT) AS null_count, {N} AS n_rows FROM clean"))
 def time_range_check(spark, sf_dir):
-    return P.range_check(clean(spark, sf_dir), "ARRTIME")
+    return _study(spark, sf_dir, "time_range_check")
 
 
 @query("band_ranges_profile", with_visits(
     f"SELECT time_of_day, {N} AS n, {PCT_ALL} AS pct_of_total FROM clean GROUP BY time_of_day"))
 def band_ranges_profile(spark, sf_dir):
-    return P.frequency(clean(spark, sf_dir), "time_of_day", value_name="time_of_day").orderBy("time_of_day")
+    return _study(spark, sf_dir, "band_ranges_profile")
 
 
 _CUTS_SQL = "CASE " + " ".join(
@@ -314,15 +294,13 @@ _CUTS_SQL = "CASE " + " ".join(
 @query("band_cuts_profile", with_visits(
     f"SELECT {_CUTS_SQL} AS time_of_day, {N} AS n, {PCT_ALL} AS pct_of_total FROM clean GROUP BY 1"))
 def band_cuts_profile(spark, sf_dir):
-    return P.frequency(clean(spark, sf_dir), S.time_band_cuts("ARRTIME"), value_name="time_of_day") \
-        .orderBy("time_of_day")
+    return _study(spark, sf_dir, "band_cuts_profile")
 
 
 @query("boarding_status_profile", with_visits(
     f"SELECT boarding_status, {N} AS n, {PCT_ALL} AS pct_of_total FROM clean GROUP BY boarding_status"))
 def boarding_status_profile(spark, sf_dir):
-    return P.frequency(clean(spark, sf_dir), "boarding_status", value_name="boarding_status") \
-        .orderBy("boarding_status")
+    return _study(spark, sf_dir, "boarding_status_profile")
 
 
 # ---- contrasts (A12-A14, A16-A19, A21-A23, W2, O2, O3, P13-P17) ---------------
@@ -379,14 +357,15 @@ _DIMENSION_QUERIES = {
 }
 
 
-def _dimension_query(dim: str, method: str) -> QueryFn:
+def _step_query(name: str) -> QueryFn:
     def fn(spark, sf_dir):
-        return S.dimension_contrast(clean(spark, sf_dir), dim, method)
+        return _study(spark, sf_dir, name)
+    fn.__name__ = name
     return fn
 
 
-for _name, (_dim, _method) in _DIMENSION_QUERIES.items():
-    query(_name, ORACLE_CONTRASTS[_name])(_dimension_query(_dim, _method))
+for _name in _DIMENSION_QUERIES:
+    query(_name, ORACLE_CONTRASTS[_name])(_step_query(_name))
 
 _BOARDED_SQL = "boarding_status IN ('Boarded - 0 min', 'Boarded - >0 min')"
 
@@ -396,9 +375,7 @@ _BOARDED_SQL = "boarding_status IN ('Boarded - 0 min', 'Boarded - >0 min')"
     f"{r(f'count_if({_BOARDED_SQL})', 'count(*)', 2, 100)} AS boarding_rate_pct FROM clean "
     "GROUP BY ARREMS, arrival_method"))
 def boarding_rate(spark, sf_dir):
-    return C.cohort_rate(clean(spark, sf_dir), "ARREMS", F.col("boarding_status").isin(S.BOARDED_STATUSES),
-                         cohort_labels=S.ARRIVAL_LABELS, cohort_name="arrival_method", numerator="boarded",
-                         denominator="total", rate_name="boarding_rate_pct")
+    return _study(spark, sf_dir, "boarding_rate")
 
 
 _HA, _TA = f"count_if(ARREMS = 1 AND {_BOARDED_SQL})", "count_if(ARREMS = 1)"
@@ -411,8 +388,7 @@ _HB, _TB = f"count_if(ARREMS = 2 AND {_BOARDED_SQL})", "count_if(ARREMS = 2)"
     f"{r(_HA, _TA, 2, 100)} AS rate_ambulance_pct, {r(_HB, _TB, 2, 100)} AS rate_walk_in_pct, "
     f"{r(f'CAST({_HA} AS HUGEINT) * {_TB}', f'CAST({_TA} AS HUGEINT) * {_HB}', 2)} AS rate_ratio FROM clean"))
 def boarding_rate_ratio(spark, sf_dir):
-    return C.rate_ratio(clean(spark, sf_dir), "ARREMS", F.col("boarding_status").isin(S.BOARDED_STATUSES),
-                        1, 2, names=("ambulance", "walk_in"))
+    return _study(spark, sf_dir, "boarding_rate_ratio")
 
 
 # ---- gap tables and verdicts (G1-G8, P8, P22) ---------------------------------
@@ -438,18 +414,9 @@ _GAP_QUERIES = {
 }
 
 
-def _gap_query(dim: str, index: str, rng) -> QueryFn:
-    def fn(spark, sf_dir):
-        con = S.dimension_contrast(clean(spark, sf_dir), dim)
-        if rng is not None:
-            con = con.filter(F.col(index).between(*rng))
-        return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS)
-    return fn
-
-
 for _name, (_dim, _sqlname, _index, _rng) in _GAP_QUERIES.items():
     _where = f"WHERE {_index} BETWEEN {_rng[0]} AND {_rng[1]}" if _rng else ""
-    query(_name, _gap_sql(_sqlname, _index, _where))(_gap_query(_dim, _index, _rng))
+    query(_name, _gap_sql(_sqlname, _index, _where))(_step_query(_name))
 
 
 def _dims_sql() -> str:
@@ -469,7 +436,7 @@ def _dims_sql() -> str:
 
 @query("study_all_dimensions", with_visits(_dims_sql()))
 def study_all_dimensions(spark, sf_dir):
-    return S.all_dimensions(visits(spark, sf_dir), clean=clean(spark, sf_dir))
+    return _study(spark, sf_dir, "study_all_dimensions")
 
 
 _GAPS_CTE = (
@@ -496,7 +463,7 @@ def _with_gaps(body: str) -> str:
     "WHEN count_if(gap > 0) = count(*) THEN 'higher at every level' ELSE 'mixed' END AS verdict "
     "FROM gaps GROUP BY dimension"))
 def gap_verdict(spark, sf_dir):
-    return G.gap_verdict(S.gap_tables(visits(spark, sf_dir), clean=clean(spark, sf_dir)), by=["dimension"])
+    return _study(spark, sf_dir, "gap_verdict")
 
 
 @query("gap_extremes", _with_gaps(
@@ -506,8 +473,7 @@ def gap_verdict(spark, sf_dir):
     "UNION ALL SELECT dimension, 'narrowest', level, gap, abs(gap), "
     "min(abs(gap)) OVER (PARTITION BY dimension) FROM gaps WHERE gap IS NOT NULL) WHERE abs_gap = target"))
 def gap_extremes(spark, sf_dir):
-    return G.gap_extremes(S.gap_tables(visits(spark, sf_dir), clean=clean(spark, sf_dir)), "level",
-                          by=["dimension"])
+    return _study(spark, sf_dir, "gap_extremes")
 
 
 @query("mean_median_divergence", _with_gaps(
@@ -515,14 +481,14 @@ def gap_extremes(spark, sf_dir):
     "walk_in AS median_walk_in, round(mean_ambulance - mean_walk_in, 1) AS mean_gap, "
     "gap AS median_gap, round(abs(gap - round(mean_ambulance - mean_walk_in, 1)), 1) AS divergence FROM gaps"))
 def mean_median_divergence(spark, sf_dir):
-    return S.divergence_table(visits(spark, sf_dir), clean=clean(spark, sf_dir))
+    return _study(spark, sf_dir, "mean_median_divergence")
 
 
 # ---- filtered statistics and scorecard (A15, P12, V1, V2, X7, F3) -------------
 
 @query("filtered_statistics", with_visits(K.filtered_statistics_sql(), clean=False))
 def filtered_statistics(spark, sf_dir):
-    return C.filtered_statistics(S.labelled_visits(visits(spark, sf_dir)), "WAITTIME", K.statistic_specs())
+    return _study(spark, sf_dir, "filtered_statistics")
 
 
 def _expected_for(sf_dir: str) -> dict[str, float]:
@@ -531,12 +497,12 @@ def _expected_for(sf_dir: str) -> dict[str, float]:
 
 @query("scorecard", with_visits(K.scorecard_sql(), clean=False))
 def scorecard_query(spark, sf_dir):
-    return scorecard(S.labelled_visits(visits(spark, sf_dir)), "WAITTIME", K.checks(_expected_for(sf_dir)))
+    return T.scorecard(visits(spark, sf_dir), clean(spark, sf_dir), _expected_for(sf_dir))
 
 
 @query("scorecard_summary", with_visits(K.scorecard_summary_sql(), clean=False))
 def scorecard_summary_query(spark, sf_dir):
-    return scorecard_summary(scorecard_query(spark, sf_dir))
+    return T.scorecard_summary(visits(spark, sf_dir), clean(spark, sf_dir), _expected_for(sf_dir))
 
 
 # ---- the same operators on real columns (lineitem, events) ---------------------
@@ -618,7 +584,7 @@ def orders_price_quartiles_approx(spark, sf_dir):
 @query("distribution_contrast_sorted", ORACLE_CONTRASTS["distribution_contrast"])
 def distribution_contrast_sorted(spark, sf_dir):
     """The flagship contrast with the distributed exact quantile path."""
-    return S.dimension_contrast(clean(spark, sf_dir), "distribution", "exact_sorted")
+    return _study(spark, sf_dir, "distribution_contrast_sorted")
 
 
 # ---- the production path: a stored visit table (pushdown + pruning) -----------

@@ -40,3 +40,15 @@ def csv_round_trip(spark: SparkSession, df: DataFrame, schema: T.StructType | No
     path = scratch_dir(spark, "csv")
     df.write.mode("error").option("header", True).csv(path)
     return read_visits_csv(spark, path, schema or df.schema)
+
+
+def read_visits_csv_by_name(spark: SparkSession, path: str, schema: T.StructType = VISIT_SCHEMA) -> DataFrame:
+    """Header CSV of any width (the study's raw file has 911 columns): the
+    schema's columns are picked by header name and converted with
+    ``try_cast`` (blank or malformed cells become NULL).  One pass, no type
+    inference; the CSV reader only converts the selected columns."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"visit file lacks columns {missing}")
+    return raw.select(*[raw[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
