@@ -33,7 +33,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
              cohort_labels: Mapping | None = None, level_labels: Mapping | None = None,
              cohort_name: str | None = None, level_name: str | None = None,
              share_name: str = "pct_of_cohort", level_first: bool = False,
-             order_by: Sequence[str] | None = None, rounding: str = "half_up") -> DataFrame:
+             order_by: Sequence[str] | None = None, rounding: str = "half_up",
+             drop_unlabelled: bool = False) -> DataFrame:
     """Per (cohort, level): ``n`` (COUNT(*)), ``n_valid`` (non-NULL measure
     values), share of the cohort, mean, min, max and quartiles of ``measure``.
 
@@ -45,6 +46,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
 
     ``rounding``: ``half_up`` (SQL flavour, default) or ``half_even``
     (pandas flavour); it only matters for values ending in an exact half.
+    ``drop_unlabelled``: drop groups whose cohort or level label is NULL
+    (the pandas flavour); by default they are kept (the SQL flavour).
 
     Groups are formed on the raw codes and decoded afterwards, so the CASE
     for a label runs once per group.  Codes outside a codebook survive as a
@@ -87,6 +90,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     names = {"n": "n", "n_valid": "n_valid", "share": share_name}
     stat_cols = [F.col(f"_{s}").alias(names.get(s, f"{s}_{suffix}")) for s in STAT_ORDER if s in stats]
     out = grouped.select(*label_cols, *stat_cols, F.col(level).alias("_lvl"), F.col(cohort).alias("_coh"))
+    if drop_unlabelled:
+        out = out.filter(F.col(cohort_name).isNotNull() & F.col(level_name).isNotNull())
     keys = list(order_by) if order_by else [F.asc_nulls_first("_lvl"), F.asc_nulls_first("_coh")]
     return out.orderBy(*keys).drop("_lvl", "_coh")
 

@@ -104,3 +104,23 @@ def test_quartile_at_quarter_rounds_half_up(spark):
     assert out.median_wait_minutes == 1.5
     assert out.avg_wait_minutes == 1.5
     assert float(Decimal("1.25").quantize(Decimal("0.1"), ROUND_HALF_UP)) == out.p25_wait_minutes
+
+
+def test_drop_unlabelled_is_the_pandas_flavour(spark):
+    df = visits_df(spark, [visit(ARREMS=3), visit(ARREMS=1), visit(ARREMS=2, IMMEDR=5)])
+    cu = S.clean_universe(df)
+    kept = contrast(cu, "ARREMS", "IMMEDR", "WAITTIME", cohort_labels=S.ARRIVAL_LABELS,
+                    level_labels=S.TRIAGE_LABELS, cohort_name="arrival_method", level_name="triage_level")
+    dropped = contrast(cu, "ARREMS", "IMMEDR", "WAITTIME", cohort_labels=S.ARRIVAL_LABELS,
+                       level_labels=S.TRIAGE_LABELS, cohort_name="arrival_method", level_name="triage_level",
+                       drop_unlabelled=True)
+    assert kept.count() == 3 and dropped.count() == 2
+
+
+def test_approximate_cardinality_is_close(spark):
+    from cohortlens.operators import cardinality
+    df = spark.range(0, 50000).select((F.col("id") % 1000).alias("a"), (F.col("id") % 7).alias("b"))
+    exact = cardinality(df, ["a", "b"]).first()
+    approx = cardinality(df, ["a", "b"], approx=True).first()
+    assert (exact.distinct_a, exact.distinct_b) == (1000, 7)
+    assert abs(approx.distinct_a - 1000) <= 30 and approx.distinct_b == 7
