@@ -24,13 +24,15 @@ def gap_table(contrast_df: DataFrame, index: str | Sequence[str], cohort: str, v
 
     ``cohorts`` maps cohort label -> output column name, in order (first
     minus second: negative means the first cohort is lower).  A level that
-    lacks one cohort gets a NULL there and a NULL gap.
+    lacks one cohort gets a NULL there and a NULL gap.  Should several groups
+    share one label (codes outside a codebook all decode to NULL), the
+    largest value is taken, so the table is deterministic.
     """
     labels = list(cohorts)
     if len(labels) != 2:
         raise ValueError("gap_table needs exactly two cohorts")
     keys = _keys(index)
-    wide = contrast_df.groupBy(*keys).pivot(cohort, labels).agg(F.first(value))
+    wide = contrast_df.groupBy(*keys).pivot(cohort, labels).agg(F.max(value))
     a, b = (cohorts[x] for x in labels)
     wide = wide.select(*keys, F.col(f"`{labels[0]}`").alias(a), F.col(f"`{labels[1]}`").alias(b))
     return (wide.withColumn(gap_name, F.round(F.col(a) - F.col(b), digits))
@@ -77,7 +79,7 @@ def mean_median_divergence(contrast_df: DataFrame, index: str | Sequence[str], c
     labels = list(cohorts)
     keys = _keys(index)
     wide = (contrast_df.groupBy(*keys).pivot(cohort, labels)
-            .agg(F.first(mean).alias("mean"), F.first(median).alias("median")))
+            .agg(F.max(mean).alias("mean"), F.max(median).alias("median")))
     a, b = (cohorts[x] for x in labels)
     cols = {f"mean_{a}": f"{labels[0]}_mean", f"mean_{b}": f"{labels[1]}_mean",
             f"median_{a}": f"{labels[0]}_median", f"median_{b}": f"{labels[1]}_median"}

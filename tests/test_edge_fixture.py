@@ -124,3 +124,12 @@ def test_approximate_cardinality_is_close(spark):
     approx = cardinality(df, ["a", "b"], approx=True).first()
     assert (exact.distinct_a, exact.distinct_b) == (1000, 7)
     assert abs(approx.distinct_a - 1000) <= 30 and approx.distinct_b == 7
+
+
+def test_gap_table_is_deterministic_when_codes_share_a_label(spark):
+    rows = [visit(ARREMS=1, REGION=0, WAITTIME=10), visit(ARREMS=1, REGION=5, WAITTIME=40),
+            visit(ARREMS=2, REGION=0, WAITTIME=20), visit(ARREMS=2, REGION=1, WAITTIME=30)]
+    con = S.run_dimension(visits_df(spark, rows), "region")
+    g = {r.census_region: (r.ambulance, r.walk_in, r.gap) for r in
+         gap_table(con, "census_region", "arrival_method", "median_wait_minutes", S.GAP_COHORTS).collect()}
+    assert g[None] == (40.0, 20.0, 20.0)
