@@ -42,7 +42,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     measures with a bounded set of values such as minutes), ``approx``
     (``percentile_approx``: bounded sketch, observed values) or
     ``exact_sorted`` (``operators.quantiles.exact_quantiles``: exact for any
-    measure, no per-group state, costs a range shuffle and a checkpoint).
+    measure, no per-group state; costs a range shuffle and one table write
+    under the checkpoint folder).
 
     ``rounding``: ``half_up`` (SQL flavour, default) or ``half_even``
     (pandas flavour); it only matters for values ending in an exact half.

@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
                           F.sum("_pc").over(by_group).alias("_n"))
 
     # The offsets table has at most #partitions + #groups rows; count it
-    # (a small job over the checkpoint) before deciding to broadcast it.
+    # (a small job over the stored slices) before deciding to broadcast it.
     if part.count() <= BROADCAST_ROW_LIMIT:
         offsets = F.broadcast(offsets)
 
