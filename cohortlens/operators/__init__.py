@@ -11,7 +11,7 @@ from cohortlens.operators.profile import (
 from cohortlens.operators.rules import (
     exclude_codes, final_universe, keep_mask, layer_accounting, waterfall,
 )
-from cohortlens.operators.scorecard import Check, scorecard, scorecard_summary
+from cohortlens.operators.scorecard import Check, method_agreement, scorecard, scorecard_summary
 
 __all__ = [
     "cohort_rate", "contrast", "filtered_statistics", "rate_ratio", "share_within",
@@ -19,5 +19,5 @@ __all__ = [
     "cardinality", "frequency", "profile_subtotals", "range_check", "sentinel_hunt",
     "sentinel_summary", "stack_blocks", "top_values",
     "exclude_codes", "final_universe", "keep_mask", "layer_accounting", "waterfall",
-    "Check", "scorecard", "scorecard_summary",
+    "Check", "method_agreement", "scorecard", "scorecard_summary",
 ]

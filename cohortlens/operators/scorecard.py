@@ -74,3 +74,31 @@ def scorecard_summary(scored: DataFrame) -> DataFrame:
                      F.count(F.lit(1)).alias("total"))
     return out.withColumn("verdict", F.when(F.col("passed") == F.col("total"), F.lit("ALL PASS"))
                           .otherwise(F.lit("REVIEW")))
+
+
+def method_agreement(df: DataFrame, measure: str, specs: Sequence[tuple[str, Column]],
+                     tolerance: float = 1.0, accuracy: int = 10000) -> DataFrame:
+    """Exact median (interpolated) against approximate median (an observed
+    value) for each filter, both computed from the data in one aggregate:
+    (label, exact_median, approx_median, delta, tolerance, status).
+
+    This is the study's cross-flavour reproducibility claim made checkable
+    at any scale: the two flavours must agree within ``tolerance``.
+    """
+    x = F.col(measure)
+    aggs = []
+    for i, (_, pred) in enumerate(specs):
+        v = F.when(pred, x)
+        aggs += [F.percentile(v, 0.5).cast("double").alias(f"e{i}"),
+                 F.percentile_approx(v, 0.5, accuracy).cast("double").alias(f"a{i}")]
+    wide = df.agg(*aggs)
+    rows = F.array(*[
+        F.struct(F.lit(label).alias("label"), F.col(f"e{i}").alias("exact_median"),
+                 F.col(f"a{i}").alias("approx_median"))
+        for i, (label, _) in enumerate(specs)
+    ])
+    long = wide.select(F.inline(rows))
+    delta = F.abs(F.col("exact_median") - F.col("approx_median"))
+    return long.select("label", "exact_median", "approx_median", delta.alias("delta"),
+                       F.lit(float(tolerance)).alias("tolerance"),
+                       F.when(delta <= F.lit(float(tolerance)), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"))

@@ -491,6 +491,11 @@ def filtered_statistics(spark, sf_dir):
     return _study(spark, sf_dir, "filtered_statistics")
 
 
+@query("median_method_agreement", with_visits(K.method_agreement_sql(), clean=False))
+def median_method_agreement(spark, sf_dir):
+    return _study(spark, sf_dir, "median_method_agreement")
+
+
 def _expected_for(sf_dir: str) -> dict[str, float]:
     return K.expected_values(os.path.basename(sf_dir.rstrip("/")))
 

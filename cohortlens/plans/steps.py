@@ -19,6 +19,7 @@ from cohortlens.operators import contrasts as C
 from cohortlens.operators import gaps as G
 from cohortlens.operators import profile as P
 from cohortlens.operators import rules as R
+from cohortlens.operators.scorecard import method_agreement
 from cohortlens.operators.scorecard import scorecard as _scorecard
 from cohortlens.operators.scorecard import scorecard_summary as _scorecard_summary
 from cohortlens.plans import checks as K
@@ -237,6 +238,10 @@ def filtered_statistics(visits, clean):
     return C.filtered_statistics(S.labelled_visits(visits), "WAITTIME", K.statistic_specs())
 
 
+def median_method_agreement(visits, clean):
+    return method_agreement(S.labelled_visits(visits), "WAITTIME", K.median_specs())
+
+
 def scorecard(visits, clean, expected: dict[str, float] | None = None):
     return _scorecard(S.labelled_visits(visits), "WAITTIME", K.checks(expected or K.expected_values("sf0.01")))
 
@@ -269,6 +274,7 @@ STEPS: dict[str, Step] = {
     "gap_by_pain": gap_by_pain, "gap_by_region": gap_by_region,
     "study_all_dimensions": study_all_dimensions, "gap_verdict": gap_verdict, "gap_extremes": gap_extremes,
     "mean_median_divergence": mean_median_divergence, "filtered_statistics": filtered_statistics,
+    "median_method_agreement": median_method_agreement,
     "scorecard": scorecard, "scorecard_summary": scorecard_summary,
 }
 
