@@ -63,19 +63,24 @@ def round_value(c: Column, digits: int, rounding: str = "half_up") -> Column:
     raise ValueError(f"unknown rounding {rounding!r}")
 
 
-def mean_expr(c: str | Column, dtype: T.DataType, digits: int = 1, rounding: str = "half_up") -> Column:
-    """Aggregate: the rounded mean of ``c`` (NULLs ignored, like AVG).
-
-    Integral and decimal measures use the exact sum/count form; floating
-    measures fall back to ``round(avg(c), digits)``.
-    """
-    c = _col(c)
+def mean_from(total: Column, count: Column, dtype: T.DataType, digits: int = 1,
+              rounding: str = "half_up") -> Column:
+    """Rounded ``total / count`` for a measure of type ``dtype``: exact for
+    integral and decimal measures (integer arithmetic on the aggregated
+    values), ``round(total / count)`` for floating ones."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return rounded_ratio(F.sum(c), F.count(c), digits, rounding=rounding)
+        return rounded_ratio(total, count, digits, rounding=rounding)
     if isinstance(dtype, T.DecimalType):
         unit = 10 ** dtype.scale
-        units = (F.sum(c) * F.lit(unit)).cast(_BIG)
-        return rounded_ratio(units, F.count(c) * F.lit(unit), digits, rounding=rounding)
+        return rounded_ratio((total * F.lit(unit)).cast(_BIG), count * F.lit(unit), digits, rounding=rounding)
+    return round_value(total.cast("double") / count, digits, rounding).cast("double")
+
+
+def mean_expr(c: str | Column, dtype: T.DataType, digits: int = 1, rounding: str = "half_up") -> Column:
+    """Aggregate: the rounded mean of ``c`` (NULLs ignored, like AVG)."""
+    c = _col(c)
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)):
+        return mean_from(F.sum(c), F.count(c), dtype, digits, rounding)
     return round_value(F.avg(c), digits, rounding).cast("double")
 
 
@@ -83,11 +88,12 @@ def quantile_exprs(c: str | Column, names: Sequence[str], method: str = "exact",
                    digits: int = 1, accuracy: int = 10000, rounding: str = "half_up") -> dict[str, Column]:
     """Aggregates for the requested quartile names (``p25``/``median``/``p75``).
 
-    ``exact``  -- ``percentile`` (linear interpolation between order
-                  statistics).  Its per-group state is a value->count map,
-                  so memory grows with the number of *distinct* measure
-                  values in a group, not with rows: right for coded or
-                  integer-minute measures.
+    ``percentile`` -- Spark's ``percentile`` (linear interpolation between
+                  order statistics).  Its per-group state is a value->count
+                  map: memory grows with the *distinct* values of a group,
+                  but the reducer of a group merges one map per map task.
+                  (``contrast`` computes ``exact`` from a histogram instead,
+                  see ``operators.quantiles.histogram_summary``.)
     ``approx`` -- ``percentile_approx`` (returns an observed value, like the
                   SQL flavour of the study); bounded sketch per group,
                   relative rank error 1/accuracy.
@@ -95,7 +101,7 @@ def quantile_exprs(c: str | Column, names: Sequence[str], method: str = "exact",
     """
     c = _col(c)
     probs = [QUANTILE_PROBS[n] for n in names]
-    if method == "exact":
+    if method in ("exact", "percentile"):
         arr = F.percentile(c, probs)
         return {n: round_value(arr[i], digits, rounding).cast("double") for i, n in enumerate(names)}
     if method == "approx":

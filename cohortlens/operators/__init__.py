@@ -1,8 +1,6 @@
 """DataFrame -> DataFrame operators."""
 
-from cohortlens.operators.contrasts import (
-    cohort_rate, contrast, filtered_statistics, rate_ratio, share_within,
-)
+from cohortlens.operators.contrasts import cohort_rate, contrast, rate_ratio, share_within
 from cohortlens.operators.gaps import gap_extremes, gap_table, gap_verdict, mean_median_divergence
 from cohortlens.operators.profile import (
     cardinality, frequency, profile_subtotals, range_check, sentinel_hunt, sentinel_summary,
@@ -11,7 +9,9 @@ from cohortlens.operators.profile import (
 from cohortlens.operators.rules import (
     exclude_codes, final_universe, keep_mask, layer_accounting, waterfall,
 )
-from cohortlens.operators.scorecard import Check, method_agreement, scorecard, scorecard_summary
+from cohortlens.operators.scorecard import (
+    Check, filtered_statistics, method_agreement, scorecard, scorecard_summary,
+)
 
 __all__ = [
     "cohort_rate", "contrast", "filtered_statistics", "rate_ratio", "share_within",
@@ -19,5 +19,5 @@ __all__ = [
     "cardinality", "frequency", "profile_subtotals", "range_check", "sentinel_hunt",
     "sentinel_summary", "stack_blocks", "top_values",
     "exclude_codes", "final_universe", "keep_mask", "layer_accounting", "waterfall",
-    "Check", "method_agreement", "scorecard", "scorecard_summary",
+    "Check", "filtered_statistics", "method_agreement", "scorecard", "scorecard_summary",
 ]

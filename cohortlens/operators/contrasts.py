@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import decode_codes
-from cohortlens.functions.stats import QUANTILE_PROBS, mean_expr, quantile_exprs, round_value, rounded_ratio
-from cohortlens.operators.quantiles import exact_quantiles
+from cohortlens.functions.stats import (
+    QUANTILE_PROBS, mean_expr, mean_from, quantile_exprs, round_value, rounded_ratio,
+)
+from cohortlens.operators.quantiles import exact_quantiles, histogram, histogram_summary
 
 STAT_ORDER = ("n", "n_valid", "share", "avg", "min", "max", "median", "p25", "p75")
 
@@ -38,12 +40,22 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     """Per (cohort, level): ``n`` (COUNT(*)), ``n_valid`` (non-NULL measure
     values), share of the cohort, mean, min, max and quartiles of ``measure``.
 
-    ``method``: ``exact`` (``percentile``: per-group value->count map, for
-    measures with a bounded set of values such as minutes), ``approx``
-    (``percentile_approx``: bounded sketch, observed values) or
-    ``exact_sorted`` (``operators.quantiles.exact_quantiles``: exact for any
-    measure, no per-group state; costs a range shuffle and one table write
-    under the checkpoint folder).
+    ``method`` -- how quartiles (and, for the histogram methods, every
+    statistic) are computed:
+
+    * ``exact`` (default): interpolated quartiles (the pandas flavour) from
+      the (cohort, level, value) histogram.  One shuffle of partial counts
+      spreads a hot group over the reducers by value; the per-group work is
+      bounded by the group's *distinct values*.  For measures drawn from a
+      bounded set (codes, minutes).
+    * ``discrete``: the same histogram, observed-value quartiles at rank
+      ceil(n*p) (the SQL flavour, computed exactly).
+    * ``exact_sorted``: exact for measures with unbounded distinct values
+      (``operators.quantiles.exact_quantiles``; a range shuffle and one
+      table write under the checkpoint folder).
+    * ``approx``: ``percentile_approx`` sketches (bounded memory per group).
+    * ``percentile``: Spark's ``percentile`` aggregate (a value->count map
+      per group, merged in one task per group).
 
     ``rounding``: ``half_up`` (SQL flavour, default) or ``half_even``
     (pandas flavour); it only matters for values ending in an exact half.
@@ -57,29 +69,31 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     """
     dtype = df.schema[measure].dataType
     x = F.col(measure)
-    aggs: dict[str, Column] = {"n": F.count(F.lit(1))}
-    if "n_valid" in stats:
-        aggs["n_valid"] = F.count(x)  # non-NULL measure values (pandas' count)
-    if "avg" in stats:
-        aggs["avg"] = mean_expr(x, dtype, digits, rounding)
-    if "min" in stats:
-        aggs["min"] = round_value(F.min(x).cast("double"), digits, rounding)
-    if "max" in stats:
-        aggs["max"] = round_value(F.max(x).cast("double"), digits, rounding)
     qnames = [s for s in ("median", "p25", "p75") if s in stats]
-    if qnames and method != "exact_sorted":
-        aggs.update(quantile_exprs(x, qnames, method, digits, rounding=rounding))
-
-    grouped = df.groupBy(cohort, level).agg(*[e.alias(f"_{k}") for k, e in aggs.items()])
-    if qnames and method == "exact_sorted":
-        # Distributed exact quantiles (no per-group state); joined back on the
-        # group keys -- both sides hold one row per group.
-        q = exact_quantiles(df, [cohort, level], measure, {n: QUANTILE_PROBS[n] for n in qnames},
-                            digits=digits, rounding=rounding)
-        q = q.select(*[F.col(c).alias(f"_q_{c}") for c in (cohort, level)],
-                     *[F.col(n).alias(f"_{n}") for n in qnames])
-        cond = (grouped[cohort].eqNullSafe(q[f"_q_{cohort}"])) & (grouped[level].eqNullSafe(q[f"_q_{level}"]))
-        grouped = grouped.join(q, cond, "left").drop(f"_q_{cohort}", f"_q_{level}")
+    probs = {n: QUANTILE_PROBS[n] for n in qnames}
+    measured = any(s in stats for s in ("n_valid", "avg", "min", "max", "median", "p25", "p75"))
+    if method in ("exact", "discrete") and measured:
+        grouped = _from_histogram(df, cohort, level, measure, dtype, probs, stats, digits, rounding,
+                                  "interpolated" if method == "exact" else "discrete")
+    else:
+        aggs: dict[str, Column] = {"n": F.count(F.lit(1)), "n_valid": F.count(x)}
+        if "avg" in stats:
+            aggs["avg"] = mean_expr(x, dtype, digits, rounding)
+        if "min" in stats:
+            aggs["min"] = round_value(F.min(x).cast("double"), digits, rounding)
+        if "max" in stats:
+            aggs["max"] = round_value(F.max(x).cast("double"), digits, rounding)
+        if qnames and method != "exact_sorted":
+            aggs.update(quantile_exprs(x, qnames, method, digits, rounding=rounding))
+        grouped = df.groupBy(cohort, level).agg(*[e.alias(f"_{k}") for k, e in aggs.items()])
+        if qnames and method == "exact_sorted":
+            # Distributed exact quantiles (no per-group state); joined back on
+            # the group keys -- both sides hold one row per group.
+            q = exact_quantiles(df, [cohort, level], measure, probs, digits=digits, rounding=rounding)
+            q = q.select(*[F.col(c).alias(f"_q_{c}") for c in (cohort, level)],
+                         *[F.col(n).alias(f"_{n}") for n in qnames])
+            cond = grouped[cohort].eqNullSafe(q[f"_q_{cohort}"]) & grouped[level].eqNullSafe(q[f"_q_{level}"])
+            grouped = grouped.join(q, cond, "left").drop(f"_q_{cohort}", f"_q_{level}")
     if "share" in stats:
         grouped = grouped.withColumn("_share", share_within("_n", [cohort], rounding=rounding))
 
@@ -97,6 +111,23 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     return out.orderBy(*keys).drop("_lvl", "_coh")
 
 
+def _from_histogram(df: DataFrame, cohort: str, level: str, measure: str, dtype, probs, stats, digits: int,
+                    rounding: str, kind: str) -> DataFrame:
+    """Every statistic of each (cohort, level) from its value histogram."""
+    summ = histogram_summary(histogram(df, [cohort, level], measure), [cohort, level], probs, kind)
+    cols = [F.col(cohort), F.col(level), F.col("_n"), F.col("_nv").alias("_n_valid")]
+    if "avg" in stats:
+        cols.append(mean_from(F.col("_sum"), F.col("_nv"), dtype, digits, rounding).alias("_avg"))
+    if "min" in stats:
+        cols.append(round_value(F.col("_min").cast("double"), digits, rounding).alias("_min"))
+    if "max" in stats:
+        cols.append(round_value(F.col("_max").cast("double"), digits, rounding).alias("_max"))
+    for n in probs:
+        q = F.col(n) if kind == "discrete" else round_value(F.col(n), digits, rounding)
+        cols.append(q.cast("double").alias(f"_{n}"))
+    return summ.select(*cols)
+
+
 def share_within(n_col: str, partition: Sequence[str], digits: int = 2, rounding: str = "half_up") -> Column:
     """``n * 100 / SUM(n) OVER (PARTITION BY partition)`` over *aggregated*
     rows (the window sees groups, never raw rows)."""
@@ -134,32 +165,3 @@ def rate_ratio(df: DataFrame, cohort: str, predicate: Column, a: object, b: obje
         rounded_ratio(hb, tb, digits, factor=100).alias(f"rate_{nb}_pct"),
         rounded_ratio(ha.cast("decimal(38,0)") * tb, ta.cast("decimal(38,0)") * hb, digits).alias("rate_ratio"),
     )
-
-
-def filtered_statistics(df: DataFrame, measure: str, specs: Sequence[tuple[str, str, Column]],
-                        digits: int = 4) -> DataFrame:
-    """Many filtered scalar statistics in **one** pass.
-
-    ``specs`` is ``[(label, 'median' | 'mean' | 'count', predicate), ...]``.
-    Each statistic aggregates ``CASE WHEN predicate THEN measure END`` (the
-    aggregates skip NULLs, i.e. ``FILTER (WHERE predicate)``).  Result:
-    one row per spec, ``(label, statistic, value)``.
-    """
-    x = F.col(measure)
-    aggs = []
-    for i, (_, kind, pred) in enumerate(specs):
-        v = F.when(pred, x)
-        if kind == "median":
-            e = F.percentile(v, 0.5)
-        elif kind == "mean":
-            e = rounded_ratio(F.sum(v), F.count(v), digits)
-        elif kind == "count":
-            e = F.count_if(pred).cast("double")
-        else:
-            raise ValueError(f"unknown statistic {kind!r}")
-        aggs.append(e.cast("double").alias(f"s{i}"))
-    wide = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(kind).alias("statistic"),
-                              F.col(f"s{i}").alias("value"))
-                     for i, (label, kind, _) in enumerate(specs)])
-    return wide.select(F.inline(rows))

@@ -9,6 +9,13 @@ A check is ``Check(label, kind, expected, tolerance, where, of)``:
 * ``median`` -- exact median of the measure over rows(where)
 
 PASS when ``|actual - expected| <= tolerance``; a NULL actual is a FAIL.
+
+All figures come from one scan: every row is exploded into the ids of the
+filters it satisfies, and a (filter, value) histogram -- partial counts
+shuffled by (filter, value) -- yields each filter's rows, sum and median
+(``operators.quantiles.histogram_summary``).  No filter's rows are ever
+merged in one task, and the per-filter summary that is joined back holds
+one row per distinct filter, a bound fixed by the check list.
 """
 
 from __future__ import annotations
@@ -18,8 +25,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlens.functions.stats import rounded_ratio
+from cohortlens.functions.stats import mean_from, rounded_ratio
+from cohortlens.operators.quantiles import histogram, histogram_summary
 
 
 @dataclass(frozen=True)
@@ -32,40 +41,83 @@ class Check:
     of: Column | None = None
 
 
-def _count(pred: Column | None) -> Column:
-    return F.count(F.lit(1)) if pred is None else F.count_if(pred)
+class _Filters:
+    """Distinct filter predicates, each with an integer id."""
 
+    def __init__(self):
+        self.preds: list[Column] = []
+        self._ids: dict[str, int] = {}
 
-def _actual(check: Check, measure: str, digits: int) -> Column:
-    x = F.col(measure)
-    if check.kind == "count":
-        return _count(check.where).cast("double")
-    if check.kind == "share":
-        return rounded_ratio(_count(check.where), _count(check.of), digits, factor=100)
-    v = x if check.where is None else F.when(check.where, x)
-    if check.kind == "mean":
-        return rounded_ratio(F.sum(v), F.count(v), digits)
-    if check.kind == "median":
-        return F.percentile(v, 0.5).cast("double")
-    raise ValueError(f"unknown check kind {check.kind!r}")
+    def id(self, pred: Column | None) -> int:
+        pred = F.lit(True) if pred is None else pred
+        key = str(pred)
+        if key not in self._ids:
+            self._ids[key] = len(self.preds)
+            self.preds.append(pred)
+        return self._ids[key]
 
 
-def scorecard(df: DataFrame, measure: str, checks: Sequence[Check], digits: int = 4) -> DataFrame:
-    """One row per check: (check_id, label, actual, expected, tolerance, status).
+def filter_summary(df: DataFrame, measure: str, preds: Sequence[Column], discrete: bool = False) -> DataFrame:
+    """One row per filter id ``_k`` with rows satisfying it: ``_n``, ``_nv``,
+    ``_sum``, the interpolated ``median`` and (``discrete``) the observed-value
+    ``median_disc``.  Filters no row satisfies have no row."""
+    ids = F.array_compact(F.array(*[F.when(p, F.lit(i)) for i, p in enumerate(preds)]))
+    hist = histogram(df.select(F.explode(ids).alias("_k"), F.col(measure).alias("_m")), ["_k"], "_m")
+    out = histogram_summary(hist, ["_k"], {"median": 0.5})
+    if discrete:
+        disc = histogram_summary(hist, ["_k"], {"median_disc": 0.5}, "discrete").select("_k", "median_disc")
+        out = out.join(disc, "_k", "left")
+    return out
 
-    All actuals come from a single aggregate over ``df``; the expected
-    values travel as literals, so no join is needed.
-    """
-    wide = df.agg(*[_actual(c, measure, digits).alias(f"a{i}") for i, c in enumerate(checks)])
-    rows = F.array(*[
-        F.struct(F.lit(i + 1).alias("check_id"), F.lit(c.label).alias("label"),
-                 F.col(f"a{i}").alias("actual"), F.lit(float(c.expected)).alias("expected"),
-                 F.lit(float(c.tolerance)).alias("tolerance"))
-        for i, c in enumerate(checks)
-    ])
-    long = wide.select(F.inline(rows))
+
+def _spec_rows(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def _summaries(df: DataFrame, measure: str, specs: DataFrame, filters: _Filters, discrete: bool = False):
+    """``specs`` joined to the summary of its ``where`` filter (``w_*``) and
+    of its ``of`` filter (``o_*``).  The summary is broadcast: it has one row
+    per distinct filter, at most the number of filters given."""
+    summ = F.broadcast(filter_summary(df, measure, filters.preds, discrete))
+    cols = ["_n", "_nv", "_sum", "median"] + (["median_disc"] if discrete else [])
+    w = summ.select(F.col("_k").alias("w_k"), *[F.col(c).alias(f"w{c}") for c in cols])
+    o = summ.select(F.col("_k").alias("o_k"), F.col("_n").alias("o_n"))
+    return (specs.join(w, specs["where_id"] == w["w_k"], "left")
+            .join(o, specs["of_id"] == o["o_k"], "left"))
+
+
+def _actual(kind: Column, dtype: T.DataType, digits: int) -> Column:
+    w_n = F.coalesce(F.col("w_n"), F.lit(0))
+    o_n = F.coalesce(F.col("o_n"), F.lit(0))
+    return (F.when(kind == "count", w_n.cast("double"))
+            .when(kind == "share", rounded_ratio(w_n, o_n, digits, factor=100))
+            .when(kind == "mean", mean_from(F.col("w_sum"), F.col("w_nv"), dtype, digits))
+            .when(kind == "median", F.col("wmedian")))
+
+
+_SPEC = T.StructType([
+    T.StructField("check_id", T.IntegerType()), T.StructField("label", T.StringType()),
+    T.StructField("kind", T.StringType()), T.StructField("where_id", T.IntegerType()),
+    T.StructField("of_id", T.IntegerType()), T.StructField("expected", T.DoubleType()),
+    T.StructField("tolerance", T.DoubleType()),
+])
+
+
+def scorecard(df: DataFrame, measure: str, checks: Sequence[Check], digits: int = 4) -> DataFrame:
+    """One row per check: (check_id, label, actual, expected, tolerance, status)."""
+    for c in checks:
+        if c.kind not in ("count", "share", "mean", "median"):
+            raise ValueError(f"unknown check kind {c.kind!r}")
+    filters = _Filters()
+    rows = [(i + 1, c.label, c.kind, filters.id(c.where), filters.id(c.of) if c.kind == "share" else None,
+             float(c.expected), float(c.tolerance)) for i, c in enumerate(checks)]
+    specs = _spec_rows(df.sparkSession, rows, _SPEC)
+    joined = _summaries(df, measure, specs, filters)
+    actual = _actual(F.col("kind"), df.schema[measure].dataType, digits).cast("double")
     ok = F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")
-    return long.withColumn("status", F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))).orderBy("check_id")
+    return (joined.select("check_id", "label", actual.alias("actual"), "expected", "tolerance")
+            .withColumn("status", F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))).orderBy("check_id"))
 
 
 def scorecard_summary(scored: DataFrame) -> DataFrame:
@@ -76,29 +128,40 @@ def scorecard_summary(scored: DataFrame) -> DataFrame:
                           .otherwise(F.lit("REVIEW")))
 
 
+def filtered_statistics(df: DataFrame, measure: str, specs: Sequence[tuple[str, str, Column]],
+                        digits: int = 4) -> DataFrame:
+    """Many filtered scalar statistics in **one** pass.
+
+    ``specs`` is ``[(label, 'median' | 'mean' | 'count', predicate), ...]``;
+    result: one row per spec, ``(label, statistic, value)``.
+    """
+    filters = _Filters()
+    rows = []
+    for i, (label, kind, pred) in enumerate(specs):
+        if kind not in ("count", "mean", "median"):
+            raise ValueError(f"unknown statistic {kind!r}")
+        rows.append((i + 1, label, kind, filters.id(pred), None, 0.0, 0.0))
+    joined = _summaries(df, measure, _spec_rows(df.sparkSession, rows, _SPEC), filters)
+    value = _actual(F.col("kind"), df.schema[measure].dataType, digits).cast("double")
+    return joined.orderBy("check_id").select("label", F.col("kind").alias("statistic"), value.alias("value"))
+
+
 def method_agreement(df: DataFrame, measure: str, specs: Sequence[tuple[str, Column]],
-                     tolerance: float = 1.0, accuracy: int = 10000) -> DataFrame:
-    """Exact median (interpolated) against approximate median (an observed
-    value) for each filter, both computed from the data in one aggregate:
+                     tolerance: float = 1.0) -> DataFrame:
+    """Interpolated median (the pandas flavour) against the observed-value
+    median at rank ceil(n/2) (the SQL flavour, what approximate quantiles
+    return) for each filter, both from one histogram:
     (label, exact_median, approx_median, delta, tolerance, status).
 
-    This is the study's cross-flavour reproducibility claim made checkable
-    at any scale: the two flavours must agree within ``tolerance``.
+    The study's cross-flavour reproducibility claim, checkable at any scale.
     """
-    x = F.col(measure)
-    aggs = []
-    for i, (_, pred) in enumerate(specs):
-        v = F.when(pred, x)
-        aggs += [F.percentile(v, 0.5).cast("double").alias(f"e{i}"),
-                 F.percentile_approx(v, 0.5, accuracy).cast("double").alias(f"a{i}")]
-    wide = df.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(label).alias("label"), F.col(f"e{i}").alias("exact_median"),
-                 F.col(f"a{i}").alias("approx_median"))
-        for i, (label, _) in enumerate(specs)
-    ])
-    long = wide.select(F.inline(rows))
+    filters = _Filters()
+    rows = [(i + 1, label, "median", filters.id(pred), None, 0.0, float(tolerance))
+            for i, (label, pred) in enumerate(specs)]
+    joined = _summaries(df, measure, _spec_rows(df.sparkSession, rows, _SPEC), filters, discrete=True)
     delta = F.abs(F.col("exact_median") - F.col("approx_median"))
-    return long.select("label", "exact_median", "approx_median", delta.alias("delta"),
-                       F.lit(float(tolerance)).alias("tolerance"),
-                       F.when(delta <= F.lit(float(tolerance)), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"))
+    return (joined.orderBy("check_id")
+            .select("label", F.col("wmedian").cast("double").alias("exact_median"),
+                    F.col("wmedian_disc").cast("double").alias("approx_median"), "tolerance")
+            .select("label", "exact_median", "approx_median", delta.alias("delta"), "tolerance",
+                    F.when(delta <= F.col("tolerance"), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status")))

@@ -19,6 +19,7 @@ from cohortlens.operators import contrasts as C
 from cohortlens.operators import gaps as G
 from cohortlens.operators import profile as P
 from cohortlens.operators import rules as R
+from cohortlens.operators.scorecard import filtered_statistics as _filtered_statistics
 from cohortlens.operators.scorecard import method_agreement
 from cohortlens.operators.scorecard import scorecard as _scorecard
 from cohortlens.operators.scorecard import scorecard_summary as _scorecard_summary
@@ -235,7 +236,7 @@ def mean_median_divergence(visits, clean):
 # ---- reproducibility checks -------------------------------------------------------
 
 def filtered_statistics(visits, clean):
-    return C.filtered_statistics(S.labelled_visits(visits), "WAITTIME", K.statistic_specs())
+    return _filtered_statistics(S.labelled_visits(visits), "WAITTIME", K.statistic_specs())
 
 
 def median_method_agreement(visits, clean):

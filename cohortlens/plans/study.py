@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import band_cuts, band_ranges, classify, decode_codes
-from cohortlens.functions.stats import mean_expr, quantile_exprs
+from cohortlens.functions.stats import mean_expr, mean_from, quantile_exprs
 from cohortlens.operators.contrasts import contrast
 from cohortlens.operators.gaps import gap_table, mean_median_divergence
+from cohortlens.operators.quantiles import histogram_summary
 from cohortlens.operators.rules import exclude_codes, keep_mask
 
 # ---------------------------------------------------------------------------
@@ -149,20 +150,36 @@ def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame |
     """Every dimension from one scan: ``GROUPING SETS`` over (cohort, level_i).
 
     The Expand that feeds the sets sits in the same codegen stage as the
-    partial aggregate, so the copies never reach the shuffle: each task ships
-    at most (#sets x #groups) partial states.  Output shape:
+    partial aggregate, so the copies never reach the shuffle.  With the
+    exact (default) and discrete methods the sets group (cohort, value,
+    level_i): one histogram for every dimension, shuffled by value so no
+    group is merged in one task, then each group's statistics from its
+    distinct values.  Output shape:
     (dimension, arrival_method, level, n, avg_wait_minutes, median_wait_minutes).
     """
     cu = (clean if clean is not None else clean_universe(visits)) \
         .withColumn("PAINSCALE_S", F.col("PAINSCALE").cast("string"))
     levels = [lvl if lvl != "PAINSCALE" else "PAINSCALE_S" for _, lvl, _ in _SET_LEVELS]
     dtype = cu.schema[MEASURE].dataType
-    q = quantile_exprs(MEASURE, ["median"], method)
-    grouped = cu.groupingSets([[COHORT, lvl] for lvl in levels], COHORT, *levels).agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"),
-        mean_expr(MEASURE, dtype, 1).alias("avg_wait_minutes"), q["median"].alias("median_wait_minutes"))
-    # grouping_id() spans (cohort, *levels); the cohort bit is always 0 and the
-    # bit of level i is 0 only in the set that groups level i.
+    if method in ("exact", "discrete"):
+        # One (set, cohort, level, value) histogram for every set at once, then
+        # each group's statistics from its distinct values.
+        hist = (cu.groupingSets([[COHORT, MEASURE, lvl] for lvl in levels], COHORT, MEASURE, *levels)
+                .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_c"))
+                .withColumnRenamed(MEASURE, "_v"))
+        kind = "interpolated" if method == "exact" else "discrete"
+        summ = histogram_summary(hist, ["_gid", COHORT, *levels], {"median": 0.5}, kind)
+        med = F.col("median") if kind == "discrete" else F.round(F.col("median"), 1)
+        grouped = summ.select("_gid", COHORT, *levels, F.col("_n").alias("n"),
+                              mean_from(F.col("_sum"), F.col("_nv"), dtype, 1).alias("avg_wait_minutes"),
+                              med.cast("double").alias("median_wait_minutes"))
+    else:
+        q = quantile_exprs(MEASURE, ["median"], method)
+        grouped = cu.groupingSets([[COHORT, lvl] for lvl in levels], COHORT, *levels).agg(
+            F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n"),
+            mean_expr(MEASURE, dtype, 1).alias("avg_wait_minutes"), q["median"].alias("median_wait_minutes"))
+    # grouping_id() spans the grouping columns; the cohort (and value) bits
+    # are always 0 and the bit of level i is 0 only in the set grouping it.
     k = len(levels)
     dim = level = None
     for i, ((name, _, labels), lvl) in enumerate(zip(_SET_LEVELS, levels)):

@@ -130,3 +130,23 @@ def test_half_even_contrast_flavour(spark):
     up = contrast(df, "c", "l", "x", stats=("p25",)).first().p25_wait_minutes
     even = contrast(df, "c", "l", "x", stats=("p25",), rounding="half_even").first().p25_wait_minutes
     assert (up, even) == (1.3, 1.2)
+
+
+def test_histogram_methods_equal_spark_aggregates(spark):
+    rnd = random.Random(31)
+    rows = [visit(ARREMS=rnd.choice([1, 2]), IMMEDR=rnd.randint(1, 5),
+                  WAITTIME=rnd.choice([rnd.randint(0, 400), None, None]) if rnd.random() < 0.05 else rnd.randint(0, 400))
+            for _ in range(3000)]
+    df = visits_df(spark, rows)
+    stats = ("n", "n_valid", "avg", "min", "max", "median", "p25", "p75")
+    key = lambda r: (r.c, r.l)
+    hist = {key(r): r for r in contrast(df, "ARREMS", "IMMEDR", "WAITTIME", stats=stats, cohort_name="c",
+                                         level_name="l").collect()}
+    ref = {key(r): r for r in contrast(df, "ARREMS", "IMMEDR", "WAITTIME", stats=stats, method="percentile",
+                                        cohort_name="c", level_name="l").collect()}
+    assert hist == ref
+    disc = {key(r): r for r in contrast(df, "ARREMS", "IMMEDR", "WAITTIME", stats=("median", "p25", "p75"),
+                                         method="discrete", cohort_name="c", level_name="l").collect()}
+    appr = {key(r): r for r in contrast(df, "ARREMS", "IMMEDR", "WAITTIME", stats=("median", "p25", "p75"),
+                                         method="approx", cohort_name="c", level_name="l").collect()}
+    assert disc == appr

@@ -34,12 +34,19 @@ def test_exact_quantiles_on_hot_group_equal_percentile(spark):
     assert got == want
 
 
-def test_contrast_combines_map_side_before_the_shuffle(spark):
+def test_contrast_spreads_a_hot_group_by_value(spark):
+    """The exact contrast shuffles partial counts keyed by (cohort, level,
+    value): a hot cohort is pre-aggregated map-side and then spread over the
+    reducers by value, never merged in one task."""
     df = spark.range(0, 30000).select((F.col("id") % 3 == 0).cast("int").alias("c"),
                                       (F.col("id") % 5).alias("l"), (F.col("id") % 97).alias("x"))
     plan = contrast(df, "c", "l", "x")._jdf.queryExecution().executedPlan().toString()
-    first_exchange = plan.rindex("Exchange hashpartitioning")
-    assert "partial_percentile" in plan[first_exchange:] and "partial_count" in plan[first_exchange:]
+    first = plan.rindex("Exchange hashpartitioning")
+    assert plan[first:].startswith("Exchange hashpartitioning(c#") and ", x#" in plan[first:first + 80]
+    assert "partial_count" in plan[first:]
+    # quantiles are taken over the histogram (value _v weighted by count _c),
+    # never over the raw rows of the scan
+    assert "percentile(_v#" in plan and "percentile(x#" not in plan
 
 
 def test_gap_extremes_keep_all_ties(spark):
