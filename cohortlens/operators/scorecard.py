@@ -14,8 +14,9 @@ All figures come from one scan: every row is exploded into the ids of the
 filters it satisfies, and a (filter, value) histogram -- partial counts
 shuffled by (filter, value) -- yields each filter's rows, sum and median
 (``operators.quantiles.histogram_summary``).  No filter's rows are ever
-merged in one task, and the per-filter summary that is joined back holds
-one row per distinct filter, a bound fixed by the check list.
+merged in one task; the per-filter summary (one row per distinct filter,
+a bound fixed by the check list) is folded into the checks by one
+conditional aggregate.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.literals import Ref, inline_rows
 from cohortlens.functions.stats import mean_from, rounded_ratio
 from cohortlens.operators.quantiles import histogram, histogram_summary
 
@@ -70,53 +72,56 @@ def filter_summary(df: DataFrame, measure: str, preds: Sequence[Column], discret
     return out
 
 
-def _spec_rows(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, schema.fields)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
-
-
-def _summaries(df: DataFrame, measure: str, specs: DataFrame, filters: _Filters, discrete: bool = False):
-    """``specs`` joined to the summary of its ``where`` filter (``w_*``) and
-    of its ``of`` filter (``o_*``).  The summary is broadcast: it has one row
-    per distinct filter, at most the number of filters given."""
-    summ = F.broadcast(filter_summary(df, measure, filters.preds, discrete))
-    cols = ["_n", "_nv", "_sum", "median"] + (["median_disc"] if discrete else [])
-    w = summ.select(F.col("_k").alias("w_k"), *[F.col(c).alias(f"w{c}") for c in cols])
-    o = summ.select(F.col("_k").alias("o_k"), F.col("_n").alias("o_n"))
-    return (specs.join(w, specs["where_id"] == w["w_k"], "left")
-            .join(o, specs["of_id"] == o["o_k"], "left"))
-
-
-def _actual(kind: Column, dtype: T.DataType, digits: int) -> Column:
-    w_n = F.coalesce(F.col("w_n"), F.lit(0))
-    o_n = F.coalesce(F.col("o_n"), F.lit(0))
-    return (F.when(kind == "count", w_n.cast("double"))
-            .when(kind == "share", rounded_ratio(w_n, o_n, digits, factor=100))
-            .when(kind == "mean", mean_from(F.col("w_sum"), F.col("w_nv"), dtype, digits))
-            .when(kind == "median", F.col("wmedian")))
+def _figure(kind: str, where: int, of: int | None, pick, dtype: T.DataType, digits: int) -> list[Column]:
+    """Aggregates over the per-filter summary giving one check's figure;
+    ``pick(fid, col)`` is the value of ``col`` in filter ``fid``'s row."""
+    w_n = F.coalesce(pick(where, "_n"), F.lit(0))
+    if kind == "count":
+        return [w_n.cast("double")]
+    if kind == "share":
+        return [rounded_ratio(w_n, F.coalesce(pick(of, "_n"), F.lit(0)), digits, factor=100)]
+    if kind == "mean":
+        return [mean_from(pick(where, "_sum"), pick(where, "_nv"), dtype, digits)]
+    if kind == "median":
+        return [pick(where, "median")]
+    if kind == "agreement":
+        return [pick(where, "median"), pick(where, "median_disc")]
+    raise ValueError(f"unknown check kind {kind!r}")
+
+
+def _figures(df: DataFrame, measure: str, items: list[tuple[str, Column | None, Column | None]],
+             digits: int) -> DataFrame:
+    """One row with columns ``f{i}_{j}``: figure j of item i (kind, where, of).
+
+    The per-filter summary (one row per distinct filter) is folded into this
+    row by a single conditional aggregate: no join, no driver round trip.
+    """
+    filters = _Filters()
+    ids = [(kind, filters.id(where), filters.id(of) if kind == "share" else None) for kind, where, of in items]
+    summ = filter_summary(df, measure, filters.preds, discrete=any(k == "agreement" for k, _, _ in items))
+    dtype = df.schema[measure].dataType
+    picks: dict[tuple[int, str], Column] = {}
 
+    def pick(fid: int, col: str) -> Column:
+        # max(CASE WHEN _k = fid THEN col END), built once per (filter, column)
+        if (fid, col) not in picks:
+            picks[(fid, col)] = F.max(F.when(F.col("_k") == F.lit(fid), F.col(col)))
+        return picks[(fid, col)]
 
-_SPEC = T.StructType([
-    T.StructField("check_id", T.IntegerType()), T.StructField("label", T.StringType()),
-    T.StructField("kind", T.StringType()), T.StructField("where_id", T.IntegerType()),
-    T.StructField("of_id", T.IntegerType()), T.StructField("expected", T.DoubleType()),
-    T.StructField("tolerance", T.DoubleType()),
-])
+    cols = []
+    for i, (kind, w, o) in enumerate(ids):
+        cols += [e.cast("double").alias(f"f{i}_{j}") for j, e in enumerate(_figure(kind, w, o, pick, dtype, digits))]
+    return summ.agg(*cols)
 
 
 def scorecard(df: DataFrame, measure: str, checks: Sequence[Check], digits: int = 4) -> DataFrame:
     """One row per check: (check_id, label, actual, expected, tolerance, status)."""
-    for c in checks:
-        if c.kind not in ("count", "share", "mean", "median"):
-            raise ValueError(f"unknown check kind {c.kind!r}")
-    filters = _Filters()
-    rows = [(i + 1, c.label, c.kind, filters.id(c.where), filters.id(c.of) if c.kind == "share" else None,
-             float(c.expected), float(c.tolerance)) for i, c in enumerate(checks)]
-    specs = _spec_rows(df.sparkSession, rows, _SPEC)
-    joined = _summaries(df, measure, specs, filters)
-    actual = _actual(F.col("kind"), df.schema[measure].dataType, digits).cast("double")
+    wide = _figures(df, measure, [(c.kind, c.where, c.of) for c in checks], digits)
+    rows = inline_rows(["check_id", "label", "actual", "expected", "tolerance"],
+                       [(i + 1, c.label, Ref(f"f{i}_0"), float(c.expected), float(c.tolerance))
+                        for i, c in enumerate(checks)])
     ok = F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")
-    return (joined.select("check_id", "label", actual.alias("actual"), "expected", "tolerance")
+    return (wide.select(rows)
             .withColumn("status", F.when(ok, F.lit("PASS")).otherwise(F.lit("FAIL"))).orderBy("check_id"))
 
 
@@ -135,15 +140,13 @@ def filtered_statistics(df: DataFrame, measure: str, specs: Sequence[tuple[str,
     ``specs`` is ``[(label, 'median' | 'mean' | 'count', predicate), ...]``;
     result: one row per spec, ``(label, statistic, value)``.
     """
-    filters = _Filters()
-    rows = []
-    for i, (label, kind, pred) in enumerate(specs):
+    for _, kind, _ in specs:
         if kind not in ("count", "mean", "median"):
             raise ValueError(f"unknown statistic {kind!r}")
-        rows.append((i + 1, label, kind, filters.id(pred), None, 0.0, 0.0))
-    joined = _summaries(df, measure, _spec_rows(df.sparkSession, rows, _SPEC), filters)
-    value = _actual(F.col("kind"), df.schema[measure].dataType, digits).cast("double")
-    return joined.orderBy("check_id").select("label", F.col("kind").alias("statistic"), value.alias("value"))
+    wide = _figures(df, measure, [(kind, pred, None) for _, kind, pred in specs], digits)
+    rows = inline_rows(["label", "statistic", "value"],
+                       [(label, kind, Ref(f"f{i}_0")) for i, (label, kind, _) in enumerate(specs)])
+    return wide.select(rows)
 
 
 def method_agreement(df: DataFrame, measure: str, specs: Sequence[tuple[str, Column]],
@@ -155,13 +158,11 @@ def method_agreement(df: DataFrame, measure: str, specs: Sequence[tuple[str, Col
 
     The study's cross-flavour reproducibility claim, checkable at any scale.
     """
-    filters = _Filters()
-    rows = [(i + 1, label, "median", filters.id(pred), None, 0.0, float(tolerance))
-            for i, (label, pred) in enumerate(specs)]
-    joined = _summaries(df, measure, _spec_rows(df.sparkSession, rows, _SPEC), filters, discrete=True)
+    wide = _figures(df, measure, [("agreement", pred, None) for _, pred in specs], 4)
+    rows = inline_rows(["label", "exact_median", "approx_median"],
+                       [(label, Ref(f"f{i}_0"), Ref(f"f{i}_1")) for i, (label, _) in enumerate(specs)])
     delta = F.abs(F.col("exact_median") - F.col("approx_median"))
-    return (joined.orderBy("check_id")
-            .select("label", F.col("wmedian").cast("double").alias("exact_median"),
-                    F.col("wmedian_disc").cast("double").alias("approx_median"), "tolerance")
-            .select("label", "exact_median", "approx_median", delta.alias("delta"), "tolerance",
-                    F.when(delta <= F.col("tolerance"), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status")))
+    return (wide.select(rows)
+            .select("label", "exact_median", "approx_median", delta.alias("delta"),
+                    F.lit(float(tolerance)).alias("tolerance"),
+                    F.when(delta <= F.lit(float(tolerance)), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status")))

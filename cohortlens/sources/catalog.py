@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortlens.functions.literals import inline_rows
+
 def literal_rows(spark, rows: Sequence[tuple], schema: T.StructType):
-    """A small DataFrame of literal rows, built JVM-side (``inline`` of an
-    array of structs): no Python worker, no RDD, rows kept in order."""
-    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
-               for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A small DataFrame of literal rows, built JVM-side from one SQL
+    expression: no Python worker, no RDD, rows kept in order."""
+    gen = inline_rows([f.name for f in schema.fields], rows, [f.dataType for f in schema.fields])
+    return spark.range(1).select(gen)
 
 
 _INVENTORY_SCHEMA = T.StructType([
