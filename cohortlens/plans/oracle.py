@@ -32,26 +32,49 @@ visits AS (
   FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate, o_orderpriority, o_totalprice FROM orders)
 )"""
 
-CLEAN_CTE = """
-clean AS (
-  SELECT ARREMS, WAITTIME, IMMEDR, ARRTIME, VDAYR, PAINSCALE, BOARDED, REGION,
-    CASE ARREMS WHEN 1 THEN 'Ambulance' WHEN 2 THEN 'Walk-in' END AS arrival_method,
-    CASE IMMEDR WHEN 1 THEN '1 - Immediate' WHEN 2 THEN '2 - Emergent' WHEN 3 THEN '3 - Urgent'
-                WHEN 4 THEN '4 - Semi-urgent' WHEN 5 THEN '5 - Non-urgent' END AS triage_level,
-    CASE WHEN ARRTIME BETWEEN 0 AND 559 THEN '1 - Overnight (0000-0559)'
-         WHEN ARRTIME BETWEEN 600 AND 1159 THEN '2 - Morning (0600-1159)'
-         WHEN ARRTIME BETWEEN 1200 AND 1759 THEN '3 - Afternoon (1200-1759)'
-         WHEN ARRTIME BETWEEN 1800 AND 2359 THEN '4 - Evening (1800-2359)' END AS time_of_day,
-    CASE VDAYR WHEN 1 THEN '1 - Sunday' WHEN 2 THEN '2 - Monday' WHEN 3 THEN '3 - Tuesday'
-               WHEN 4 THEN '4 - Wednesday' WHEN 5 THEN '5 - Thursday' WHEN 6 THEN '6 - Friday'
-               WHEN 7 THEN '7 - Saturday' END AS day_of_week,
-    CASE WHEN BOARDED = -7 THEN 'Not Boarded' WHEN BOARDED = -9 THEN 'Unknown'
-         WHEN BOARDED = 0 THEN 'Boarded - 0 min' WHEN BOARDED > 0 THEN 'Boarded - >0 min' END AS boarding_status,
-    CASE REGION WHEN 1 THEN '1 - Northeast' WHEN 2 THEN '2 - Midwest' WHEN 3 THEN '3 - South'
-                WHEN 4 THEN '4 - West' END AS census_region
-  FROM visits
-  WHERE ARREMS NOT IN (-9, -8) AND WAITTIME NOT IN (-9, -7, 99) AND IMMEDR NOT IN (-9, -8, 0, 7)
-)"""
+def _lit(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def case_sql(col: str, mapping) -> str:
+    """``CASE col WHEN code THEN 'label' ... END`` from a codebook mapping."""
+    return f"CASE {col} " + " ".join(f"WHEN {k} THEN {_lit(v)}" for k, v in mapping.items()) + " END"
+
+
+def bands_sql(col: str, bands) -> str:
+    return "CASE " + " ".join(f"WHEN {col} BETWEEN {lo} AND {hi} THEN '{lab}'" for lo, hi, lab in bands) + " END"
+
+
+_OPS = {"eq": "=", "ne": "<>", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}
+
+
+def classify_sql(col: str, rules) -> str:
+    return "CASE " + " ".join(f"WHEN {col} {_OPS[op]} {v} THEN '{lab}'" for op, v, lab in rules) + " END"
+
+
+def keep_sql(rules) -> str:
+    """Conjunction of ``NOT IN`` over a rule set."""
+    return " AND ".join(f"{c} NOT IN ({', '.join(str(x) for x in codes)})" for c, codes in rules.items())
+
+
+def label_sql() -> dict[str, str]:
+    """The study's label columns as DuckDB expressions (same fixed values)."""
+    from cohortlens.plans import study as S
+    return {
+        "arrival_method": case_sql("ARREMS", S.ARRIVAL_LABELS),
+        "triage_level": case_sql("IMMEDR", S.TRIAGE_LABELS),
+        "time_of_day": bands_sql("ARRTIME", S.TIME_BANDS),
+        "day_of_week": case_sql("VDAYR", S.WEEKDAY_LABELS),
+        "boarding_status": classify_sql("BOARDED", S.BOARDING_RULES),
+        "census_region": case_sql("REGION", S.REGION_LABELS),
+    }
+
+
+def _clean_cte() -> str:
+    from cohortlens.plans import study as S
+    labels = ",\n    ".join(f"{expr} AS {name}" for name, expr in label_sql().items())
+    return (f"\nclean AS (\n  SELECT {', '.join(S.BASE_COLUMNS)},\n    {labels}\n"
+            f"  FROM visits\n  WHERE {keep_sql(S.CLEAN_RULES)}\n)")
 
 
 def r(num: str, den: str, digits: int, factor: int = 1) -> str:
@@ -68,5 +91,5 @@ def avg1(x: str) -> str:
 
 
 def with_visits(body: str, clean: bool = True) -> str:
-    ctes = VISITS_CTE + ("," + CLEAN_CTE if clean else "")
+    ctes = VISITS_CTE + ("," + _clean_cte() if clean else "")
     return f"WITH {ctes}\n{body}"

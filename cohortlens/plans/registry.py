@@ -20,7 +20,7 @@ from cohortlens.operators import rules as R
 from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
-from cohortlens.plans.oracle import avg1, r, with_visits
+from cohortlens.plans.oracle import avg1, case_sql, keep_sql, r, with_visits
 from cohortlens.sources import bindings as B
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,8 @@ def _study(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # SQL fragments ---------------------------------------------------------------
-TWO_LAYER_SQL = "ARREMS NOT IN (-9, -8) AND WAITTIME NOT IN (-9, -7, 99)"
-CLEAN_SQL = TWO_LAYER_SQL + " AND IMMEDR NOT IN (-9, -8, 0, 7)"
+TWO_LAYER_SQL = keep_sql(S.TWO_LAYER_RULES)
+CLEAN_SQL = keep_sql(S.CLEAN_RULES)
 N = "CAST(count(*) AS BIGINT)"
 PCT_ALL = r("count(*)", "sum(count(*)) OVER ()", 2, 100)
 MED = "round(quantile_cont(WAITTIME, 0.5), 1)"
@@ -149,7 +149,8 @@ def clean_universe(spark, sf_dir):
     return _study(spark, sf_dir, "clean_universe")
 
 
-_A_EX, _W_EX = "ARREMS IN (-9, -8)", "WAITTIME IN (-9, -7, 99)"
+_A_EX = f"ARREMS IN ({_int_list(S.ARREMS_RULE['ARREMS'])})"
+_W_EX = f"WAITTIME IN ({_int_list(S.WAITTIME_RULE['WAITTIME'])})"
 
 
 @query("exclusion_waterfall", with_visits(
@@ -211,7 +212,7 @@ def profile_subtotals(spark, sf_dir):
     return _study(spark, sf_dir, "profile_subtotals")
 
 
-_SHORT_DAY_SQL = "CASE VDAYR " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in S.WEEKDAY_SHORT.items()) + " END"
+_SHORT_DAY_SQL = case_sql("VDAYR", S.WEEKDAY_SHORT)
 
 
 @query("weekday_profile", with_visits(
@@ -367,7 +368,7 @@ def _step_query(name: str) -> QueryFn:
 for _name in _DIMENSION_QUERIES:
     query(_name, ORACLE_CONTRASTS[_name])(_step_query(_name))
 
-_BOARDED_SQL = "boarding_status IN ('Boarded - 0 min', 'Boarded - >0 min')"
+_BOARDED_SQL = f"boarding_status IN ({', '.join(repr(b) for b in S.BOARDED_STATUSES)})"
 
 
 @query("boarding_rate", with_visits(
