@@ -18,15 +18,18 @@ from cohortlens.plans import study as S
 
 
 def load_visits(spark, path: str, fmt: str, csv_mode: str):
+    """(visits, raw): the typed visit relation, and the table as stored when
+    the visits are a projection of it (a wide CSV read by column name)."""
     from cohortlens.sources.bindings import read_visits
     from cohortlens.sources.csv import VISIT_SCHEMA, read_visits_csv, read_visits_csv_by_name
     if fmt == "table":
-        return spark.read.table(path)
+        return spark.read.table(path), None
     if fmt == "csv":
         if csv_mode == "by_name":
-            return read_visits_csv_by_name(spark, path)
-        return read_visits_csv(spark, path, schema=None if csv_mode == "infer" else VISIT_SCHEMA)
-    return read_visits(spark, path, fmt)
+            raw = spark.read.option("header", True).csv(path)
+            return read_visits_csv_by_name(spark, path), raw
+        return read_visits_csv(spark, path, schema=None if csv_mode == "infer" else VISIT_SCHEMA), None
+    return read_visits(spark, path, fmt), None
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -51,9 +54,9 @@ def main(argv: list[str] | None = None) -> int:
 
     from cohortlens.session import get_spark, scratch_dir
     spark = get_spark(args.master)
-    visits = load_visits(spark, args.visits, args.format, args.csv_mode)
+    visits, raw = load_visits(spark, args.visits, args.format, args.csv_mode)
     steps = [s for s in (args.steps or "").split(",") if s] or None
-    outputs = T.run_study(visits, steps)
+    outputs = T.run_study(visits, steps, raw=raw)
     if args.method != "exact" and (steps is None or "run_dimension_default" in steps):
         outputs["run_dimension_default"] = S.run_dimension(visits, S.DEFAULT_DIMENSION, args.method)
     out = (args.out or scratch_dir(spark, "study")).rstrip("/")

@@ -280,18 +280,29 @@ STEPS: dict[str, Step] = {
 }
 
 
+# Steps about the table itself rather than the typed visit columns.
+CATALOG_STEPS = ("column_inventory", "required_columns", "dataset_shape", "head_sample")
+
+
 def run_study(visits: DataFrame, steps: list[str] | None = None,
-              expected: dict[str, float] | None = None) -> dict[str, DataFrame]:
+              expected: dict[str, float] | None = None, raw: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every step's output for ``visits`` (lazy DataFrames, study order).
 
     ``expected`` feeds the scorecard (label -> value); without it the
     scorecard compares against the coded binding's sf0.01 figures.
-    Steps that write (``csv_scan``) run only when named in ``steps``.
+    ``raw`` is the table as stored when ``visits`` is a typed projection of
+    it (a wide CSV): the catalog steps describe ``raw``.  Steps that write
+    (``csv_scan``) run only when named in ``steps``.
     """
     clean = S.clean_universe(visits)
     names = steps or [n for n in STEPS if n != "csv_scan"]
     out = {}
     for name in names:
         fn = STEPS[name]
-        out[name] = fn(visits, clean, expected) if name in ("scorecard", "scorecard_summary") else fn(visits, clean)
+        if name in ("scorecard", "scorecard_summary"):
+            out[name] = fn(visits, clean, expected)
+        elif name in CATALOG_STEPS and raw is not None:
+            out[name] = fn(raw, clean)
+        else:
+            out[name] = fn(visits, clean)
     return out

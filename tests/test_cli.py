@@ -16,13 +16,16 @@ def test_cli_runs_the_study_on_a_wide_csv(spark):
     src = scratch_dir(spark, "cli-src")
     wide.write.option("header", True).csv(src)
     out = scratch_dir(spark, "cli-out")
-    steps = "distribution_contrast,exclusion_waterfall,scorecard_summary"
+    steps = "distribution_contrast,exclusion_waterfall,scorecard_summary,column_inventory,schema_validation"
     assert main(["--visits", src, "--format", "csv", "--out", out, "--steps", steps]) == 0
     got = sorted(tuple(r) for r in spark.read.parquet(f"{out}/distribution_contrast").collect())
     want = sorted(tuple(r) for r in QUERIES["distribution_contrast"](spark, SF001).collect())
     assert got == want
     w = spark.read.parquet(f"{out}/exclusion_waterfall").first()
     assert w.total_records == 1500
+    inv = spark.read.parquet(f"{out}/column_inventory").orderBy("ordinal_position").collect()
+    assert len(inv) == 17 and inv[0].column_name == "DRUGID1"  # the file as stored, all columns
+    assert all(r.ok for r in spark.read.parquet(f"{out}/schema_validation").collect())  # typed core columns
 
 
 def test_cli_lists_steps(capsys):
