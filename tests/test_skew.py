@@ -56,3 +56,16 @@ def test_gap_extremes_keep_all_ties(spark):
     one = spark.createDataFrame([("a", 2.0)], "level string, gap double")
     assert sorted((r.extreme, r.level) for r in gap_extremes(one, "level").collect()) == \
         [("narrowest", "a"), ("widest", "a")]
+
+
+def test_exact_quantiles_with_null_and_multi_keys(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, 0, 1]), rnd.choice([None, "a", "b"]), rnd.choice([None, rnd.random() * 100]))
+            for _ in range(5000)]
+    df = spark.createDataFrame(rows, "g int, h string, x double")
+    probs = {"p0": 0.0, "p25": 0.25, "median": 0.5, "p100": 1.0}
+    got = {(r.g, r.h): (r.p0, r.p25, r.median, r.p100)
+           for r in exact_quantiles(df, ["g", "h"], "x", probs, partitions=11).collect()}
+    want = {(r.g, r.h): tuple(r.q) for r in df.groupBy("g", "h").agg(
+        F.percentile("x", list(probs.values())).alias("q")).collect() if r.q is not None}
+    assert got == want and len(got) == 9
