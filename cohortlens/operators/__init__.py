@@ -1,6 +1,7 @@
 """DataFrame -> DataFrame operators."""
 
 from cohortlens.operators.contrasts import cohort_rate, contrast, rate_ratio, share_within
+from cohortlens.operators.decode import decode_with_table
 from cohortlens.operators.gaps import gap_extremes, gap_table, gap_verdict, mean_median_divergence
 from cohortlens.operators.profile import (
     cardinality, frequency, profile_subtotals, range_check, sentinel_hunt, sentinel_summary,
@@ -15,7 +16,7 @@ from cohortlens.operators.scorecard import (
 
 __all__ = [
     "cohort_rate", "contrast", "filtered_statistics", "rate_ratio", "share_within",
-    "gap_extremes", "gap_table", "gap_verdict", "mean_median_divergence",
+    "decode_with_table", "gap_extremes", "gap_table", "gap_verdict", "mean_median_divergence",
     "cardinality", "frequency", "profile_subtotals", "range_check", "sentinel_hunt",
     "sentinel_summary", "stack_blocks", "top_values",
     "exclude_codes", "final_universe", "keep_mask", "layer_accounting", "waterfall",

@@ -133,3 +133,19 @@ def test_gap_table_is_deterministic_when_codes_share_a_label(spark):
     g = {r.census_region: (r.ambulance, r.walk_in, r.gap) for r in
          gap_table(con, "census_region", "arrival_method", "median_wait_minutes", S.GAP_COHORTS).collect()}
     assert g[None] == (40.0, 20.0, 20.0)
+
+
+def test_decode_with_table_matches_case_decode(spark):
+    import pytest
+    from cohortlens.functions.labels import decode_codes
+    from cohortlens.operators import decode_with_table
+    df = visits_df(spark, [visit(IMMEDR=i) for i in (1, 2, 3, 4, 5, 0, 9)])
+    book = spark.createDataFrame(list(S.TRIAGE_LABELS.items()), "code int, label string")
+    got = decode_with_table(df, "IMMEDR", book, "code", "label", "triage_level")
+    want = df.withColumn("triage_level", decode_codes("IMMEDR", S.TRIAGE_LABELS))
+    assert sorted(got.select("IMMEDR", "triage_level").collect(), key=repr) == \
+        sorted(want.select("IMMEDR", "triage_level").collect(), key=repr)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    dup = spark.createDataFrame([(1, "a"), (1, "b")], "code int, label string")
+    with pytest.raises(ValueError):
+        decode_with_table(df, "IMMEDR", dup, "code", "label", "x")
