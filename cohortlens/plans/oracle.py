@@ -86,6 +86,18 @@ def r(num: str, den: str, digits: int, factor: int = 1) -> str:
     return f"(CASE WHEN {d} <> 0 THEN CAST({signed} AS DOUBLE) / {float(10 ** digits)} END)"
 
 
+def r_even(num: str, den: str, digits: int, factor: int = 1) -> str:
+    """Exact HALF_EVEN rounding of factor*num/den (integers), as DuckDB SQL."""
+    m = factor * 10 ** digits
+    n, d = f"CAST({num} AS HUGEINT)", f"CAST({den} AS HUGEINT)"
+    scaled = f"({m} * abs({n}))"
+    q = f"({scaled} // abs({d}))"
+    twice = f"(2 * ({scaled} - {q} * abs({d})))"
+    up = f"(CASE WHEN {twice} > abs({d}) OR ({twice} = abs({d}) AND {q} % 2 = 1) THEN 1 ELSE 0 END)"
+    signed = f"(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -({q} + {up}) ELSE {q} + {up} END)"
+    return f"(CASE WHEN {d} <> 0 THEN CAST({signed} AS DOUBLE) / {float(10 ** digits)} END)"
+
+
 def avg1(x: str) -> str:
     return r(f"sum({x})", f"count({x})", 1)
 

@@ -20,7 +20,7 @@ from cohortlens.operators import rules as R
 from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
-from cohortlens.plans.oracle import avg1, case_sql, keep_sql, r, with_visits
+from cohortlens.plans.oracle import avg1, case_sql, keep_sql, r, r_even, with_visits
 from cohortlens.sources import bindings as B
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -344,6 +344,13 @@ ORACLE_CONTRASTS = {
                                        "arrival_method", f"{_AVG}, {_MED}", level_first=True),
 }
 ORACLE_CONTRASTS["run_dimension_default"] = ORACLE_CONTRASTS["distribution_contrast"]
+ORACLE_CONTRASTS["distribution_contrast_discrete"] = ORACLE_CONTRASTS["distribution_contrast_approx"]
+ORACLE_CONTRASTS["distribution_contrast_half_even"] = _contrast_sql(
+    "triage_level", "triage_level", "ARREMS, IMMEDR, arrival_method, triage_level",
+    f"{r_even('sum(WAITTIME)', 'count(WAITTIME)', 1)} AS avg_wait_minutes, "
+    "CAST(round_even(quantile_cont(WAITTIME, 0.5), 1) AS DOUBLE) AS median_wait_minutes, "
+    "CAST(round_even(quantile_cont(WAITTIME, 0.25), 1) AS DOUBLE) AS p25_wait_minutes, "
+    "CAST(round_even(quantile_cont(WAITTIME, 0.75), 1) AS DOUBLE) AS p75_wait_minutes")
 
 _DIMENSION_QUERIES = {
     "core_contrast": ("core", "exact"),
@@ -355,6 +362,8 @@ _DIMENSION_QUERIES = {
     "boarding_contrast": ("boarding", "exact"),
     "regional_contrast": ("region", "exact"),
     "run_dimension_default": (S.DEFAULT_DIMENSION, "exact"),
+    "distribution_contrast_discrete": ("distribution", "discrete"),
+    "distribution_contrast_half_even": ("distribution", "exact"),
 }
 
 

@@ -166,9 +166,9 @@ def boarding_status_profile(visits, clean):
 
 # ---- contrasts (steps 5, 6, 8-12) ---------------------------------------------------
 
-def _dimension(name: str, method: str = "exact") -> Step:
+def _dimension(name: str, method: str = "exact", rounding: str = "half_up") -> Step:
     def step(visits, clean):
-        return S.dimension_contrast(clean, name, method)
+        return S.dimension_contrast(clean, name, method, rounding)
     step.__name__ = f"{name}_contrast"
     return step
 
@@ -177,6 +177,8 @@ core_contrast = _dimension("core")
 distribution_contrast = _dimension("distribution")
 distribution_contrast_approx = _dimension("distribution", "approx")
 distribution_contrast_sorted = _dimension("distribution", "exact_sorted")
+distribution_contrast_discrete = _dimension("distribution", "discrete")
+distribution_contrast_half_even = _dimension("distribution", "exact", "half_even")
 time_of_day_contrast = _dimension("time_of_day")
 day_of_week_contrast = _dimension("day_of_week")
 pain_contrast = _dimension("pain")
@@ -267,6 +269,8 @@ STEPS: dict[str, Step] = {
     "core_contrast": core_contrast, "distribution_contrast": distribution_contrast,
     "distribution_contrast_approx": distribution_contrast_approx,
     "distribution_contrast_sorted": distribution_contrast_sorted,
+    "distribution_contrast_discrete": distribution_contrast_discrete,
+    "distribution_contrast_half_even": distribution_contrast_half_even,
     "time_of_day_contrast": time_of_day_contrast, "day_of_week_contrast": day_of_week_contrast,
     "pain_contrast": pain_contrast, "boarding_contrast": boarding_contrast,
     "regional_contrast": regional_contrast, "run_dimension_default": run_dimension_default,
