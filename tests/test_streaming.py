@@ -3,7 +3,7 @@ import pytest
 from cohortlens.plans import study as S
 from cohortlens.session import scratch_dir
 from cohortlens.sources import coded_visits
-from cohortlens.streaming import STREAMABLE_DIMENSIONS, incremental_contrast, start, visit_stream
+from cohortlens.streaming import finish_batch, incremental_contrast, start, visit_stream
 from conftest import SF001
 
 
@@ -32,7 +32,19 @@ def test_parquet_sink(spark, visit_files):
     assert spark.read.parquet(out).count() == 10
 
 
-def test_boarding_is_not_streamable(spark, visit_files):
-    assert "boarding" not in STREAMABLE_DIMENSIONS
+def test_boarding_streams_with_a_per_batch_share(spark, visit_files):
+    out = scratch_dir(spark, "test-stream-boarding")
+    stream = visit_stream(spark, visit_files, max_files_per_trigger=2)
+    q = start(incremental_contrast(stream, "boarding"), "inc_boarding", sink_path=out,
+              finish=finish_batch("boarding"))
+    q.awaitTermination(180)
+    got = spark.read.parquet(out)
+    want = S.run_dimension(coded_visits(spark, SF001), "boarding")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_finish_needs_a_sink(spark, visit_files):
     with pytest.raises(ValueError):
-        incremental_contrast(visit_stream(spark, visit_files), "boarding")
+        start(incremental_contrast(visit_stream(spark, visit_files), "boarding"), "x",
+              finish=finish_batch("boarding"))
