@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.labels import band_ranges
 from cohortlens.functions.stats import weekday_of
 from cohortlens.operators import contrasts as C
+from cohortlens.operators import profile as P
 from cohortlens.operators import rules as R
 from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
@@ -616,3 +617,23 @@ def distribution_contrast_stored(spark, sf_dir):
         return B.read_visits(spark, path)
     stored = _shared("stored_visits", spark, sf_dir, build)
     return S.run_dimension(stored, "distribution")
+
+
+# ---- profiles on real columns (low and high cardinality) ------------------------
+
+@query("orders_status_profile",
+       f"SELECT o_orderstatus AS value, {N} AS n, {PCT_ALL} AS pct_of_total FROM orders GROUP BY o_orderstatus")
+def orders_status_profile(spark, sf_dir):
+    o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus"])
+    return P.frequency(o, "o_orderstatus").orderBy(F.desc("n"))
+
+
+@query("orders_top_prices",
+       "SELECT value, n, pct_of_total, rank FROM (SELECT o_totalprice AS value, " + N + " AS n, "
+       + PCT_ALL + " AS pct_of_total, CAST(row_number() OVER (ORDER BY count(*) DESC, o_totalprice ASC NULLS LAST) "
+       "AS INTEGER) AS rank FROM orders GROUP BY o_totalprice) WHERE rank <= 20")
+def orders_top_prices(spark, sf_dir):
+    """Top-k over a column whose values are nearly all distinct: one group
+    per order, shares over all of them, k rows kept per partition."""
+    o = B.read_table(spark, sf_dir, "orders", ["o_totalprice"])
+    return P.top_values(o, "o_totalprice", 20)
