@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.literals import sql_literal
 from cohortlens.functions.stats import rounded_ratio
 
 Rules = Mapping[str, Sequence[int]]
@@ -82,13 +83,14 @@ def layer_accounting(df: DataFrame, layers: Sequence[tuple[str, Rules]]) -> Data
     layers 0..i.  A first row ``start`` carries the total.
     """
     aggs = [F.count(F.lit(1)).alias("s0")]
-    cumulative: dict[str, Sequence[int]] = {}
+    cumulative: dict[str, list[int]] = {}
     for i, (_, rules) in enumerate(layers, start=1):
-        cumulative = {**cumulative, **rules}
+        for column, codes in rules.items():  # a later layer adds codes, never replaces them
+            cumulative[column] = sorted(set(cumulative.get(column, [])) | set(codes))
         aggs.append(F.count_if(keep_mask(cumulative)).alias(f"s{i}"))
     wide = df.agg(*aggs)
     names = ["start"] + [name for name, _ in layers]
-    entries = ", ".join(f"{i}, '{n}', s{i}, s{max(i - 1, 0)}" for i, n in enumerate(names))
+    entries = ", ".join(f"{i}, {sql_literal(n)}, s{i}, s{max(i - 1, 0)}" for i, n in enumerate(names))
     long = wide.select(F.expr(f"stack({len(names)}, {entries})")
                        .alias("step", "layer", "rows_remaining", "rows_before"), F.col("s0").alias("total"))
     return long.select(

@@ -149,3 +149,11 @@ def test_decode_with_table_matches_case_decode(spark):
     dup = spark.createDataFrame([(1, "a"), (1, "b")], "code int, label string")
     with pytest.raises(ValueError):
         decode_with_table(df, "IMMEDR", dup, "code", "label", "x")
+
+
+def test_layers_on_the_same_column_accumulate(spark):
+    from cohortlens.operators import layer_accounting
+    df = visits_df(spark, [visit(IMMEDR=c) for c in (0, 7, 1, 2)])
+    rows = layer_accounting(df, [("no triage 0", {"IMMEDR": [0]}), ("it's 7", {"IMMEDR": [7]})]).collect()
+    assert [(r.layer, r.rows_remaining, r.rows_removed) for r in rows] == \
+        [("start", 4, 0), ("no triage 0", 3, 1), ("it's 7", 2, 1)]
