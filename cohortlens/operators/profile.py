@@ -65,8 +65,9 @@ def top_values(df: DataFrame, column: str | Column, k: int = 20, value_name: str
 
     The share is computed before the cut (so it is of every row, not of the
     top-k).  Ties are broken by value so rank k is deterministic.  Spark
-    plans the ``row_number <= k`` filter as a per-partition WindowGroupLimit,
-    so only k rows per partition reach the single final sort.
+    plans the ``row_number <= k`` filter with a ``TakeOrderedAndProject``
+    below the window: each partition keeps k rows, and only those meet in
+    the final ranking.
     """
     return top_of_profile(frequency(df, column, value_name, pct_name, digits), k, value_name)
 
