@@ -71,8 +71,10 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     x = F.col(measure)
     qnames = [s for s in ("median", "p25", "p75") if s in stats]
     probs = {n: QUANTILE_PROBS[n] for n in qnames}
-    measured = any(s in stats for s in ("n_valid", "avg", "min", "max", "median", "p25", "p75"))
-    if method in ("exact", "discrete") and measured:
+    # The histogram is for quantiles.  Counts, sums, minima and maxima have
+    # fixed-size partial states, so a plain partial aggregate is already
+    # skew-proof for them and needs one shuffle fewer.
+    if method in ("exact", "discrete") and qnames:
         grouped = _from_histogram(df, cohort, level, measure, dtype, probs, stats, digits, rounding,
                                   "interpolated" if method == "exact" else "discrete")
     else:
