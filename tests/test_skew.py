@@ -69,3 +69,30 @@ def test_exact_quantiles_with_null_and_multi_keys(spark):
     want = {(r.g, r.h): tuple(r.q) for r in df.groupBy("g", "h").agg(
         F.percentile("x", list(probs.values())).alias("q")).collect() if r.q is not None}
     assert got == want and len(got) == 9
+
+
+def test_sketch_contrast_is_within_rank_error(spark):
+    """Two-level KLL quartiles: n/avg/min/max exact, quartiles observed values
+    within the sketch's rank error of the exact rank, for a hot group too."""
+    rnd = random.Random(23)
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 3), rnd.randint(1, 4), rnd.random() * 1000) for i in range(60000)]
+    df = spark.createDataFrame(rows, "c int, l int, x double")
+    stats = ("n", "avg", "min", "max", "median", "p25", "p75")
+    sk = {(r.c, r.l): r for r in contrast(df, "c", "l", "x", stats=stats, method="sketch", salts=8).collect()}
+    ex = {(r.c, r.l): r for r in contrast(df, "c", "l", "x", stats=("n", "avg", "min", "max"),
+                                          method="percentile").collect()}
+    assert sk.keys() == ex.keys()
+    for key, r in sk.items():
+        assert (r.n, r.avg_wait_minutes, r.min_wait_minutes, r.max_wait_minutes) == \
+            (ex[key].n, ex[key].avg_wait_minutes, ex[key].min_wait_minutes, ex[key].max_wait_minutes)
+        xs = sorted(x for c, lv, x in rows if (c, lv) == key)
+        for name, p in (("p25_wait_minutes", 0.25), ("median_wait_minutes", 0.5), ("p75_wait_minutes", 0.75)):
+            q = getattr(r, name)
+            rank = sum(1 for x in xs if x <= q) / len(xs)
+            assert q in xs and abs(rank - p) <= 0.03, (key, name, rank)
+
+
+def test_sketch_contrast_small_groups_are_exact_observed_values(spark):
+    df = spark.createDataFrame([(1, 1, v) for v in (5, 1, 9, 3, 7)], "c int, l int, x int")
+    r = contrast(df, "c", "l", "x", stats=("median", "p25"), method="sketch").first()
+    assert (r.median_wait_minutes, r.p25_wait_minutes) == (5.0, 3.0)
