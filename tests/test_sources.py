@@ -51,3 +51,47 @@ def test_n_valid_counts_non_null_measure(spark):
     df = spark.createDataFrame([(1, 1, 5), (1, 1, None), (1, 1, 7)], "c int, l int, x int")
     r = contrast(df, "c", "l", "x", stats=("n", "n_valid", "avg")).first()
     assert (r.n, r.n_valid, r.avg_wait_minutes) == (3, 2, 6.0)
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = dict(values)
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def set(self, key, value):
+        self.values[key] = value
+
+
+class _Context:
+    def __init__(self):
+        self.dir = None
+
+    def getCheckpointDir(self):
+        return self.dir
+
+    def setCheckpointDir(self, d):
+        self.dir = d
+
+
+class _Session:
+    def __init__(self, values):
+        self.conf = _Conf(values)
+        self.sparkContext = _Context()
+
+
+def test_scratch_dir_uses_the_configured_shared_folder():
+    s = _Session({"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    path = scratch_dir(s, "csv")
+    assert path.startswith("hdfs:///shared/ckpt/csv/")
+    assert scratch_dir(s, "csv") != path                     # a fresh folder every time
+    assert s.sparkContext.dir == "hdfs:///shared/ckpt"        # checkpoint() writes there too
+    assert s.conf.get("spark.checkpoint.dir") == "hdfs:///shared/ckpt"  # never overridden
+
+
+def test_scratch_dir_sets_a_local_folder_only_when_unset():
+    s = _Session({})
+    base = scratch_dir(s)
+    assert base and s.conf.get("spark.checkpoint.dir") == base
+    assert scratch_dir(s) == base                              # set once, then read back
