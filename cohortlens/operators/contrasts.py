@@ -106,9 +106,24 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
                          *[F.col(n).alias(f"_{n}") for n in qnames])
             cond = grouped[cohort].eqNullSafe(q[f"_q_{cohort}"]) & grouped[level].eqNullSafe(q[f"_q_{level}"])
             grouped = grouped.join(q, cond, "left").drop(f"_q_{cohort}", f"_q_{level}")
+    return present(grouped, cohort, level, stats=stats, suffix=suffix, cohort_labels=cohort_labels,
+                   level_labels=level_labels, cohort_name=cohort_name, level_name=level_name,
+                   share_name=share_name, level_first=level_first, order_by=order_by, rounding=rounding,
+                   drop_unlabelled=drop_unlabelled)
+
+
+def present(grouped: DataFrame, cohort: str, level: str, *, stats: Sequence[str], suffix: str = "wait_minutes",
+            cohort_labels: Mapping | None = None, level_labels: Mapping | None = None,
+            cohort_name: str | None = None, level_name: str | None = None,
+            share_name: str = "pct_of_cohort", level_first: bool = False,
+            order_by: Sequence[str] | None = None, rounding: str = "half_up",
+            drop_unlabelled: bool = False) -> DataFrame:
+    """Second half of ``contrast``: from one row per (cohort code, level
+    code) with the statistics in ``_n``, ``_avg``, ``_median``... (already
+    rounded) to the output -- share of the cohort, labels decoded on the
+    group keys, named statistic columns, sorted by codes."""
     if "share" in stats:
         grouped = grouped.withColumn("_share", share_within("_n", [cohort], rounding=rounding))
-
     cohort_name = cohort_name or cohort
     level_name = level_name or level
     label_cols = [_labelled(cohort, cohort_labels, cohort_name), _labelled(level, level_labels, level_name)]

@@ -25,6 +25,7 @@ from cohortlens.operators.scorecard import scorecard as _scorecard
 from cohortlens.operators.scorecard import scorecard_summary as _scorecard_summary
 from cohortlens.plans import checks as K
 from cohortlens.plans import study as S
+from cohortlens.session import scratch_dir
 from cohortlens.sources import catalog as CAT
 from cohortlens.sources.csv import VISIT_SCHEMA, csv_round_trip
 
@@ -287,11 +288,61 @@ STEPS: dict[str, Step] = {
 # Steps about the table itself rather than the typed visit columns.
 CATALOG_STEPS = ("column_inventory", "required_columns", "dataset_shape", "head_sample")
 
+# Steps a study run reads off the shared per-dimension statistics table:
+# name -> (dimension, rounding) for contrasts; gap steps by dimension.
+_SHARED_CONTRASTS = {
+    "core_contrast": ("core", "half_up"), "distribution_contrast": ("distribution", "half_up"),
+    "distribution_contrast_half_even": ("distribution", "half_even"),
+    "time_of_day_contrast": ("time_of_day", "half_up"), "day_of_week_contrast": ("day_of_week", "half_up"),
+    "pain_contrast": ("pain", "half_up"), "boarding_contrast": ("boarding", "half_up"),
+    "regional_contrast": ("region", "half_up"), "run_dimension_default": (S.DEFAULT_DIMENSION, "half_up"),
+}
+_SHARED_GAPS = {"gap_by_triage": "distribution", "gap_by_time": "time_of_day", "gap_by_day": "day_of_week",
+                "gap_by_pain": "pain", "gap_by_region": "region"}
+_SHARED_VERDICTS = ("study_all_dimensions", "gap_verdict", "gap_extremes", "mean_median_divergence")
+SHARED_STEPS = (*_SHARED_CONTRASTS, *_SHARED_GAPS, *_SHARED_VERDICTS)
+
+
+def _from_statistics(name: str, visits: DataFrame, clean: DataFrame, table: DataFrame) -> DataFrame:
+    dtype = clean.schema[S.MEASURE].dataType
+    if name in _SHARED_CONTRASTS:
+        dim, rounding = _SHARED_CONTRASTS[name]
+        return S.contrast_from_statistics(table, dim, rounding=rounding, dtype=dtype)
+    if name in _SHARED_GAPS:
+        dim = _SHARED_GAPS[name]
+        index = GAP_LEVELS[dim]
+        con = S.contrast_from_statistics(table, dim, dtype=dtype)
+        if dim == "pain":
+            con = con.filter(F.col(index).between(*S.PAIN_GAP_RANGE))
+        return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS)
+    if name == "study_all_dimensions":
+        return S.all_dimensions(visits, clean=clean, stats=table)
+    if name == "gap_verdict":
+        return G.gap_verdict(S.gap_tables(visits, clean=clean, stats=table), by=["dimension"])
+    if name == "gap_extremes":
+        return G.gap_extremes(S.gap_tables(visits, clean=clean, stats=table), "level", by=["dimension"])
+    return S.divergence_table(visits, clean=clean, stats=table)
 
-def run_study(visits: DataFrame, steps: list[str] | None = None,
-              expected: dict[str, float] | None = None, raw: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every step's output for ``visits`` (lazy DataFrames, study order).
 
+def shared_statistics(clean: DataFrame) -> DataFrame:
+    """The per-dimension statistics of ``clean`` computed once (one scan)
+    and written under the shared checkpoint folder; returns the stored
+    table, so every step that reads it neither rescans nor recomputes."""
+    spark = clean.sparkSession
+    path = scratch_dir(spark, "study-statistics")
+    S.dimension_statistics(clean).write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+def run_study(visits: DataFrame, steps: list[str] | None = None,
+              expected: dict[str, float] | None = None, raw: DataFrame | None = None,
+              shared: bool = True) -> dict[str, DataFrame]:
+    """Every step's output for ``visits`` (DataFrames, study order).
+
+    With ``shared`` (default) the contrasts, gap tables and verdicts of all
+    dimensions are read off one statistics table computed in a single scan
+    and stored under the shared checkpoint folder (``shared_statistics``;
+    that one job runs here); every other step stays lazy.
     ``expected`` feeds the scorecard (label -> value); without it the
     scorecard compares against the coded binding's sf0.01 figures.
     ``raw`` is the table as stored when ``visits`` is a typed projection of
@@ -300,10 +351,13 @@ def run_study(visits: DataFrame, steps: list[str] | None = None,
     """
     clean = S.clean_universe(visits)
     names = steps or [n for n in STEPS if n != "csv_scan"]
+    table = shared_statistics(clean) if shared and any(n in SHARED_STEPS for n in names) else None
     out = {}
     for name in names:
         fn = STEPS[name]
-        if name in ("scorecard", "scorecard_summary"):
+        if table is not None and name in SHARED_STEPS:
+            out[name] = _from_statistics(name, visits, clean, table)
+        elif name in ("scorecard", "scorecard_summary"):
             out[name] = fn(visits, clean, expected)
         elif name in CATALOG_STEPS and raw is not None:
             out[name] = fn(raw, clean)

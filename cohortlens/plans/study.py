@@ -13,10 +13,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlens.functions.labels import band_cuts, band_ranges, classify, decode_codes
-from cohortlens.functions.stats import mean_expr, mean_from, quantile_exprs
-from cohortlens.operators.contrasts import contrast
+from cohortlens.functions.stats import QUANTILE_PROBS, mean_expr, mean_from, quantile_exprs, round_value
+from cohortlens.operators.contrasts import contrast, present
 from cohortlens.operators.gaps import gap_table, mean_median_divergence
 from cohortlens.operators.quantiles import histogram_summary
 from cohortlens.operators.rules import exclude_codes, keep_mask
@@ -139,6 +140,58 @@ def dimension_contrast(clean: DataFrame, name: str = DEFAULT_DIMENSION, method:
     )
 
 
+# Level columns of the dimension sets, one grouping set each (core and
+# distribution share the triage set).
+STAT_LEVELS = ["IMMEDR", "time_of_day", "VDAYR", "PAINSCALE", "boarding_status", "REGION"]
+
+
+def _set_gid(level: str) -> int:
+    """grouping_id() of the set that groups ``level`` (cohort and value bits 0)."""
+    k = len(STAT_LEVELS)
+    return (2 ** k - 1) ^ (1 << (k - 1 - STAT_LEVELS.index(level)))
+
+
+def dimension_statistics(clean: DataFrame, method: str = "exact") -> DataFrame:
+    """Every statistic of every dimension from ONE scan of the clean universe.
+
+    GROUPING SETS over (cohort, value, level_i) give one histogram for all
+    dimensions (partial counts shuffled by value); each (set, cohort, level)
+    row then carries ``_n``, ``_nv``, ``_sum``, ``_min``, ``_max`` and the
+    quartiles (unrounded).  The result is small -- one row per group of every
+    dimension -- and a whole study run derives all its contrasts, gap tables
+    and verdicts from it (``contrast_from_statistics``, ``all_dimensions``).
+    """
+    kind = "interpolated" if method == "exact" else "discrete"
+    hist = (clean.groupingSets([[COHORT, MEASURE, lvl] for lvl in STAT_LEVELS], COHORT, MEASURE, *STAT_LEVELS)
+            .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_c"))
+            .withColumnRenamed(MEASURE, "_v"))
+    return histogram_summary(hist, ["_gid", COHORT, *STAT_LEVELS], QUANTILE_PROBS, kind)
+
+
+def _round_stats(rows: DataFrame, level: str, dtype, discrete: bool, rounding: str, digits: int = 1) -> DataFrame:
+    """(cohort, level, _n, _n_valid, _avg, _min, _max, _p25, _median, _p75) rounded as ``contrast`` does."""
+    def q(c: str) -> Column:
+        return (F.col(c) if discrete else round_value(F.col(c), digits, rounding)).cast("double")
+    return rows.select(COHORT, level, F.col("_n"), F.col("_nv").alias("_n_valid"),
+                       mean_from(F.col("_sum"), F.col("_nv"), dtype, digits, rounding).alias("_avg"),
+                       round_value(F.col("_min").cast("double"), digits, rounding).alias("_min"),
+                       round_value(F.col("_max").cast("double"), digits, rounding).alias("_max"),
+                       *[q(n).alias(f"_{n}") for n in QUANTILE_PROBS])
+
+
+def contrast_from_statistics(table: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact",
+                             rounding: str = "half_up", dtype=None) -> DataFrame:
+    """``dimension_contrast`` of one dimension, read off ``dimension_statistics``
+    (same columns, values and order)."""
+    d = DIMENSIONS[name]
+    rows = table.filter(F.col("_gid") == F.lit(_set_gid(d.level)))
+    grouped = _round_stats(rows, d.level, dtype or T.IntegerType(), method == "discrete", rounding)
+    return present(grouped, COHORT, d.level, stats=d.stats, cohort_labels=ARRIVAL_LABELS,
+                   level_labels=d.level_labels, cohort_name="arrival_method", level_name=d.level_name,
+                   share_name="pct_of_arrival_method", level_first=d.level_first,
+                   order_by=list(d.order_by) if d.order_by else None, rounding=rounding)
+
+
 # Dimensions answered together by ``all_dimensions`` (core/distribution share
 # one grouping, so the triage grouping appears once).
 _SET_LEVELS = [("triage", "IMMEDR", TRIAGE_LABELS), ("time_of_day", "time_of_day", None),
@@ -146,7 +199,8 @@ _SET_LEVELS = [("triage", "IMMEDR", TRIAGE_LABELS), ("time_of_day", "time_of_day
                ("boarding", "boarding_status", None), ("region", "REGION", REGION_LABELS)]
 
 
-def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None) -> DataFrame:
+def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None,
+                   stats: DataFrame | None = None) -> DataFrame:
     """Every dimension from one scan: ``GROUPING SETS`` over (cohort, level_i).
 
     The Expand that feeds the sets sits in the same codegen stage as the
@@ -162,17 +216,9 @@ def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame |
     levels = [lvl if lvl != "PAINSCALE" else "PAINSCALE_S" for _, lvl, _ in _SET_LEVELS]
     dtype = cu.schema[MEASURE].dataType
     if method in ("exact", "discrete"):
-        # One (set, cohort, level, value) histogram for every set at once, then
-        # each group's statistics from its distinct values.
-        hist = (cu.groupingSets([[COHORT, MEASURE, lvl] for lvl in levels], COHORT, MEASURE, *levels)
-                .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_c"))
-                .withColumnRenamed(MEASURE, "_v"))
-        kind = "interpolated" if method == "exact" else "discrete"
-        summ = histogram_summary(hist, ["_gid", COHORT, *levels], {"median": 0.5}, kind)
-        med = F.col("median") if kind == "discrete" else F.round(F.col("median"), 1)
-        grouped = summ.select("_gid", COHORT, *levels, F.col("_n").alias("n"),
-                              mean_from(F.col("_sum"), F.col("_nv"), dtype, 1).alias("avg_wait_minutes"),
-                              med.cast("double").alias("median_wait_minutes"))
+        table = stats if stats is not None else dimension_statistics(clean if clean is not None
+                                                                     else clean_universe(visits), method)
+        return _dimensions_from_statistics(table, method, dtype)
     else:
         q = quantile_exprs(MEASURE, ["median"], method)
         grouped = cu.groupingSets([[COHORT, lvl] for lvl in levels], COHORT, *levels).agg(
@@ -192,6 +238,21 @@ def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame |
                           level.alias("level"), "n", "avg_wait_minutes", "median_wait_minutes")
 
 
+def _dimensions_from_statistics(table: DataFrame, method: str, dtype) -> DataFrame:
+    """The ``all_dimensions`` shape read off ``dimension_statistics``."""
+    dim = level = None
+    for name, lvl, labels in _SET_LEVELS:
+        hit = F.col("_gid") == F.lit(_set_gid(lvl))
+        lab = decode_codes(lvl, labels) if labels else F.col(lvl).cast("string")
+        dim = F.when(hit, F.lit(name)) if dim is None else dim.when(hit, F.lit(name))
+        level = F.when(hit, lab) if level is None else level.when(hit, lab)
+    med = F.col("median") if method == "discrete" else F.round(F.col("median"), 1)
+    return table.select(dim.alias("dimension"), decode_codes(COHORT, ARRIVAL_LABELS).alias("arrival_method"),
+                        level.alias("level"), F.col("_n").alias("n"),
+                        mean_from(F.col("_sum"), F.col("_nv"), dtype, 1).alias("avg_wait_minutes"),
+                        med.cast("double").alias("median_wait_minutes"))
+
+
 def labelled_visits(visits: DataFrame) -> DataFrame:
     """All rows with the study's labels and an ``in_clean`` flag, so checks
     over the raw table and over the clean universe share one scan."""
@@ -199,24 +260,27 @@ def labelled_visits(visits: DataFrame) -> DataFrame:
                                "in_clean": F.coalesce(keep_mask(CLEAN_RULES), F.lit(False))})
 
 
-def _gap_input(visits: DataFrame, method: str, clean: DataFrame | None = None) -> DataFrame:
+def _gap_input(visits: DataFrame, method: str, clean: DataFrame | None = None,
+               stats: DataFrame | None = None) -> DataFrame:
     """All-dimension contrast rows that enter the gap family: every dimension
     but boarding, and pain scores 0-10 only (sentinel scores stay out)."""
-    dims = all_dimensions(visits, method, clean)
+    dims = all_dimensions(visits, method, clean, stats)
     lo, hi = PAIN_GAP_RANGE
     pain_ok = F.col("level").try_cast("int").between(lo, hi)
     return dims.filter((F.col("dimension") != "boarding")
                        & ((F.col("dimension") != "pain") | F.coalesce(pain_ok, F.lit(False))))
 
 
-def gap_tables(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None) -> DataFrame:
+def gap_tables(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None,
+               stats: DataFrame | None = None) -> DataFrame:
     """(dimension, level, ambulance, walk_in, gap) of medians for every
     dimension, from the single GROUPING SETS scan."""
-    return gap_table(_gap_input(visits, method, clean), ["dimension", "level"], "arrival_method",
+    return gap_table(_gap_input(visits, method, clean, stats), ["dimension", "level"], "arrival_method",
                      "median_wait_minutes", GAP_COHORTS)
 
 
-def divergence_table(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None) -> DataFrame:
+def divergence_table(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None,
+                     stats: DataFrame | None = None) -> DataFrame:
     """Mean gap versus median gap per (dimension, level)."""
-    return mean_median_divergence(_gap_input(visits, method, clean), ["dimension", "level"], "arrival_method",
+    return mean_median_divergence(_gap_input(visits, method, clean, stats), ["dimension", "level"], "arrival_method",
                                   "avg_wait_minutes", "median_wait_minutes", GAP_COHORTS)
