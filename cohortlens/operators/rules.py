@@ -88,8 +88,12 @@ def layer_accounting(df: DataFrame, layers: Sequence[tuple[str, Rules]]) -> Data
         for column, codes in rules.items():  # a later layer adds codes, never replaces them
             cumulative[column] = sorted(set(cumulative.get(column, [])) | set(codes))
         aggs.append(F.count_if(keep_mask(cumulative)).alias(f"s{i}"))
-    wide = df.agg(*aggs)
-    names = ["start"] + [name for name, _ in layers]
+    return accounting_rows(df.agg(*aggs), ["start"] + [name for name, _ in layers])
+
+
+def accounting_rows(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One-row ``s0, s1, ...`` (rows remaining after each layer) to the
+    layer-accounting rows (step, layer, rows_remaining, rows_removed, pct)."""
     entries = ", ".join(f"{i}, {sql_literal(n)}, s{i}, s{max(i - 1, 0)}" for i, n in enumerate(names))
     long = wide.select(F.expr(f"stack({len(names)}, {entries})")
                        .alias("step", "layer", "rows_remaining", "rows_before"), F.col("s0").alias("total"))

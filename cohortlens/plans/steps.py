@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.labels import decode_codes
+from cohortlens.functions.stats import rounded_ratio
 from cohortlens.operators import contrasts as C
 from cohortlens.operators import gaps as G
 from cohortlens.operators import profile as P
@@ -300,7 +301,18 @@ _SHARED_CONTRASTS = {
 _SHARED_GAPS = {"gap_by_triage": "distribution", "gap_by_time": "time_of_day", "gap_by_day": "day_of_week",
                 "gap_by_pain": "pain", "gap_by_region": "region"}
 _SHARED_VERDICTS = ("study_all_dimensions", "gap_verdict", "gap_extremes", "mean_median_divergence")
-SHARED_STEPS = (*_SHARED_CONTRASTS, *_SHARED_GAPS, *_SHARED_VERDICTS)
+_SHARED_RATES = ("boarding_rate", "boarding_rate_ratio")
+SHARED_STEPS = (*_SHARED_CONTRASTS, *_SHARED_GAPS, *_SHARED_VERDICTS, *_SHARED_RATES)
+
+
+def _boarding_counts(table: DataFrame) -> DataFrame:
+    """(ARREMS, boarded rows, rows) of the clean universe, from the boarding
+    set of the statistics table."""
+    rows = table.filter(F.col("_gid") == F.lit(S._set_gid("boarding_status")))
+    boarded = F.col("boarding_status").isin(S.BOARDED_STATUSES)
+    return rows.groupBy(S.COHORT).agg(
+        F.coalesce(F.sum(F.when(boarded, F.col("_n"))), F.lit(0)).cast("long").alias("_hits"),
+        F.sum("_n").cast("long").alias("_rows"))
 
 
 def _from_statistics(name: str, visits: DataFrame, clean: DataFrame, table: DataFrame) -> DataFrame:
@@ -315,6 +327,25 @@ def _from_statistics(name: str, visits: DataFrame, clean: DataFrame, table: Data
         if dim == "pain":
             con = con.filter(F.col(index).between(*S.PAIN_GAP_RANGE))
         return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS)
+    if name == "boarding_rate":
+        counts = _boarding_counts(table)
+        return (counts.orderBy(F.asc_nulls_first(S.COHORT))
+                .select(decode_codes(S.COHORT, S.ARRIVAL_LABELS).alias("arrival_method"),
+                        F.col("_hits").alias("boarded"), F.col("_rows").alias("total"),
+                        rounded_ratio("_hits", "_rows", 2, factor=100).alias("boarding_rate_pct")))
+    if name == "boarding_rate_ratio":
+        c = _boarding_counts(table)
+
+        def pick(col: str, code: int) -> Column:
+            return F.coalesce(F.sum(F.when(F.col(S.COHORT) == F.lit(code), F.col(col))), F.lit(0)).cast("long")
+        one = c.agg(pick("_hits", 1).alias("hits_ambulance"), pick("_rows", 1).alias("total_ambulance"),
+                    pick("_hits", 2).alias("hits_walk_in"), pick("_rows", 2).alias("total_walk_in"))
+        ha, ta, hb, tb = (F.col(x) for x in ("hits_ambulance", "total_ambulance", "hits_walk_in", "total_walk_in"))
+        return one.select("hits_ambulance", "total_ambulance", "hits_walk_in", "total_walk_in",
+                          rounded_ratio(ha, ta, 2, factor=100).alias("rate_ambulance_pct"),
+                          rounded_ratio(hb, tb, 2, factor=100).alias("rate_walk_in_pct"),
+                          rounded_ratio(ha.cast("decimal(38,0)") * tb, ta.cast("decimal(38,0)") * hb, 2)
+                          .alias("rate_ratio"))
     if name == "study_all_dimensions":
         return S.all_dimensions(visits, clean=clean, stats=table)
     if name == "gap_verdict":
@@ -334,29 +365,47 @@ def shared_statistics(clean: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_counts(visits: DataFrame) -> DataFrame:
+    """The profile counts of ``visits`` (``plans.profiles.profile_counts``)
+    computed once and stored under the shared checkpoint folder."""
+    from cohortlens.plans.profiles import profile_counts
+    spark = visits.sparkSession
+    path = scratch_dir(spark, "study-counts")
+    profile_counts(visits).write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
 def run_study(visits: DataFrame, steps: list[str] | None = None,
               expected: dict[str, float] | None = None, raw: DataFrame | None = None,
               shared: bool = True) -> dict[str, DataFrame]:
     """Every step's output for ``visits`` (DataFrames, study order).
 
     With ``shared`` (default) the contrasts, gap tables and verdicts of all
-    dimensions are read off one statistics table computed in a single scan
-    and stored under the shared checkpoint folder (``shared_statistics``;
-    that one job runs here); every other step stays lazy.
+    dimensions are read off one statistics table, and the profile and
+    exclusion steps off one count table; each is computed in a single scan
+    and stored under the shared checkpoint folder (``shared_statistics``,
+    ``shared_counts``; those two jobs run here).  Every other step stays lazy.
     ``expected`` feeds the scorecard (label -> value); without it the
     scorecard compares against the coded binding's sf0.01 figures.
     ``raw`` is the table as stored when ``visits`` is a typed projection of
     it (a wide CSV): the catalog steps describe ``raw``.  Steps that write
     (``csv_scan``) run only when named in ``steps``.
     """
+    from cohortlens.plans.profiles import FROM_COUNTS
     clean = S.clean_universe(visits)
     names = steps or [n for n in STEPS if n != "csv_scan"]
     table = shared_statistics(clean) if shared and any(n in SHARED_STEPS for n in names) else None
+    # profile and exclusion steps: one count table, unless they describe a
+    # raw table other than the typed visits
+    counted = [n for n in names if n in FROM_COUNTS and not (raw is not None and n in CATALOG_STEPS)]
+    counts = shared_counts(visits) if shared and counted else None
     out = {}
     for name in names:
         fn = STEPS[name]
         if table is not None and name in SHARED_STEPS:
             out[name] = _from_statistics(name, visits, clean, table)
+        elif counts is not None and name in counted:
+            out[name] = FROM_COUNTS[name](visits, counts)
         elif name in ("scorecard", "scorecard_summary"):
             out[name] = fn(visits, clean, expected)
         elif name in CATALOG_STEPS and raw is not None:
