@@ -43,8 +43,9 @@ class Check:
     of: Column | None = None
 
 
-class _Filters:
-    """Distinct filter predicates, each with an integer id."""
+class FilterSet:
+    """Distinct filter predicates, each with an integer id (predicates are
+    identified by their expression text, so equal filters share an id)."""
 
     def __init__(self):
         self.preds: list[Column] = []
@@ -59,6 +60,9 @@ class _Filters:
         return self._ids[key]
 
 
+Shared = tuple  # (FilterSet, summary DataFrame) computed once for several reports
+
+
 def filter_summary(df: DataFrame, measure: str, preds: Sequence[Column], discrete: bool = False) -> DataFrame:
     """One row per filter id ``_k`` with rows satisfying it: ``_n``, ``_nv``,
     ``_sum``, the interpolated ``median`` and (``discrete``) the observed-value
@@ -90,15 +94,24 @@ def _figure(kind: str, where: int, of: int | None, pick, dtype: T.DataType, digi
 
 
 def _figures(df: DataFrame, measure: str, items: list[tuple[str, Column | None, Column | None]],
-             digits: int) -> DataFrame:
+             digits: int, shared: Shared | None = None) -> DataFrame:
     """One row with columns ``f{i}_{j}``: figure j of item i (kind, where, of).
 
     The per-filter summary (one row per distinct filter) is folded into this
     row by a single conditional aggregate: no join, no driver round trip.
+    ``shared`` is a ``(FilterSet, summary)`` pair already holding every
+    filter of ``items`` (see ``shared_summary``), so several reports read one
+    summary instead of scanning again.
     """
-    filters = _Filters()
+    filters = shared[0] if shared is not None else FilterSet()
+    known = len(filters.preds)
     ids = [(kind, filters.id(where), filters.id(of) if kind == "share" else None) for kind, where, of in items]
-    summ = filter_summary(df, measure, filters.preds, discrete=any(k == "agreement" for k, _, _ in items))
+    if shared is not None:
+        if len(filters.preds) != known:
+            raise ValueError("the shared summary lacks a filter of these items")
+        summ = shared[1]
+    else:
+        summ = filter_summary(df, measure, filters.preds, discrete=any(k == "agreement" for k, _, _ in items))
     dtype = df.schema[measure].dataType
     picks: dict[tuple[int, str], Column] = {}
 
@@ -114,9 +127,20 @@ def _figures(df: DataFrame, measure: str, items: list[tuple[str, Column | None,
     return summ.agg(*cols)
 
 
-def scorecard(df: DataFrame, measure: str, checks: Sequence[Check], digits: int = 4) -> DataFrame:
+def shared_summary(df: DataFrame, measure: str, preds: Sequence[Column | None], path: str) -> Shared:
+    """One filter summary (with observed-value medians) for every predicate
+    of several reports, computed in one scan and stored at ``path``."""
+    filters = FilterSet()
+    for p in preds:
+        filters.id(p)
+    filter_summary(df, measure, filters.preds, discrete=True).write.mode("error").parquet(path)
+    return filters, df.sparkSession.read.parquet(path)
+
+
+def scorecard(df: DataFrame, measure: str, checks: Sequence[Check], digits: int = 4,
+              shared: Shared | None = None) -> DataFrame:
     """One row per check: (check_id, label, actual, expected, tolerance, status)."""
-    wide = _figures(df, measure, [(c.kind, c.where, c.of) for c in checks], digits)
+    wide = _figures(df, measure, [(c.kind, c.where, c.of) for c in checks], digits, shared)
     rows = inline_rows(["check_id", "label", "actual", "expected", "tolerance"],
                        [(i + 1, c.label, Ref(f"f{i}_0"), float(c.expected), float(c.tolerance))
                         for i, c in enumerate(checks)])
@@ -134,7 +158,7 @@ def scorecard_summary(scored: DataFrame) -> DataFrame:
 
 
 def filtered_statistics(df: DataFrame, measure: str, specs: Sequence[tuple[str, str, Column]],
-                        digits: int = 4) -> DataFrame:
+                        digits: int = 4, shared: Shared | None = None) -> DataFrame:
     """Many filtered scalar statistics in **one** pass.
 
     ``specs`` is ``[(label, 'median' | 'mean' | 'count', predicate), ...]``;
@@ -143,14 +167,14 @@ def filtered_statistics(df: DataFrame, measure: str, specs: Sequence[tuple[str,
     for _, kind, _ in specs:
         if kind not in ("count", "mean", "median"):
             raise ValueError(f"unknown statistic {kind!r}")
-    wide = _figures(df, measure, [(kind, pred, None) for _, kind, pred in specs], digits)
+    wide = _figures(df, measure, [(kind, pred, None) for _, kind, pred in specs], digits, shared)
     rows = inline_rows(["label", "statistic", "value"],
                        [(label, kind, Ref(f"f{i}_0")) for i, (label, kind, _) in enumerate(specs)])
     return wide.select(rows)
 
 
 def method_agreement(df: DataFrame, measure: str, specs: Sequence[tuple[str, Column]],
-                     tolerance: float = 1.0) -> DataFrame:
+                     tolerance: float = 1.0, shared: Shared | None = None) -> DataFrame:
     """Interpolated median (the pandas flavour) against the observed-value
     median at rank ceil(n/2) (the SQL flavour, what approximate quantiles
     return) for each filter, both from one histogram:
@@ -158,7 +182,7 @@ def method_agreement(df: DataFrame, measure: str, specs: Sequence[tuple[str, Col
 
     The study's cross-flavour reproducibility claim, checkable at any scale.
     """
-    wide = _figures(df, measure, [("agreement", pred, None) for _, pred in specs], 4)
+    wide = _figures(df, measure, [("agreement", pred, None) for _, pred in specs], 4, shared)
     rows = inline_rows(["label", "exact_median", "approx_median"],
                        [(label, Ref(f"f{i}_0"), Ref(f"f{i}_1")) for i, (label, _) in enumerate(specs)])
     delta = F.abs(F.col("exact_median") - F.col("approx_median"))

@@ -239,20 +239,34 @@ def mean_median_divergence(visits, clean):
 
 # ---- reproducibility checks -------------------------------------------------------
 
-def filtered_statistics(visits, clean):
-    return _filtered_statistics(S.labelled_visits(visits), "WAITTIME", K.statistic_specs())
+def filtered_statistics(visits, clean, shared=None):
+    return _filtered_statistics(S.labelled_visits(visits), "WAITTIME", K.statistic_specs(), shared=shared)
 
 
-def median_method_agreement(visits, clean):
-    return method_agreement(S.labelled_visits(visits), "WAITTIME", K.median_specs())
+def median_method_agreement(visits, clean, shared=None):
+    return method_agreement(S.labelled_visits(visits), "WAITTIME", K.median_specs(), shared=shared)
 
 
-def scorecard(visits, clean, expected: dict[str, float] | None = None):
-    return _scorecard(S.labelled_visits(visits), "WAITTIME", K.checks(expected or K.expected_values("sf0.01")))
+def scorecard(visits, clean, expected: dict[str, float] | None = None, shared=None):
+    return _scorecard(S.labelled_visits(visits), "WAITTIME", K.checks(expected or K.expected_values("sf0.01")),
+                      shared=shared)
 
 
-def scorecard_summary(visits, clean, expected: dict[str, float] | None = None):
-    return _scorecard_summary(scorecard(visits, clean, expected))
+def scorecard_summary(visits, clean, expected: dict[str, float] | None = None, shared=None):
+    return _scorecard_summary(scorecard(visits, clean, expected, shared))
+
+
+CHECK_STEPS = ("filtered_statistics", "median_method_agreement", "scorecard", "scorecard_summary")
+
+
+def shared_checks(visits: DataFrame):
+    """One stored filter summary for every filter of the check steps."""
+    from cohortlens.operators.scorecard import shared_summary
+    preds = [p for _, _, p in K.statistic_specs()] + [p for _, p in K.median_specs()]
+    for c in K.checks(K.expected_values("sf0.01")):
+        preds += [c.where, c.of] if c.kind == "share" else [c.where]
+    return shared_summary(S.labelled_visits(visits), "WAITTIME", preds,
+                          scratch_dir(visits.sparkSession, "study-checks"))
 
 
 STEPS: dict[str, Step] = {
@@ -382,9 +396,10 @@ def run_study(visits: DataFrame, steps: list[str] | None = None,
 
     With ``shared`` (default) the contrasts, gap tables and verdicts of all
     dimensions are read off one statistics table, and the profile and
-    exclusion steps off one count table; each is computed in a single scan
-    and stored under the shared checkpoint folder (``shared_statistics``,
-    ``shared_counts``; those two jobs run here).  Every other step stays lazy.
+    exclusion steps off one count table, and the check steps off one filter
+    summary; each is computed in a single scan and stored under the shared
+    checkpoint folder (``shared_statistics``, ``shared_counts``,
+    ``shared_checks``; those jobs run here).  Every other step stays lazy.
     ``expected`` feeds the scorecard (label -> value); without it the
     scorecard compares against the coded binding's sf0.01 figures.
     ``raw`` is the table as stored when ``visits`` is a typed projection of
@@ -399,6 +414,7 @@ def run_study(visits: DataFrame, steps: list[str] | None = None,
     # raw table other than the typed visits
     counted = [n for n in names if n in FROM_COUNTS and not (raw is not None and n in CATALOG_STEPS)]
     counts = shared_counts(visits) if shared and counted else None
+    checks = shared_checks(visits) if shared and any(n in CHECK_STEPS for n in names) else None
     out = {}
     for name in names:
         fn = STEPS[name]
@@ -407,7 +423,9 @@ def run_study(visits: DataFrame, steps: list[str] | None = None,
         elif counts is not None and name in counted:
             out[name] = FROM_COUNTS[name](visits, counts)
         elif name in ("scorecard", "scorecard_summary"):
-            out[name] = fn(visits, clean, expected)
+            out[name] = fn(visits, clean, expected, shared=checks)
+        elif name in CHECK_STEPS:
+            out[name] = fn(visits, clean, shared=checks)
         elif name in CATALOG_STEPS and raw is not None:
             out[name] = fn(raw, clean)
         else:
