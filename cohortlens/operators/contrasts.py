@@ -1,12 +1,15 @@
 """Cohort contrasts: a measure compared between cohorts at every level of a
 control dimension, plus shares, rates and rate ratios inside cohorts.
 
-Physical shape of ``contrast``: scan -> filter -> partial aggregate on the
-executors -> one shuffle on (cohort, level) -> final aggregate -> labels on
-the few group rows.  Partial aggregation is what makes a hot cohort (one
-group holding a third of the rows) harmless: every map task sends at most
-one partial state per group.  Quantile state is bounded per group (see
-``functions.stats.quantile_exprs``).
+Physical shape of ``contrast`` with quartiles (the default ``exact``):
+scan -> filter -> partial counts per (cohort, level, value) on the
+executors -> shuffle on (cohort, level, value) -> ``percentile`` with the
+counts as frequencies per (cohort, level) -> labels on the few group rows.
+A hot cohort (one group holding a third of the rows) is pre-aggregated
+map-side and spread over the reducers by value; each group's final merge
+combines one partial state per histogram partition.  Without quartiles a
+contrast is a plain partial aggregate of fixed-size states (count, sum,
+min, max) and one shuffle on (cohort, level).
 """
 
 from __future__ import annotations

@@ -4,7 +4,9 @@ Each step takes ``(visits, clean)`` -- the raw visit relation and its clean
 universe (``study.clean_universe(visits)``) -- and returns a DataFrame.
 ``STEPS`` lists them in the study's order; ``run_study`` builds all of them
 for any visit table (the coded binding, a stored table, the study's own
-CSV), lazily: nothing runs until the caller writes or collects.
+CSV).  A run shares three small tables, each built in one scan (dimension
+statistics, profile counts, the check summary); the steps are read off
+them and equal the standalone steps.
 """
 
 from __future__ import annotations
