@@ -27,7 +27,7 @@ def load_visits(spark, path: str, fmt: str, csv_mode: str):
     if fmt == "csv":
         if csv_mode == "by_name":
             raw = spark.read.option("header", True).csv(path)
-            return read_visits_csv_by_name(spark, path), raw
+            return read_visits_csv_by_name(spark, path, strict=False), raw
         return read_visits_csv(spark, path, schema=None if csv_mode == "infer" else VISIT_SCHEMA), None
     return read_visits(spark, path, fmt), None
 

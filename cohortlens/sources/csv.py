@@ -8,6 +8,7 @@ over the files and can guess differently per file.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.session import scratch_dir
@@ -42,13 +43,19 @@ def csv_round_trip(spark: SparkSession, df: DataFrame, schema: T.StructType | No
     return read_visits_csv(spark, path, schema or df.schema)
 
 
-def read_visits_csv_by_name(spark: SparkSession, path: str, schema: T.StructType = VISIT_SCHEMA) -> DataFrame:
+def read_visits_csv_by_name(spark: SparkSession, path: str, schema: T.StructType = VISIT_SCHEMA,
+                            strict: bool = True) -> DataFrame:
     """Header CSV of any width (the study's raw file has 911 columns): the
     schema's columns are picked by header name and converted with
     ``try_cast`` (blank or malformed cells become NULL).  One pass, no type
-    inference; the CSV reader only converts the selected columns."""
+    inference; the CSV reader only converts the selected columns.
+
+    A missing column is an error when ``strict``; otherwise it becomes a
+    NULL column of its type (the study reports missing columns and goes on;
+    ``catalog.required_columns`` on the raw table lists them)."""
     raw = spark.read.option("header", True).csv(path)
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
-    if missing:
+    if missing and strict:
         raise ValueError(f"visit file lacks columns {missing}")
-    return raw.select(*[raw[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return raw.select(*[(raw[f.name].try_cast(f.dataType) if f.name in raw.columns
+                         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])

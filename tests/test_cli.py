@@ -31,3 +31,15 @@ def test_cli_runs_the_study_on_a_wide_csv(spark):
 def test_cli_lists_steps(capsys):
     assert main(["--list"]) == 0
     assert "distribution_contrast" in capsys.readouterr().out
+
+
+def test_cli_reports_missing_core_columns_and_goes_on(spark):
+    v = coded_visits(spark, SF001).drop("PATWT", "EDWT")
+    src = scratch_dir(spark, "cli-missing")
+    v.write.option("header", True).csv(src)
+    out = scratch_dir(spark, "cli-missing-out")
+    assert main(["--visits", src, "--format", "csv", "--out", out,
+                 "--steps", "required_columns,distribution_contrast"]) == 0
+    req = {r.column_name: r.present for r in spark.read.parquet(f"{out}/required_columns").collect()}
+    assert req["PATWT"] is False and req["EDWT"] is False and req["ARREMS"] is True
+    assert spark.read.parquet(f"{out}/distribution_contrast").count() == 10
