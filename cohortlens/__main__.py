@@ -42,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--steps", help="comma-separated step names (default: all)")
     ap.add_argument("--method", default="exact", choices=["exact", "approx", "exact_sorted"],
                     help="quantile method of the default dimension output")
+    ap.add_argument("--no-shared", action="store_true",
+                    help="run every step on its own (no shared statistics, counts and check tables)")
     ap.add_argument("--list", action="store_true", help="list the step names and exit")
     ap.add_argument("--master", help="Spark master (default: from the environment)")
     args = ap.parse_args(argv)
@@ -56,7 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_spark(args.master)
     visits, raw = load_visits(spark, args.visits, args.format, args.csv_mode)
     steps = [s for s in (args.steps or "").split(",") if s] or None
-    outputs = T.run_study(visits, steps, raw=raw)
+    outputs = T.run_study(visits, steps, raw=raw, shared=not args.no_shared)
     if args.method != "exact" and (steps is None or "run_dimension_default" in steps):
         outputs["run_dimension_default"] = S.run_dimension(visits, S.DEFAULT_DIMENSION, args.method)
     out = (args.out or scratch_dir(spark, "study")).rstrip("/")

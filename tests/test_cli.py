@@ -43,3 +43,16 @@ def test_cli_reports_missing_core_columns_and_goes_on(spark):
     req = {r.column_name: r.present for r in spark.read.parquet(f"{out}/required_columns").collect()}
     assert req["PATWT"] is False and req["EDWT"] is False and req["ARREMS"] is True
     assert spark.read.parquet(f"{out}/distribution_contrast").count() == 10
+
+
+def test_cli_shared_and_independent_runs_agree(spark):
+    src = scratch_dir(spark, "cli-shared-src")
+    coded_visits(spark, SF001).write.parquet(src)
+    a, b = scratch_dir(spark, "cli-a"), scratch_dir(spark, "cli-b")
+    steps = "regional_contrast,exclusion_waterfall,scorecard"
+    assert main(["--visits", src, "--out", a, "--steps", steps]) == 0
+    assert main(["--visits", src, "--out", b, "--steps", steps, "--no-shared"]) == 0
+    for name in steps.split(","):
+        ra = sorted(map(tuple, spark.read.parquet(f"{a}/{name}").collect()), key=repr)
+        rb = sorted(map(tuple, spark.read.parquet(f"{b}/{name}").collect()), key=repr)
+        assert ra == rb, name
