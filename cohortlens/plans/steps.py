@@ -313,6 +313,7 @@ _SHARED_CONTRASTS = {
     "time_of_day_contrast": ("time_of_day", "half_up"), "day_of_week_contrast": ("day_of_week", "half_up"),
     "pain_contrast": ("pain", "half_up"), "boarding_contrast": ("boarding", "half_up"),
     "regional_contrast": ("region", "half_up"), "run_dimension_default": (S.DEFAULT_DIMENSION, "half_up"),
+    "distribution_contrast_discrete": ("distribution", "half_up", "discrete"),
 }
 _SHARED_GAPS = {"gap_by_triage": "distribution", "gap_by_time": "time_of_day", "gap_by_day": "day_of_week",
                 "gap_by_pain": "pain", "gap_by_region": "region"}
@@ -334,8 +335,8 @@ def _boarding_counts(table: DataFrame) -> DataFrame:
 def _from_statistics(name: str, visits: DataFrame, clean: DataFrame, table: DataFrame) -> DataFrame:
     dtype = clean.schema[S.MEASURE].dataType
     if name in _SHARED_CONTRASTS:
-        dim, rounding = _SHARED_CONTRASTS[name]
-        return S.contrast_from_statistics(table, dim, rounding=rounding, dtype=dtype)
+        dim, rounding, *method = _SHARED_CONTRASTS[name]
+        return S.contrast_from_statistics(table, dim, method[0] if method else "exact", rounding, dtype)
     if name in _SHARED_GAPS:
         dim = _SHARED_GAPS[name]
         index = GAP_LEVELS[dim]
@@ -377,7 +378,7 @@ def shared_statistics(clean: DataFrame) -> DataFrame:
     table, so every step that reads it neither rescans nor recomputes."""
     spark = clean.sparkSession
     path = scratch_dir(spark, "study-statistics")
-    S.dimension_statistics(clean).write.mode("error").parquet(path)
+    S.dimension_statistics(clean, with_discrete=True).write.mode("error").parquet(path)
     return spark.read.parquet(path)
 
 

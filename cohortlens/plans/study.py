@@ -151,7 +151,7 @@ def _set_gid(level: str) -> int:
     return (2 ** k - 1) ^ (1 << (k - 1 - STAT_LEVELS.index(level)))
 
 
-def dimension_statistics(clean: DataFrame, method: str = "exact") -> DataFrame:
+def dimension_statistics(clean: DataFrame, method: str = "exact", with_discrete: bool = False) -> DataFrame:
     """Every statistic of every dimension from ONE scan of the clean universe.
 
     GROUPING SETS over (cohort, value, level_i) give one histogram for all
@@ -160,12 +160,25 @@ def dimension_statistics(clean: DataFrame, method: str = "exact") -> DataFrame:
     quartiles (unrounded).  The result is small -- one row per group of every
     dimension -- and a whole study run derives all its contrasts, gap tables
     and verdicts from it (``contrast_from_statistics``, ``all_dimensions``).
+    ``with_discrete`` adds the observed-value quartiles (``p25_disc``...)
+    from the same histogram.
     """
     kind = "interpolated" if method == "exact" else "discrete"
     hist = (clean.groupingSets([[COHORT, MEASURE, lvl] for lvl in STAT_LEVELS], COHORT, MEASURE, *STAT_LEVELS)
             .agg(F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("_c"))
             .withColumnRenamed(MEASURE, "_v"))
-    return histogram_summary(hist, ["_gid", COHORT, *STAT_LEVELS], QUANTILE_PROBS, kind)
+    keys = ["_gid", COHORT, *STAT_LEVELS]
+    out = histogram_summary(hist, keys, QUANTILE_PROBS, kind)
+    if not with_discrete or kind == "discrete":
+        return out
+    # observed-value quartiles from the same histogram (the SQL flavour)
+    disc = histogram_summary(hist, keys, {f"{n}_disc": p for n, p in QUANTILE_PROBS.items()}, "discrete")
+    disc = disc.select(*[F.col(k).alias(f"_d{k}") for k in keys], *[f"{n}_disc" for n in QUANTILE_PROBS])
+    cond = None
+    for k in keys:
+        term = out[k].eqNullSafe(disc[f"_d{k}"])
+        cond = term if cond is None else cond & term
+    return out.join(disc, cond, "left").drop(*[f"_d{k}" for k in keys])
 
 
 def _round_stats(rows: DataFrame, level: str, dtype, discrete: bool, rounding: str, digits: int = 1) -> DataFrame:
@@ -185,6 +198,9 @@ def contrast_from_statistics(table: DataFrame, name: str = DEFAULT_DIMENSION, me
     (same columns, values and order)."""
     d = DIMENSIONS[name]
     rows = table.filter(F.col("_gid") == F.lit(_set_gid(d.level)))
+    if method == "discrete" and "median_disc" in table.columns:
+        rows = rows.select(*[c for c in rows.columns if c not in QUANTILE_PROBS],
+                           *[F.col(f"{n}_disc").alias(n) for n in QUANTILE_PROBS])
     grouped = _round_stats(rows, d.level, dtype or T.IntegerType(), method == "discrete", rounding)
     return present(grouped, COHORT, d.level, stats=d.stats, cohort_labels=ARRIVAL_LABELS,
                    level_labels=d.level_labels, cohort_name="arrival_method", level_name=d.level_name,
