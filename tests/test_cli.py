@@ -56,3 +56,12 @@ def test_cli_shared_and_independent_runs_agree(spark):
         ra = sorted(map(tuple, spark.read.parquet(f"{a}/{name}").collect()), key=repr)
         rb = sorted(map(tuple, spark.read.parquet(f"{b}/{name}").collect()), key=repr)
         assert ra == rb, name
+
+
+def test_cli_reads_a_catalog_table(spark):
+    coded_visits(spark, SF001).createOrReplaceTempView("visits_table_for_cli")
+    out = scratch_dir(spark, "cli-table-out")
+    assert main(["--visits", "visits_table_for_cli", "--format", "table", "--out", out,
+                 "--steps", "final_universe"]) == 0
+    r = spark.read.parquet(f"{out}/final_universe").first()
+    assert (r.total_records, r.clean_universe_final) == (1500, 903)
