@@ -24,3 +24,16 @@ def test_empty_visits(spark):
     assert all(r.actual is None for r in sc if "median" in r.label or "mean" in r.label)
     assert out["final_universe"].first().total_records == 0
     assert out["gap_verdict"].count() == 0
+
+
+def test_single_row_and_all_null_groups(spark):
+    from cohortlens.operators import contrast
+    df = spark.createDataFrame([(1, 1, 7), (1, 2, None), (1, 2, None)], "c int, l int, x int")
+    stats = ("n", "n_valid", "avg", "min", "max", "median", "p25", "p75")
+    for method in ("exact", "discrete", "percentile", "exact_sorted"):
+        rows = {r.l: r for r in contrast(df, "c", "l", "x", stats=stats, method=method).collect()}
+        one, none = rows[1], rows[2]
+        assert (one.n, one.n_valid, one.avg_wait_minutes, one.median_wait_minutes, one.p25_wait_minutes) == \
+            (1, 1, 7.0, 7.0, 7.0), method
+        assert (none.n, none.n_valid, none.avg_wait_minutes, none.min_wait_minutes, none.median_wait_minutes) == \
+            (2, 0, None, None, None), method
