@@ -30,7 +30,7 @@ def test_single_row_and_all_null_groups(spark):
     from cohortlens.operators import contrast
     df = spark.createDataFrame([(1, 1, 7), (1, 2, None), (1, 2, None)], "c int, l int, x int")
     stats = ("n", "n_valid", "avg", "min", "max", "median", "p25", "p75")
-    for method in ("exact", "discrete", "percentile", "exact_sorted"):
+    for method in ("exact", "discrete", "percentile", "exact_sorted", "approx", "sketch"):
         rows = {r.l: r for r in contrast(df, "c", "l", "x", stats=stats, method=method).collect()}
         one, none = rows[1], rows[2]
         assert (one.n, one.n_valid, one.avg_wait_minutes, one.median_wait_minutes, one.p25_wait_minutes) == \
