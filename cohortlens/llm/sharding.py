@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import written
@@ -70,29 +70,28 @@ def assign(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, slot_rows:
     in every run; equal rows are interchangeable.  An empty table gives none.
     """
     rows = _placed(docs.select("doc_id", "text", _size("text").alias("size")), shards, grain)
-    out = written(rows.select("doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-                              F.xxhash64("text").alias("text_hash"), "shard"), "shards")
-    # slots: rows of a shard in pieces by a hash of the id, the pieces one after another
-    pieces = max(1, -(-out.count() // (shards * slot_rows)))
-    out = out.withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(pieces)))
-    sizes = out.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("shard", "piece").orderBy("doc_id", "text_hash")
-    return (out.join(sizes, ["shard", "piece"])
-            .withColumn("slot", (F.col("ahead") + F.row_number().over(inside) - 1).cast("long"))
-            .select("doc_id", "size", "text_crc32", "text_hash", "shard", "slot"))
+    rows = written(rows.select("doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+                               F.xxhash64("text").alias("text_hash"), "shard"), "shards")
+    return _slotted(rows, F.col("text_hash"), shards, slot_rows)
+
+
+def _slotted(rows: DataFrame, text_hash: Column, shards: int, slot_rows: int) -> DataFrame:
+    """``rows`` (doc_id, shard, ...) with ``slot``: the rows of a shard in
+    pieces by a hash of id and text, the pieces one after another."""
+    pieces = max(1, -(-rows.count() // (shards * slot_rows)))
+    rows = rows.withColumn("__hash", text_hash).withColumn(
+        "__piece", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(pieces)))
+    sizes = rows.groupBy("shard", "__piece").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("shard", "__piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy("shard", "__piece").orderBy("doc_id", "__hash")
+    return (rows.join(sizes, ["shard", "__piece"])
+            .withColumn("slot", (F.col("__ahead") + F.row_number().over(inside) - 1).cast("long"))
+            .drop("__hash", "__piece", "__ahead"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """Whole rows of ``docs`` with shard, slot and size, cut into the shards."""
-    plan = assign(docs, shards, grain, slot_rows)
-    # equal (id, text) pairs share a shard: their slots are dealt out in turn
-    turn = Window.partitionBy("doc_id", "text_hash").orderBy("slot")
-    plan = plan.withColumn("__n", F.row_number().over(turn)).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), "__n", "shard", "slot", "size")
-    rows = docs.drop("shard", "slot", "size").withColumn("__hash", F.xxhash64("text"))
-    rows = rows.withColumn("__turn", F.row_number().over(Window.partitionBy("doc_id", "__hash").orderBy("doc_id")))
-    out = rows.join(plan, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
-                    & (F.col("__turn") == F.col("__n")))
-    return out.drop("__hash", "__turn", "__id", "__text", "__n")
+    """Whole rows of ``docs`` with size, shard and slot in place of any columns
+    of those names; rows as ``assign`` places them."""
+    rows = _placed(docs.drop("shard", "slot", "size").withColumn("size", _size("text")), shards, grain)
+    return _slotted(rows, F.xxhash64("text"), shards, slot_rows)
