@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontaminate, mixing, reputation, secrets, sharding, simhash, toxicity, warc, winnowing
+from cohortlens.llm import decontaminate, katz, mixing, reputation, secrets, sharding, simhash, toxicity, warc, winnowing
 
 QUERIES, ORACLE = {}, {}
 
@@ -59,6 +59,11 @@ def op5(spark, sf_dir):
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_katz_scores")
+def op6(spark, sf_dir):
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 @query("op7_benchmark_leaks")
 def op7(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
