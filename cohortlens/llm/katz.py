@@ -38,8 +38,8 @@ from cohortlens.llm.common import ship, words_of, written
 from cohortlens.session import scratch_dir
 
 K = 5
-BLOCK_TOKENS = 2_000_000
-PART_ITEMS = 1_000_000
+BLOCK_TOKENS = 1_000_000
+PART_ITEMS = 500_000
 SALT_TOKENS = 4_000_000
 FOLDS, HELD_OUT = 7, 2
 #: No word contains a space.
@@ -51,12 +51,19 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 # ---- small encodings ----------------------------------------------------------
 
 def _planes(x) -> bytes:
-    """Unsigned integers byte plane by byte plane: the high ones are zeros."""
-    return np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Unsigned integers byte plane by byte plane, as many as the largest needs."""
+    x = np.ascontiguousarray(x, np.uint64)
+    n = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
 
-def _from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
+def _from_planes(b: bytes, n: int) -> np.ndarray:
+    """The ``n`` integers of ``_planes``."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = np.frombuffer(b, np.uint8).reshape(-1, n)
+        out[:, :len(planes)] = planes.T
+    return out.view(np.int64).ravel()
 
 
 def _u64(b: bytes) -> np.ndarray:
@@ -194,7 +201,7 @@ def _answer_unigrams(k: int):
     (block -1) with count-of-counts, types and tokens in training."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         words = [_u64(x) for x in frame["items"]]
-        sent = [_from_planes(x).reshape(2, -1) for x in frame["counts"]]
+        sent = [_from_planes(x, 2 * len(w)).reshape(2, -1) for x, w in zip(frame["counts"], words)]
         _, of = np.unique(np.concatenate(words), return_inverse=True)
         trained, every = (np.bincount(of, np.concatenate([s[i] for s in sent])).astype(np.int64) for i in (0, 1))
         part, rows, at = int(frame["part"].iloc[0]), [], 0
@@ -221,7 +228,7 @@ def _unigram_counts(b: Block, parts: int, answers: pd.DataFrame) -> tuple[np.nda
     got = dict(zip(answers["part"], answers["answer"]))
     trained, every = np.empty(len(b.words), np.int64), np.empty(len(b.words), np.int64)
     for p, i, j in cuts:
-        trained[order[i:j]], every[order[i:j]] = _from_planes(got[p]).reshape(2, -1)
+        trained[order[i:j]], every[order[i:j]] = _from_planes(got[p], 2 * (j - i)).reshape(2, -1)
     return trained, every
 
 
@@ -286,7 +293,8 @@ def _answer_bigrams(unigrams: Unigrams, k: int):
     seen 1..k times and the unigram mass of all followers."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         runs = [_u64(x) for x in frame["runs"]]
-        lengths = [_from_planes(x) for x in frame["lengths"]]
+        lengths = [_from_planes(x, len(r)) for x, r in zip(frame["lengths"], runs)]
+        sizes = [int(n.sum()) for n in lengths]
         of_run = np.unique(np.concatenate(runs), return_inverse=True)[1]
         n_contexts = int(of_run.max()) + 1
         pair_context = np.repeat(of_run, np.concatenate(lengths))
@@ -296,18 +304,17 @@ def _answer_bigrams(unigrams: Unigrams, k: int):
         del w
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
         del key
-        count = np.bincount(of, np.concatenate([_from_planes(x) for x in frame["counts"]]), len(first)).astype(np.int64)
+        count = np.bincount(of, np.concatenate([_from_planes(*x) for x in zip(frame["counts"], sizes)]), len(first)).astype(np.int64)
         seen = count > 0
         context = pair_context[first]
-        mass = unigrams.probability(np.concatenate([_from_planes(x) for x in frame["unigrams"]])[first])
+        mass = unigrams.probability(np.concatenate([_from_planes(*x) for x in zip(frame["unigrams"], sizes)])[first])
         mass = np.bincount(context[seen], mass[seen], n_contexts)
         low = np.zeros((n_contexts, k), np.int64)
         few = seen & (count <= k)
         np.add.at(low, (context[few], count[few] - 1), 1)
         has_low = low.any(axis=1)
         part, rows, at_run, at = int(frame["part"].iloc[0]), [], 0, 0
-        for block, r, n, s in zip(frame["block"], runs, lengths, frame["salted"]):
-            m = int(n.sum())
+        for block, r, n, m, s in zip(frame["block"], runs, lengths, sizes, frame["salted"]):
             mine, counts = of_run[at_run:at_run + len(r)], count[of[at:at + m]]
             unseen = np.bincount(np.repeat(np.arange(len(r)), n), counts == 0, len(r)) > 0
             told = np.flatnonzero(unseen | (np.frombuffer(s, np.uint8) > 0))
@@ -349,12 +356,14 @@ def _score(parts: int, uni_parts: int, salt_tokens: int, unigrams: Unigrams, d:
             has_low, low, mass = np.zeros(n + 1, bool), np.zeros((n + 1, k), np.int64), np.zeros(n + 1)
             for p, i, j in q.cuts:
                 a = got[p]
-                count[q.pair_order[q.first_pair[i]:q.first_pair[j]]] = _from_planes(a["counts"])
+                mine = q.pair_order[q.first_pair[i]:q.first_pair[j]]
+                count[mine] = _from_planes(a["counts"], len(mine))
                 contexts = q.run_context[q.run_order[i:j]]
                 np.logical_or.at(has_low, contexts, np.frombuffer(a["has_low"], np.uint8) > 0)
-                told = contexts[_from_planes(a["told"])]
-                np.add.at(low, told, _from_planes(a["low"]).reshape(-1, k))
-                np.add.at(mass, told, np.frombuffer(a["mass"]))
+                masses = np.frombuffer(a["mass"])
+                told = contexts[_from_planes(a["told"], len(masses))]
+                np.add.at(low, told, _from_planes(a["low"], len(masses) * k).reshape(-1, k))
+                np.add.at(mass, told, masses)
             context_count = np.append(trained, n_docs)
             context_count[n - 1] = 0            # nothing follows the end
             c = q.context
