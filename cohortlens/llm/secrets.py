@@ -38,36 +38,38 @@ _SPAN = "array<struct<start:int,rank:int,stop:int>>"
 _BLOCK = 256
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _running(lengths: Column) -> Column:
     """Running sums of an int array, itself included: sums of blocks, what is
     before each block, and the place in the block."""
     add = lambda a, x: a + x
-    n_blocks = F.ceil(F.size(lengths) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1),
-                         lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add))
-    before = F.transform(F.sequence(F.lit(0), n_blocks - 1),
-                         lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), add))
     at = lambda i: F.floor(i / _BLOCK).cast("int")
-    return F.transform(lengths, lambda _, i: F.get(before, at(i)) + F.aggregate(
-        F.slice(lengths, at(i) * _BLOCK + 1, i - at(i) * _BLOCK + 1), F.lit(0), add))
+    numbers = lambda a: F.sequence(F.lit(0), F.ceil(F.size(a) / _BLOCK).cast("int") - 1)
+    blocks = lambda a: F.transform(numbers(a), lambda b: F.aggregate(
+        F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add))
+    before = lambda s: F.transform(s, lambda _, b: F.aggregate(F.slice(s, F.lit(1), b), F.lit(0), add))
+    return _let(lengths, lambda a: _let(blocks(a), lambda s: _let(before(s), lambda ahead: F.transform(
+        a, lambda _, i: F.get(ahead, at(i)) + F.aggregate(
+            F.slice(a, at(i) * _BLOCK + 1, i - at(i) * _BLOCK + 1), F.lit(0), add)))))
 
 
 def spans(text: Column, kind: str) -> Column:
     """Spans (start, rank, stop) of one kind in a text: leftmost matches that
     do not overlap, those too short left out."""
     _, _, _, pattern, least, group = KINDS[_ORDER[kind]]
-    regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    lengths = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(F.slice(F.split(text, pattern), F.lit(1), F.size(found)), lambda g: F.length(g))
-    stops = _running(F.zip_with(gaps, lengths, lambda g, m: g + m))
-    long_enough = lengths if group == 0 else F.transform(
-        F.regexp_extract_all(text, regex, F.lit(group)), lambda m: F.length(m))
-    every = F.zip_with(F.zip_with(stops, lengths, lambda e, m: F.struct(
-        (e - m).alias("start"), F.lit(_ORDER[kind]).alias("rank"), e.alias("stop"))),
-        long_enough, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
-    kept = F.transform(F.filter(every, lambda x: x["n"] >= least), lambda x: x["s"])
-    return F.when(text.rlike(pattern), kept.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    sizes = lambda of: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(of)), lambda m: F.length(m))
+
+    def placed(lengths: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern), F.lit(1), F.size(lengths)), lambda g: F.length(g))
+        every = F.arrays_zip(_running(F.zip_with(gaps, lengths, lambda g, m: g + m)).alias("stop"),
+                             lengths.alias("length"), (lengths if group == 0 else sizes(group)).alias("counted"))
+        return F.transform(F.filter(every, lambda x: x["counted"] >= least), lambda x: F.struct(
+            (x["stop"] - x["length"]).alias("start"), F.lit(_ORDER[kind]).alias("rank"), x["stop"].alias("stop")))
+    return F.when(text.rlike(pattern), _let(sizes(0), placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def printed(spans_: Column) -> Column:
@@ -112,11 +114,10 @@ def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     weak = F.concat(*[spans(F.col("t"), k) for k, _, w, *_ in KINDS if w])
     found = docs.select("doc_id", text.alias("t")).select(
         "doc_id", F.xxhash64("t", F.length("t")).alias("text_key"), strong.alias("base"), weak.alias("weak"))
-    free = F.filter("weak", lambda w: ~F.exists(F.slice("base", 1, 1 << 30), lambda b: (b["start"] < w["stop"]) & (
-        w["start"] < b["stop"])))
+    found = written(found, "spans")
     # only documents with a weak part and another part can link
-    found = written(found.select("doc_id", "text_key", "base", F.when((F.size("weak") > 0) & (
-        F.size("weak") + F.size("base") > 1), free).otherwise(F.array().cast(_SPAN)).alias("weak")), "spans")
+    free = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
+    found = found.withColumn("weak", F.when(F.size("weak") + F.size("base") > 1, free).otherwise(F.array().cast(_SPAN)))
     linkable = written(found.filter(F.size("weak") > 0).dropDuplicates(["doc_id", "text_key"]).select(
         "doc_id", "text_key", F.concat("base", "weak").alias("parts")), "parts")
 
