@@ -35,7 +35,9 @@ QUESTION_OVERLAP = 0.8
 ANSWER_OVERLAP = 0.5
 MIN_WINDOW = 128
 BLOCK = 64
-PIECE_BYTES = 4 << 20
+RANGE = 4
+RANGE_CELLS = 1 << 23
+PIECE_BYTES = 1 << 20
 K1, B = 1.2, 0.75
 _TOKEN = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -84,34 +86,33 @@ class Index:
         self.impacts = [[]] + [[x for _, x in postings[w]] for w in order]
         self.block_max = [[]] + [[max(p[i:i + block]) for i in range(0, len(p), block)] for p in self.impacts[1:]]
         self.most = np.array([0.0] + [max(p) for p in self.impacts[1:]])
-        # The most frequent terms may together give an item `idle` at most: a
-        # passage must reach the rest of the threshold with other terms.
-        shares, self.idle, self.first_rare = [0.0] * len(self.ids), 0.0, 1
+        # Bounds of ranges of neighbouring items: what a term adds to any of
+        # them at most.  As many ranges as keep the table small.
+        n_ranges = max(1, min(-(-len(self.ids) // RANGE), RANGE_CELLS // len(self.items)))
+        self.width = -(-len(self.ids) // n_ranges)
+        self.range_max = np.zeros((len(self.items), -(-len(self.ids) // self.width)), np.float32)
         for t in range(1, len(self.items)):
-            for o, x in zip(self.items[t], self.impacts[t]):
-                shares[o] += x
-            top = max([self.idle, *(shares[o] for o in self.items[t])])
-            if top > threshold / 2:
-                break
-            self.idle, self.first_rare = top, t + 1
-        self.rare = self.most.copy()
-        self.rare[:self.first_rare] = 0
+            np.maximum.at(self.range_max[t], np.array(self.items[t]) // self.width, self.impacts[t])
         longest = max([1, *map(len, self.tokens)])
         self.window = max(MIN_WINDOW, 1 << (2 * longest - 1).bit_length())
-        self._shingles: dict[int, dict] = {}
 
-    def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item ordinal, score) of every item that scores the threshold or
-        more for a set of terms: block-max WAND."""
+    def live(self, terms: np.ndarray) -> list[int]:
+        """Ranges of items that may hold one above the threshold."""
+        return np.flatnonzero(self.range_max[terms].sum(axis=0) >= self.threshold - 1e-4).tolist()
+
+    def search(self, terms: list[int], low: int = 0, high: int = 1 << 60) -> list[tuple[int, float]]:
+        """(item ordinal, score) of every item from ``low`` to before ``high``
+        that scores the threshold or more for a set of terms: block-max WAND."""
         need = self.threshold - _SLACK
         items, impacts, block_max, most, size = self.items, self.impacts, self.block_max, self.most, self.block
-        cursors = [[items[t][0], t, 0] for t in terms]   # item, term, place in its postings
+        starts = [(t, bisect_left(items[t], low)) for t in terms]
+        cursors = [[items[t][i], t, i] for t, i in starts if i < len(items[t]) and items[t][i] < high]   # item, term, place
         found = []
 
         def to(cursor: list, item: int) -> bool:
             p = items[cursor[1]]
             cursor[2] = bisect_left(p, item, cursor[2])
-            if cursor[2] == len(p):
+            if cursor[2] == len(p) or p[cursor[2]] >= high:
                 return False
             cursor[0] = p[cursor[2]]
             return True
@@ -173,20 +174,17 @@ class Index:
             return out
         terms = np.fromiter(map(self.terms.get, words, repeat(0)), np.int32, n)
         step = self.window // 2
-        starts = np.arange(0, max(1, n - step), step)
-        run = np.concatenate([[0.0], np.cumsum(self.rare[terms])])
-        sums = run[np.minimum(starts + self.window, n)] - run[starts]
-        for s in starts[sums >= self.threshold - self.idle - 1e-6].tolist():
+        for s in range(0, max(1, n - step), step):
             asked = np.unique(terms[s:s + self.window])
-            if self.rare[asked].sum() < self.threshold - self.idle - 1e-6:
-                continue
-            passage = None
-            for ordinal, score in self.search([t for t in asked.tolist() if t]):
-                passage = passage or words[s:s + self.window]
-                q, a = self.overlaps(ordinal, passage)
-                if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
-                    item = self.ids[ordinal]
-                    out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, q, a))
+            passage, known = None, None
+            for r in self.live(asked):
+                known = known or [t for t in asked.tolist() if t]
+                for ordinal, score in self.search(known, r * self.width, (r + 1) * self.width):
+                    passage = passage or words[s:s + self.window]
+                    q, a = self.overlaps(ordinal, passage)
+                    if q >= QUESTION_OVERLAP and a >= ANSWER_OVERLAP:
+                        item = self.ids[ordinal]
+                        out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, q, a))
         return out
 
 
