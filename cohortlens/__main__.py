@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
 
@@ -32,6 +33,14 @@ def load_visits(spark, path: str, fmt: str, csv_mode: str):
     return read_visits(spark, path, fmt), None
 
 
+def load_expected(spark, path: str | None) -> dict[str, float] | None:
+    """Expected figures by check label (at most one per check)."""
+    if not path:
+        return None
+    rows = spark.read.csv(path, header=True, schema="label string, expected double").limit(len(K.checks()) + 1).collect()
+    return {r.label: r.expected for r in rows}
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="python -m cohortlens", description=__doc__.split("\n")[0])
     ap.add_argument("--visits", help="visit table: a path, or a table name with --format table")
@@ -42,6 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--steps", help="comma-separated step names (default: all)")
     ap.add_argument("--method", default="exact", choices=["exact", "approx", "exact_sorted"],
                     help="quantile method of the default dimension output")
+    ap.add_argument("--expected", help="CSV file (header label,expected) with the scorecard's expected figures")
     ap.add_argument("--no-shared", action="store_true",
                     help="run every step on its own (no shared statistics, counts and check tables)")
     ap.add_argument("--list", action="store_true", help="list the step names and exit")
@@ -58,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_spark(args.master)
     visits, raw = load_visits(spark, args.visits, args.format, args.csv_mode)
     steps = [s for s in (args.steps or "").split(",") if s] or None
-    outputs = T.run_study(visits, steps, raw=raw, shared=not args.no_shared)
+    outputs = T.run_study(visits, steps, raw=raw, shared=not args.no_shared, expected=load_expected(spark, args.expected))
     if args.method != "exact" and (steps is None or "run_dimension_default" in steps):
         outputs["run_dimension_default"] = S.run_dimension(visits, S.DEFAULT_DIMENSION, args.method)
     out = (args.out or scratch_dir(spark, "study")).rstrip("/")

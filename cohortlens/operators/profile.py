@@ -64,20 +64,17 @@ def top_values(df: DataFrame, column: str | Column, k: int = 20, value_name: str
     """The ``k`` most frequent values with their share of *all* rows.
 
     The share is computed before the cut (so it is of every row, not of the
-    top-k).  Ties are broken by value so rank k is deterministic.  Spark
-    plans the ``row_number <= k`` filter with a ``TakeOrderedAndProject``
-    below the window: each partition keeps k rows, and only those meet in
-    the final ranking.
+    top-k).  Ties are broken by value so rank k is deterministic.  A limit
+    comes before the ranking, so each partition keeps k rows and only k rows
+    are numbered, whatever k is.
     """
     return top_of_profile(frequency(df, column, value_name, pct_name, digits), k, value_name)
 
 
 def top_of_profile(freq: DataFrame, k: int, value_name: str = "value") -> DataFrame:
     """Top ``k`` rows of a frequency profile by ``n`` (ties by value), ranked."""
-    w = Window.orderBy(F.desc("n"), F.asc_nulls_last(value_name))
-    return (freq.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .withColumn("rank", F.col("rank").cast("int")))
+    order = [F.desc("n"), F.asc_nulls_last(value_name)]
+    return freq.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
 
 
 def sentinel_hunt(df: DataFrame, column: str, codes: Sequence[int], value_name: str = "value",
@@ -108,9 +105,11 @@ def sentinel_summary(df: DataFrame, column: str, codes: Sequence[int], digits: i
 def profile_subtotals(profile: DataFrame, value_name: str, excluded_codes: Sequence[int],
                       labels: tuple[str, str] = ("legitimate", "excluded"), digits: int = 2) -> DataFrame:
     """Collapse a frequency profile into kept / excluded subtotals.
-    Shares are recomputed from counts, not summed from rounded shares."""
+    A NULL value counts as excluded: the exclusion filter drops it.  Shares
+    are recomputed from counts, not summed from rounded shares."""
     keep_label, drop_label = labels
-    cat = F.when(F.col(value_name).isin(list(excluded_codes)), F.lit(drop_label)).otherwise(F.lit(keep_label))
+    dropped = F.col(value_name).isNull() | F.col(value_name).isin(list(excluded_codes))
+    cat = F.when(dropped, F.lit(drop_label)).otherwise(F.lit(keep_label))
     sub = profile.groupBy(cat.alias("category")).agg(F.sum("n").cast("long").alias("n"))
     return with_share(sub, "n", sub.select(F.sum("n")).scalar(), "pct_of_total", digits)
 

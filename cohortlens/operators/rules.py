@@ -43,10 +43,13 @@ def exclude_codes(df: DataFrame, rules: Rules) -> DataFrame:
 def waterfall(df: DataFrame, rules: Rules, survivor_name: str = "clean_universe",
               pct_name: str = "clean_pct_of_total") -> DataFrame:
     """One row: total, rows caught by each rule, rows caught by more than one
-    rule (the overlap), survivors and survivors as % of total.
+    rule, the overlap correction, rows dropped for a NULL alone, survivors and
+    survivors as % of total.
 
-    ``total - sum(excluded_i) + overlap_correction = survivors`` holds; for
-    two rules the correction is exactly ``multi_rule_excluded``.
+    ``overlap_correction`` counts every catch of a row beyond its first and
+    ``null_excluded`` the rows that no rule catches but a NULL in a ruled
+    column drops, so for any number of rules
+    ``total - sum(excluded_i) + overlap_correction - null_excluded = survivors``.
     """
     fails = [F.coalesce(excluded(c, codes).cast("int"), F.lit(0)) for c, codes in rules.items()]
     n_fail = fails[0]
@@ -55,6 +58,8 @@ def waterfall(df: DataFrame, rules: Rules, survivor_name: str = "clean_universe"
     aggs = [F.count(F.lit(1)).alias("total_records")]
     aggs += [F.count_if(excluded(c, codes)).alias(f"{c.lower()}_excluded") for c, codes in rules.items()]
     aggs += [F.count_if(n_fail >= 2).alias("multi_rule_excluded"),
+             F.coalesce(F.sum(F.greatest(n_fail - 1, F.lit(0))), F.lit(0)).cast("long").alias("overlap_correction"),
+             F.count_if((n_fail == 0) & keep_mask(rules).isNull()).alias("null_excluded"),
              F.count_if(keep_mask(rules)).alias(survivor_name)]
     out = df.agg(*aggs)
     return out.withColumn(pct_name, rounded_ratio(survivor_name, "total_records", 2, factor=100))

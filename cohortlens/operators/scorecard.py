@@ -37,7 +37,7 @@ from cohortlens.operators.quantiles import histogram, histogram_summary
 class Check:
     label: str
     kind: str
-    expected: float
+    expected: float | None   # None: the figure by observed values and coarser rounding
     tolerance: float
     where: Column | None = None
     of: Column | None = None
@@ -76,25 +76,30 @@ def filter_summary(df: DataFrame, measure: str, preds: Sequence[Column], discret
     return out
 
 
-def _figure(kind: str, where: int, of: int | None, pick, dtype: T.DataType, digits: int) -> list[Column]:
-    """Aggregates over the per-filter summary giving one check's figure;
+def _figure(kind: str, where: int, of: int | None, pick, dtype: T.DataType, digits: int,
+            observed: bool = False) -> list[Column]:
+    """Aggregates over the per-filter summary giving one check's figure, and
+    with ``observed`` its reference: the observed-value median, the share to 2
+    digits, the mean to 1;
     ``pick(fid, col)`` is the value of ``col`` in filter ``fid``'s row."""
     w_n = F.coalesce(pick(where, "_n"), F.lit(0))
     if kind == "count":
-        return [w_n.cast("double")]
+        return [w_n.cast("double")] * (1 + observed)
     if kind == "share":
-        return [rounded_ratio(w_n, F.coalesce(pick(of, "_n"), F.lit(0)), digits, factor=100)]
+        return [rounded_ratio(w_n, F.coalesce(pick(of, "_n"), F.lit(0)), d, factor=100)
+                for d in ([digits, 2] if observed else [digits])]
     if kind == "mean":
-        return [mean_from(pick(where, "_sum"), pick(where, "_nv"), dtype, digits)]
+        return [mean_from(pick(where, "_sum"), pick(where, "_nv"), dtype, d)
+                for d in ([digits, 1] if observed else [digits])]
     if kind == "median":
-        return [pick(where, "median")]
+        return [pick(where, "median"), *([pick(where, "median_disc")] if observed else [])]
     if kind == "agreement":
         return [pick(where, "median"), pick(where, "median_disc")]
     raise ValueError(f"unknown check kind {kind!r}")
 
 
 def _figures(df: DataFrame, measure: str, items: list[tuple[str, Column | None, Column | None]],
-             digits: int, shared: Shared | None = None) -> DataFrame:
+             digits: int, shared: Shared | None = None, observed: bool = False) -> DataFrame:
     """One row with columns ``f{i}_{j}``: figure j of item i (kind, where, of).
 
     The per-filter summary (one row per distinct filter) is folded into this
@@ -111,7 +116,7 @@ def _figures(df: DataFrame, measure: str, items: list[tuple[str, Column | None,
             raise ValueError("the shared summary lacks a filter of these items")
         summ = shared[1]
     else:
-        summ = filter_summary(df, measure, filters.preds, discrete=any(k == "agreement" for k, _, _ in items))
+        summ = filter_summary(df, measure, filters.preds, discrete=observed or any(k == "agreement" for k, _, _ in items))
     dtype = df.schema[measure].dataType
     picks: dict[tuple[int, str], Column] = {}
 
@@ -123,7 +128,8 @@ def _figures(df: DataFrame, measure: str, items: list[tuple[str, Column | None,
 
     cols = []
     for i, (kind, w, o) in enumerate(ids):
-        cols += [e.cast("double").alias(f"f{i}_{j}") for j, e in enumerate(_figure(kind, w, o, pick, dtype, digits))]
+        cols += [e.cast("double").alias(f"f{i}_{j}") for j, e in enumerate(
+            _figure(kind, w, o, pick, dtype, digits, observed))]
     return summ.agg(*cols)
 
 
@@ -139,10 +145,15 @@ def shared_summary(df: DataFrame, measure: str, preds: Sequence[Column | None],
 
 def scorecard(df: DataFrame, measure: str, checks: Sequence[Check], digits: int = 4,
               shared: Shared | None = None) -> DataFrame:
-    """One row per check: (check_id, label, actual, expected, tolerance, status)."""
-    wide = _figures(df, measure, [(c.kind, c.where, c.of) for c in checks], digits, shared)
+    """One row per check: (check_id, label, actual, expected, tolerance, status).
+
+    A check without an expected value is held against the same figure by
+    observed values and coarser rounding, from the same histogram."""
+    wide = _figures(df, measure, [(c.kind, c.where, c.of) for c in checks], digits, shared,
+                    observed=any(c.expected is None for c in checks))
     rows = inline_rows(["check_id", "label", "actual", "expected", "tolerance"],
-                       [(i + 1, c.label, Ref(f"f{i}_0"), float(c.expected), float(c.tolerance))
+                       [(i + 1, c.label, Ref(f"f{i}_0"), Ref(f"f{i}_1") if c.expected is None else float(c.expected),
+                         float(c.tolerance))
                         for i, c in enumerate(checks)])
     ok = F.abs(F.col("actual") - F.col("expected")) <= F.col("tolerance")
     return (wide.select(rows)

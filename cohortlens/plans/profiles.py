@@ -161,6 +161,8 @@ def exclusion_waterfall(visits, counts):
     n_fail = F.coalesce(a.cast("int"), F.lit(0)) + F.coalesce(w.cast("int"), F.lit(0))
     out = _one_set(counts).agg(_sum(RAW).alias("total_records"), _sum(a).alias("arrems_excluded"),
                                _sum(w).alias("waittime_excluded"), _sum(n_fail >= 2).alias("multi_rule_excluded"),
+                               _sum(n_fail >= 2).alias("overlap_correction"),
+                               _sum((n_fail == 0) & (a.isNull() | w.isNull())).alias("null_excluded"),
                                _sum(TWO_LAYER).alias("clean_universe"))
     return out.withColumn("clean_pct_of_total", rounded_ratio("clean_universe", "total_records", 2, factor=100))
 

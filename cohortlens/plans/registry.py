@@ -7,7 +7,6 @@ Every query reads the driver's tables (through the bindings) in full.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,7 +157,10 @@ _W_EX = f"WAITTIME IN ({_int_list(S.WAITTIME_RULE['WAITTIME'])})"
     f"SELECT {N} AS total_records, CAST(count_if({_A_EX}) AS BIGINT) AS arrems_excluded, "
     f"CAST(count_if({_W_EX}) AS BIGINT) AS waittime_excluded, "
     f"CAST(count_if(coalesce(CAST({_A_EX} AS INTEGER), 0) + coalesce(CAST({_W_EX} AS INTEGER), 0) >= 2) AS BIGINT)"
-    f" AS multi_rule_excluded, CAST(count_if({TWO_LAYER_SQL}) AS BIGINT) AS clean_universe, "
+    f" AS multi_rule_excluded, CAST(count_if({_A_EX} AND {_W_EX}) AS BIGINT) AS overlap_correction, "
+    "CAST(count(*) FILTER (WHERE (ARREMS IS NULL AND (WAITTIME IS NULL OR WAITTIME NOT IN (-9, -7, 99))) OR "
+    "(WAITTIME IS NULL AND (ARREMS IS NULL OR ARREMS NOT IN (-9, -8)))) AS BIGINT) AS null_excluded, "
+    f"CAST(count_if({TWO_LAYER_SQL}) AS BIGINT) AS clean_universe, "
     f"{r(f'count_if({TWO_LAYER_SQL})', 'count(*)', 2, 100)} AS clean_pct_of_total FROM visits", clean=False))
 def exclusion_waterfall(spark, sf_dir):
     return _study(spark, sf_dir, "exclusion_waterfall")
@@ -207,7 +209,7 @@ def triage_profile(spark, sf_dir):
 @query("profile_subtotals", with_visits(
     "SELECT category, CAST(sum(n) AS BIGINT) AS n, "
     f"{r('sum(n)', 'sum(sum(n)) OVER ()', 2, 100)} AS pct_of_total FROM ("
-    "SELECT CASE WHEN IMMEDR IN (-9, -8, 0, 7) THEN 'excluded' ELSE 'legitimate' END AS category, "
+    "SELECT CASE WHEN IMMEDR IS NULL OR IMMEDR IN (-9, -8, 0, 7) THEN 'excluded' ELSE 'legitimate' END AS category, "
     f"count(*) AS n FROM visits WHERE {TWO_LAYER_SQL} GROUP BY IMMEDR) GROUP BY category", clean=False))
 def profile_subtotals(spark, sf_dir):
     return _study(spark, sf_dir, "profile_subtotals")
@@ -507,18 +509,14 @@ def median_method_agreement(spark, sf_dir):
     return _study(spark, sf_dir, "median_method_agreement")
 
 
-def _expected_for(sf_dir: str) -> dict[str, float]:
-    return K.expected_values(os.path.basename(sf_dir.rstrip("/")))
-
-
 @query("scorecard", with_visits(K.scorecard_sql(), clean=False))
 def scorecard_query(spark, sf_dir):
-    return T.scorecard(visits(spark, sf_dir), clean(spark, sf_dir), _expected_for(sf_dir))
+    return T.scorecard(visits(spark, sf_dir), clean(spark, sf_dir))
 
 
 @query("scorecard_summary", with_visits(K.scorecard_summary_sql(), clean=False))
 def scorecard_summary_query(spark, sf_dir):
-    return T.scorecard_summary(visits(spark, sf_dir), clean(spark, sf_dir), _expected_for(sf_dir))
+    return T.scorecard_summary(visits(spark, sf_dir), clean(spark, sf_dir))
 
 
 # ---- the same operators on real columns (lineitem, events) ---------------------
@@ -529,12 +527,9 @@ def scorecard_summary_query(spark, sf_dir):
        "round(quantile_cont(quantity, 0.25), 1) AS p25_quantity, "
        "round(quantile_cont(quantity, 0.75), 1) AS p75_quantity FROM ("
        "SELECT l_linestatus, l_linenumber, CAST(l_quantity AS INTEGER) AS quantity FROM lineitem "
-       "WHERE l_linenumber NOT IN (6, 7) AND CAST(l_quantity AS INTEGER) NOT IN (1, 50)) "
-       "GROUP BY l_linestatus, l_linenumber")
+       ") GROUP BY l_linestatus, l_linenumber")
 def lineitem_status_contrast(spark, sf_dir):
-    li = B.lineitem_measures(spark, sf_dir)
-    kept = R.exclude_codes(li, {"l_linenumber": [6, 7], "quantity": [1, 50]})
-    return C.contrast(kept, "l_linestatus", "l_linenumber", "quantity", suffix="quantity")
+    return C.contrast(B.lineitem_measures(spark, sf_dir), "l_linestatus", "l_linenumber", "quantity", suffix="quantity")
 
 
 @query("lineitem_weekday_share",
@@ -563,13 +558,12 @@ _EVENT_BAND_SQL = "CASE " + " ".join(
        f"SELECT event_type, {_EVENT_BAND_SQL} AS time_band, {N} AS n, {avg1('amount_cents')} AS avg_amount_cents, "
        "round(quantile_cont(amount_cents, 0.5), 1) AS median_amount_cents FROM ("
        "SELECT event_type, CAST(hour(ts) * 100 + minute(ts) AS INTEGER) AS hhmm, "
-       "CAST(round(value * 100) AS BIGINT) AS amount_cents FROM events WHERE event_type IN ('view', 'purchase')) "
+       "CAST(round(value * 100) AS BIGINT) AS amount_cents FROM events) "
        "GROUP BY event_type, 2")
 def events_band_contrast(spark, sf_dir):
-    ev = B.event_measures(spark, sf_dir).filter(F.col("event_type").isin("view", "purchase"))
-    ev = ev.withColumn("time_band", band_ranges("hhmm", S.TIME_BANDS))
+    ev = B.event_measures(spark, sf_dir).withColumn("time_band", band_ranges("hhmm", S.TIME_BANDS))
     return C.contrast(ev, "event_type", "time_band", "amount_cents", stats=("n", "avg", "median"),
-                      suffix="amount_cents")
+                      method="exact_sorted", suffix="amount_cents")
 
 
 # ---- high-cardinality measure: order totals (exact without per-group state) ----

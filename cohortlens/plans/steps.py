@@ -250,7 +250,7 @@ def median_method_agreement(visits, clean, shared=None):
 
 
 def scorecard(visits, clean, expected: dict[str, float] | None = None, shared=None):
-    return _scorecard(S.labelled_visits(visits), "WAITTIME", K.checks(expected or K.expected_values("sf0.01")),
+    return _scorecard(S.labelled_visits(visits), "WAITTIME", K.checks(expected),
                       shared=shared)
 
 
@@ -265,7 +265,7 @@ def shared_checks(visits: DataFrame):
     """One stored filter summary for every filter of the check steps."""
     from cohortlens.operators.scorecard import shared_summary
     preds = [p for _, _, p in K.statistic_specs()] + [p for _, p in K.median_specs()]
-    for c in K.checks(K.expected_values("sf0.01")):
+    for c in K.checks():
         preds += [c.where, c.of] if c.kind == "share" else [c.where]
     return shared_summary(S.labelled_visits(visits), "WAITTIME", preds,
                           scratch_dir(visits.sparkSession, "study-checks"))
@@ -404,7 +404,7 @@ def run_study(visits: DataFrame, steps: list[str] | None = None,
     checkpoint folder (``shared_statistics``, ``shared_counts``,
     ``shared_checks``; those jobs run here).  Every other step stays lazy.
     ``expected`` feeds the scorecard (label -> value); without it the
-    scorecard compares against the coded binding's sf0.01 figures.
+    scorecard compares against the figures by observed values.
     ``raw`` is the table as stored when ``visits`` is a typed projection of
     it (a wide CSV): the catalog steps describe ``raw``.  Steps that write
     (``csv_scan``) run only when named in ``steps``.

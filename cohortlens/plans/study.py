@@ -1,4 +1,4 @@
-"""The emergency-department arrival study as one configuration of the
+"""The visit study as one configuration of the
 operators: its codebook, exclusion rules, label columns and dimensions.
 
 ``clean_universe`` is the shared base relation (defined once, reused by

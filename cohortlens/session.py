@@ -8,7 +8,7 @@ a laptop) do we pick a folder ourselves.
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -21,12 +21,11 @@ def get_spark(master: str | None = None, app: str = "cohortlens",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume.
 
-    ``shuffle_partitions`` defaults to the local core count; on a cluster pass
-    a value sized so one shuffle partition holds ~128-256 MB (AQE coalesces
-    the rest).  ANSI mode stays on; operators use ``try_divide`` where a zero
+    ``shuffle_partitions`` is set only when given; otherwise the submitted or
+    default value stands.  On a cluster it should be sized so one shuffle
+    partition holds ~128-256 MB (AQE coalesces the rest).  ANSI mode stays on; operators use ``try_divide`` where a zero
     denominator is a legitimate outcome.
     """
-    cpus = os.cpu_count() or 8
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
@@ -34,8 +33,9 @@ def get_spark(master: str | None = None, app: str = "cohortlens",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master:
         builder = builder.master(master)
     for k, v in (extra or {}).items():
@@ -53,12 +53,16 @@ def scratch_dir(spark: SparkSession, *parts: str) -> str:
     """Return a fresh sub-folder of the session's checkpoint directory.
 
     Reads ``spark.checkpoint.dir`` from the session; sets a local one only
-    when the session has none (tests).  The SparkContext checkpoint dir is
+    when the session has none and its master is local (tests); on a cluster a
+    missing setting is an error.  The SparkContext checkpoint dir is
     aligned with it so ``DataFrame.checkpoint()`` writes to the same place.
     """
     base = spark.conf.get(_CKPT_KEY, None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), f"cohortlens-ckpt-{uuid.uuid4().hex[:8]}")
+        master = spark.conf.get("spark.master", None) or ""
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"{_CKPT_KEY} is not set: name a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/cohortlens-ckpt-{uuid.uuid4().hex[:8]}"
         spark.conf.set(_CKPT_KEY, base)
     try:
         sc = spark.sparkContext
