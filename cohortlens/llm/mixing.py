@@ -59,10 +59,13 @@ def quality_weights(docs: DataFrame, labels: DataFrame, low: float = 0.25) -> Da
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
-        bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+        bucket_rows: int = BUCKET_ROWS, labels: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text, quality): doc_id,
     size, source, source_size, target, taken, copies, text_hash.
 
+    With ``labels`` the qualities are those of ``quality_weights``, joined to
+    the measured rows, so no text is shuffled for them.
+
     ``size`` is the number of words (null text: 0).  Sources weigh by
     ``weights``, repeating, in code point order, the null source last.
     ``taken`` counts the words the mix takes of the document, repeats
@@ -72,11 +75,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     a hash of id and text, so reruns agree; equal rows are interchangeable.  A
     quality that is null, not positive or missing counts as 1.
     """
-    quality = F.col("quality") if "quality" in docs.columns else F.lit(1.0)
-    rows = written(docs.select(
+    given = F.col("quality") if "quality" in docs.columns and labels is None else F.lit(1.0)
+    rows = docs.select(
         "doc_id", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("skey"),
         word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"),
-        F.when(quality > 0, quality.cast("double")).otherwise(1.0).alias("quality")), "sizes")
+        F.when(given > 0, given.cast("double")).otherwise(1.0).alias("quality"))
+    rows = written(rows if labels is None else quality_weights(rows, labels), "sizes")
     by = F.when(F.col("skey") != "-", F.col("skey"))
     sources = numbered(rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
                        by.isNull(), by)
@@ -108,15 +112,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: whole rows of ``docs``, each as often as ``mix`` takes it."""
-    plan = mix(docs, **options)
-    plan = plan.filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"),
-                                             F.col("source").alias("__source")).agg(
+    # one struct as key of join and window: nulls in it are equal, and the text is shuffled once
+    plan = mix(docs, **options).filter("copies > 0").groupBy(
+        F.struct("doc_id", "text_hash", "source").alias("__plan")).agg(
         F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n"))
-    rows = docs.withColumn("__hash", F.xxhash64("text")).join(
-        plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__text"))
-        & docs["source"].eqNullSafe(F.col("__source")))
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"), "source")
+    rows = docs.withColumn("__key", key).join(plan, F.col("__key") == F.col("__plan"))
     # rows of equal id, text and source share their copies out evenly
-    nth = F.row_number().over(Window.partitionBy("__id", "__text", "__source").orderBy("__id"))
+    nth = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
     copies = F.floor(F.col("__sum") / F.col("__n")) + (F.col("__nth") <= F.col("__sum") % F.col("__n")).cast("int")
     rows = rows.withColumn("__nth", nth).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -43,8 +43,8 @@ def op2(spark, sf_dir):
 
 @query("op3_mix_sources")
 def op3(spark, sf_dir):
-    docs = mixing.quality_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    mix = mixing.mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 @query("op4_shard_lpt")

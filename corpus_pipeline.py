@@ -9,7 +9,6 @@ their input; the last adds its assignment.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortlens.llm import decontaminate, mixing, sharding, simhash, toxicity
 from cohortlens.llm.common import written
@@ -34,8 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix takes it."""
-    return mixing.mixed(mixing.quality_weights(docs, table(spark, sf_dir, "labels"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mixed(docs, labels=table(spark, sf_dir, "labels"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

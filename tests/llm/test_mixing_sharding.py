@@ -98,3 +98,13 @@ def test_shards(spark):
     whole = sharding.sharded(df, shards=8)
     assert sorted((str(r.doc_id), r.size, r.shard) for r in whole.collect()) == sorted((str(r.doc_id), r.size, r.shard) for r in got)
     assert sharding.assign(df.limit(0)).count() == 0
+
+
+def test_labels_give_the_same_mix_as_joined_qualities(spark):
+    _, df = docs(spark)
+    lab = spark.createDataFrame([(i, i % 3 % 2) for i in range(0, 300, 2)] + [(2, 1), (None, 0)], "doc_id long, quality int")
+    one = mixing.mix(df, bucket_rows=20, labels=lab).collect()
+    two = mixing.mix(mixing.quality_weights(df, lab), bucket_rows=20).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two))
+    out = mixing.mixed(df, bucket_rows=20, labels=lab)
+    assert out.columns == df.columns and out.count() == sum(r.copies for r in one)
