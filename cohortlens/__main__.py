@@ -18,7 +18,7 @@ from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
 
 
-def load_visits(spark, path: str, fmt: str, csv_mode: str):
+def load_visits(spark, path: str, fmt: str, csv_mode: str, on_failed: str = "error"):
     """(visits, raw): the typed visit relation, and the table as stored when
     the visits are a projection of it (a wide CSV read by column name)."""
     from cohortlens.sources.bindings import read_visits
@@ -28,7 +28,7 @@ def load_visits(spark, path: str, fmt: str, csv_mode: str):
     if fmt == "csv":
         if csv_mode == "by_name":
             raw = spark.read.option("header", True).csv(path)
-            return read_visits_csv_by_name(spark, path, strict=False), raw
+            return read_visits_csv_by_name(spark, path, strict=False, on_failed=on_failed), raw
         return read_visits_csv(spark, path, schema=None if csv_mode == "infer" else VISIT_SCHEMA), None
     return read_visits(spark, path, fmt), None
 
@@ -46,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--visits", help="visit table: a path, or a table name with --format table")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "orc", "json", "table"])
     ap.add_argument("--csv-mode", default="by_name", choices=["by_name", "schema", "infer"])
+    ap.add_argument("--failed-cells", default="error", choices=["error", "null"],
+                    help="CSV cells that are not blank and no number: refuse them, or read them as NULL")
     ap.add_argument("--out", help="output folder (default: under spark.checkpoint.dir)")
     ap.add_argument("--write-format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--steps", help="comma-separated step names (default: all)")
@@ -66,7 +68,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from cohortlens.session import get_spark, scratch_dir
     spark = get_spark(args.master)
-    visits, raw = load_visits(spark, args.visits, args.format, args.csv_mode)
+    visits, raw = load_visits(spark, args.visits, args.format, args.csv_mode, args.failed_cells)
     steps = [s for s in (args.steps or "").split(",") if s] or None
     outputs = T.run_study(visits, steps, raw=raw, shared=not args.no_shared, expected=load_expected(spark, args.expected))
     if args.method != "exact" and (steps is None or "run_dimension_default" in steps):

@@ -40,7 +40,8 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
              cohort_name: str | None = None, level_name: str | None = None,
              share_name: str = "pct_of_cohort", level_first: bool = False,
              order_by: Sequence[str] | None = None, rounding: str = "half_up",
-             drop_unlabelled: bool = False, salts: int = 32, sketch_k: int = 400) -> DataFrame:
+             drop_unlabelled: bool = False, keep_code: bool = False, salts: int = 32,
+             sketch_k: int = 400) -> DataFrame:
     """Per (cohort, level): ``n`` (COUNT(*)), ``n_valid`` (non-NULL measure
     values), share of the cohort, mean, min, max and quartiles of ``measure``.
 
@@ -71,6 +72,7 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     (pandas flavour); it only matters for values ending in an exact half.
     ``drop_unlabelled``: drop groups whose cohort or level label is NULL
     (the pandas flavour); by default they are kept (the SQL flavour).
+    ``keep_code`` adds the level's code as ``level_code``.
 
     Groups are formed on the raw codes and decoded afterwards, so the CASE
     for a label runs once per group.  Codes outside a codebook survive as a
@@ -112,7 +114,7 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     return present(grouped, cohort, level, stats=stats, suffix=suffix, cohort_labels=cohort_labels,
                    level_labels=level_labels, cohort_name=cohort_name, level_name=level_name,
                    share_name=share_name, level_first=level_first, order_by=order_by, rounding=rounding,
-                   drop_unlabelled=drop_unlabelled)
+                   drop_unlabelled=drop_unlabelled, keep_code=keep_code)
 
 
 def present(grouped: DataFrame, cohort: str, level: str, *, stats: Sequence[str], suffix: str = "wait_minutes",
@@ -120,7 +122,7 @@ def present(grouped: DataFrame, cohort: str, level: str, *, stats: Sequence[str]
             cohort_name: str | None = None, level_name: str | None = None,
             share_name: str = "pct_of_cohort", level_first: bool = False,
             order_by: Sequence[str] | None = None, rounding: str = "half_up",
-            drop_unlabelled: bool = False) -> DataFrame:
+            drop_unlabelled: bool = False, keep_code: bool = False) -> DataFrame:
     """Second half of ``contrast``: from one row per (cohort code, level
     code) with the statistics in ``_n``, ``_avg``, ``_median``... (already
     rounded) to the output -- share of the cohort, labels decoded on the
@@ -138,7 +140,8 @@ def present(grouped: DataFrame, cohort: str, level: str, *, stats: Sequence[str]
     if drop_unlabelled:
         out = out.filter(F.col(cohort_name).isNotNull() & F.col(level_name).isNotNull())
     keys = list(order_by) if order_by else [F.asc_nulls_first("_lvl"), F.asc_nulls_first("_coh")]
-    return out.orderBy(*keys).drop("_lvl", "_coh")
+    out = out.orderBy(*keys).drop("_coh")
+    return out.withColumnRenamed("_lvl", "level_code") if keep_code else out.drop("_lvl")
 
 
 def _from_histogram(df: DataFrame, cohort: str, level: str, measure: str, dtype, probs, stats, digits: int,

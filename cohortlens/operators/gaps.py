@@ -19,24 +19,28 @@ def _keys(index: str | Sequence[str]) -> list[str]:
 
 
 def gap_table(contrast_df: DataFrame, index: str | Sequence[str], cohort: str, value: str,
-              cohorts: Mapping[str, str], gap_name: str = "gap", digits: int = 1) -> DataFrame:
+              cohorts: Mapping[str, str], gap_name: str = "gap", digits: int = 1,
+              code: str | None = None) -> DataFrame:
     """``index`` x cohort pivot of ``value`` plus ``gap = first - second``.
 
     ``cohorts`` maps cohort label -> output column name, in order (first
     minus second: negative means the first cohort is lower).  A level that
-    lacks one cohort gets a NULL there and a NULL gap.  Should several groups
-    share one label (codes outside a codebook all decode to NULL), the
-    largest value is taken, so the table is deterministic.
+    lacks one cohort gets a NULL there and a NULL gap.  ``code`` names the
+    level's code column (``contrast(keep_code=True)``): levels are then paired
+    by code, so those that share a label (codes outside a codebook all decode
+    to NULL) keep a row each.  Without it, groups that share a label are one
+    level, of which the largest value is taken.
     """
     labels = list(cohorts)
     if len(labels) != 2:
         raise ValueError("gap_table needs exactly two cohorts")
     keys = _keys(index)
-    wide = contrast_df.groupBy(*keys).pivot(cohort, labels).agg(F.max(value))
+    by = keys + [code] if code else keys
+    wide = contrast_df.groupBy(*by).pivot(cohort, labels).agg(F.max(value))
     a, b = (cohorts[x] for x in labels)
-    wide = wide.select(*keys, F.col(f"`{labels[0]}`").alias(a), F.col(f"`{labels[1]}`").alias(b))
+    wide = wide.select(*by, F.col(f"`{labels[0]}`").alias(a), F.col(f"`{labels[1]}`").alias(b))
     return (wide.withColumn(gap_name, F.round(F.col(a) - F.col(b), digits))
-            .orderBy(*[F.asc_nulls_first(k) for k in keys]))
+            .orderBy(*[F.asc_nulls_first(k) for k in by]).select(*keys, a, b, gap_name))
 
 
 def gap_verdict(gap_df: DataFrame, gap: str = "gap", by: Sequence[str] = ()) -> DataFrame:
@@ -73,19 +77,22 @@ def gap_extremes(gap_df: DataFrame, index: str, gap: str = "gap", by: Sequence[s
 
 def mean_median_divergence(contrast_df: DataFrame, index: str | Sequence[str], cohort: str, mean: str,
                            median: str,
-                           cohorts: Mapping[str, str], digits: int = 1) -> DataFrame:
+                           cohorts: Mapping[str, str], digits: int = 1, code: str | None = None) -> DataFrame:
     """Per level: both cohorts' mean and median, the two gaps, and how far
-    the median gap departs from the mean gap (``|median_gap - mean_gap|``)."""
+    the median gap departs from the mean gap (``|median_gap - mean_gap|``).
+    ``code`` as in ``gap_table``."""
     labels = list(cohorts)
     keys = _keys(index)
-    wide = (contrast_df.groupBy(*keys).pivot(cohort, labels)
+    by = keys + [code] if code else keys
+    wide = (contrast_df.groupBy(*by).pivot(cohort, labels)
             .agg(F.max(mean).alias("mean"), F.max(median).alias("median")))
     a, b = (cohorts[x] for x in labels)
     cols = {f"mean_{a}": f"{labels[0]}_mean", f"mean_{b}": f"{labels[1]}_mean",
             f"median_{a}": f"{labels[0]}_median", f"median_{b}": f"{labels[1]}_median"}
-    wide = wide.select(*keys, *[F.col(f"`{src}`").alias(dst) for dst, src in cols.items()])
+    wide = wide.select(*by, *[F.col(f"`{src}`").alias(dst) for dst, src in cols.items()])
     mean_gap = F.round(F.col(f"mean_{a}") - F.col(f"mean_{b}"), digits)
     median_gap = F.round(F.col(f"median_{a}") - F.col(f"median_{b}"), digits)
-    return (wide.withColumn("mean_gap", mean_gap).withColumn("median_gap", median_gap)
-            .withColumn("divergence", F.round(F.abs(F.col("median_gap") - F.col("mean_gap")), digits))
-            .orderBy(*[F.asc_nulls_first(k) for k in keys]))
+    out = (wide.withColumn("mean_gap", mean_gap).withColumn("median_gap", median_gap)
+           .withColumn("divergence", F.round(F.abs(F.col("median_gap") - F.col("mean_gap")), digits))
+           .orderBy(*[F.asc_nulls_first(k) for k in by]))
+    return out.drop(code) if code else out

@@ -406,43 +406,44 @@ def boarding_rate_ratio(spark, sf_dir):
 
 # ---- gap tables and verdicts (G1-G8, P8, P22) ---------------------------------
 
-def _gap_sql(contrast_sql_name: str, index: str, where: str = "") -> str:
+def _gap_sql(contrast_sql_name: str, index: str, code: str, where: str = "") -> str:
     full = ORACLE_CONTRASTS[contrast_sql_name]
     sel_start = full.index("\nSELECT ")
-    ctes, select = full[:sel_start], full[sel_start + 1:]
+    ctes, select = full[:sel_start], full[sel_start + 1:].replace("SELECT ", f"SELECT {code} AS code, ", 1)
     return (f"{ctes}, c AS ({select}) SELECT {index}, "
             "max(median_wait_minutes) FILTER (WHERE arrival_method = 'Ambulance') AS ambulance, "
             "max(median_wait_minutes) FILTER (WHERE arrival_method = 'Walk-in') AS walk_in, "
             "round(max(median_wait_minutes) FILTER (WHERE arrival_method = 'Ambulance') - "
             "max(median_wait_minutes) FILTER (WHERE arrival_method = 'Walk-in'), 1) AS gap "
-            f"FROM c {where} GROUP BY {index}")
+            f"FROM c {where} GROUP BY code, {index}")
 
 
 _GAP_QUERIES = {
-    "gap_by_triage": ("distribution", "distribution_contrast", "triage_level", None),
+    "gap_by_triage": ("IMMEDR", "distribution_contrast", "triage_level", None),
     "gap_by_time": ("time_of_day", "time_of_day_contrast", "time_of_day", None),
-    "gap_by_day": ("day_of_week", "day_of_week_contrast", "day_of_week", None),
-    "gap_by_pain": ("pain", "pain_contrast", "pain_score", S.PAIN_GAP_RANGE),
-    "gap_by_region": ("region", "regional_contrast", "census_region", None),
+    "gap_by_day": ("VDAYR", "day_of_week_contrast", "day_of_week", None),
+    "gap_by_pain": ("PAINSCALE", "pain_contrast", "pain_score", S.PAIN_GAP_RANGE),
+    "gap_by_region": ("REGION", "regional_contrast", "census_region", None),
 }
 
 
-for _name, (_dim, _sqlname, _index, _rng) in _GAP_QUERIES.items():
+for _name, (_code, _sqlname, _index, _rng) in _GAP_QUERIES.items():
     _where = f"WHERE {_index} BETWEEN {_rng[0]} AND {_rng[1]}" if _rng else ""
-    query(_name, _gap_sql(_sqlname, _index, _where))(_step_query(_name))
+    query(_name, _gap_sql(_sqlname, _index, _code, _where))(_step_query(_name))
 
 
-def _dims_sql() -> str:
+def _dims_sql(code: bool = False) -> str:
     parts = []
-    for name, level_sql, group in [
-        ("triage", "triage_level", "IMMEDR, triage_level"),
-        ("time_of_day", "time_of_day", "time_of_day"),
-        ("day_of_week", "day_of_week", "VDAYR, day_of_week"),
-        ("pain", "CAST(PAINSCALE AS VARCHAR)", "PAINSCALE"),
-        ("boarding", "boarding_status", "boarding_status"),
-        ("region", "census_region", "REGION, census_region"),
+    for name, level_sql, code_sql, group in [
+        ("triage", "triage_level", "IMMEDR", "IMMEDR, triage_level"),
+        ("time_of_day", "time_of_day", "time_of_day", "time_of_day"),
+        ("day_of_week", "day_of_week", "VDAYR", "VDAYR, day_of_week"),
+        ("pain", "CAST(PAINSCALE AS VARCHAR)", "PAINSCALE", "PAINSCALE"),
+        ("boarding", "boarding_status", "boarding_status", "boarding_status"),
+        ("region", "census_region", "REGION", "REGION, census_region"),
     ]:
-        parts.append(f"SELECT '{name}' AS dimension, arrival_method, {level_sql} AS level, {N} AS n, "
+        own = f"CAST({code_sql} AS VARCHAR) AS code, " if code else ""
+        parts.append(f"SELECT '{name}' AS dimension, {own}arrival_method, {level_sql} AS level, {N} AS n, "
                      f"{_AVG}, {_MED} FROM clean GROUP BY ARREMS, arrival_method, {group}")
     return " UNION ALL ".join(parts)
 
@@ -453,7 +454,7 @@ def study_all_dimensions(spark, sf_dir):
 
 
 _GAPS_CTE = (
-    f", dims AS ({_dims_sql()}), gaps AS (SELECT dimension, level, "
+    f", dims AS ({_dims_sql(code=True)}), gaps AS (SELECT dimension, level, "
     "max(median_wait_minutes) FILTER (WHERE arrival_method = 'Ambulance') AS ambulance, "
     "max(median_wait_minutes) FILTER (WHERE arrival_method = 'Walk-in') AS walk_in, "
     "round(max(median_wait_minutes) FILTER (WHERE arrival_method = 'Ambulance') - "
@@ -461,7 +462,7 @@ _GAPS_CTE = (
     "max(avg_wait_minutes) FILTER (WHERE arrival_method = 'Ambulance') AS mean_ambulance, "
     "max(avg_wait_minutes) FILTER (WHERE arrival_method = 'Walk-in') AS mean_walk_in "
     "FROM dims WHERE dimension <> 'boarding' AND (dimension <> 'pain' OR TRY_CAST(level AS INTEGER) "
-    f"BETWEEN {S.PAIN_GAP_RANGE[0]} AND {S.PAIN_GAP_RANGE[1]}) GROUP BY dimension, level)")
+    f"BETWEEN {S.PAIN_GAP_RANGE[0]} AND {S.PAIN_GAP_RANGE[1]}) GROUP BY dimension, code, level)")
 
 
 def _with_gaps(body: str) -> str:

@@ -208,10 +208,10 @@ def _gap(dim: str) -> Step:
     index = GAP_LEVELS[dim]
 
     def step(visits, clean):
-        con = S.dimension_contrast(clean, dim)
+        con = S.dimension_contrast(clean, dim, keep_code=True)
         if dim == "pain":
             con = con.filter(F.col(index).between(*S.PAIN_GAP_RANGE))
-        return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS)
+        return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS, code="level_code")
     step.__name__ = f"gap_by_{dim}"
     return step
 
@@ -340,10 +340,10 @@ def _from_statistics(name: str, visits: DataFrame, clean: DataFrame, table: Data
     if name in _SHARED_GAPS:
         dim = _SHARED_GAPS[name]
         index = GAP_LEVELS[dim]
-        con = S.contrast_from_statistics(table, dim, dtype=dtype)
+        con = S.contrast_from_statistics(table, dim, dtype=dtype, keep_code=True)
         if dim == "pain":
             con = con.filter(F.col(index).between(*S.PAIN_GAP_RANGE))
-        return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS)
+        return G.gap_table(con, index, "arrival_method", "median_wait_minutes", S.GAP_COHORTS, code="level_code")
     if name == "boarding_rate":
         counts = _boarding_counts(table)
         return (counts.orderBy(F.asc_nulls_first(S.COHORT))

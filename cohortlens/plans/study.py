@@ -129,14 +129,14 @@ def run_dimension(visits: DataFrame, name: str = DEFAULT_DIMENSION, method: str
 
 
 def dimension_contrast(clean: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact",
-                       rounding: str = "half_up") -> DataFrame:
+                       rounding: str = "half_up", keep_code: bool = False) -> DataFrame:
     """The contrast of one dimension over an already-built clean universe."""
     d = DIMENSIONS[name]
     return contrast(
         clean, COHORT, d.level, MEASURE, stats=d.stats, method=method, rounding=rounding,
         cohort_labels=ARRIVAL_LABELS, level_labels=d.level_labels, cohort_name="arrival_method",
         level_name=d.level_name, share_name="pct_of_arrival_method", level_first=d.level_first,
-        order_by=list(d.order_by) if d.order_by else None,
+        order_by=list(d.order_by) if d.order_by else None, keep_code=keep_code,
     )
 
 
@@ -193,7 +193,7 @@ def _round_stats(rows: DataFrame, level: str, dtype, discrete: bool, rounding: s
 
 
 def contrast_from_statistics(table: DataFrame, name: str = DEFAULT_DIMENSION, method: str = "exact",
-                             rounding: str = "half_up", dtype=None) -> DataFrame:
+                             rounding: str = "half_up", dtype=None, keep_code: bool = False) -> DataFrame:
     """``dimension_contrast`` of one dimension, read off ``dimension_statistics``
     (same columns, values and order)."""
     d = DIMENSIONS[name]
@@ -205,7 +205,7 @@ def contrast_from_statistics(table: DataFrame, name: str = DEFAULT_DIMENSION, me
     return present(grouped, COHORT, d.level, stats=d.stats, cohort_labels=ARRIVAL_LABELS,
                    level_labels=d.level_labels, cohort_name="arrival_method", level_name=d.level_name,
                    share_name="pct_of_arrival_method", level_first=d.level_first,
-                   order_by=list(d.order_by) if d.order_by else None, rounding=rounding)
+                   order_by=list(d.order_by) if d.order_by else None, rounding=rounding, keep_code=keep_code)
 
 
 # Dimensions answered together by ``all_dimensions`` (core/distribution share
@@ -216,7 +216,7 @@ _SET_LEVELS = [("triage", "IMMEDR", TRIAGE_LABELS), ("time_of_day", "time_of_day
 
 
 def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None,
-                   stats: DataFrame | None = None) -> DataFrame:
+                   stats: DataFrame | None = None, keep_code: bool = False) -> DataFrame:
     """Every dimension from one scan: ``GROUPING SETS`` over (cohort, level_i).
 
     The Expand that feeds the sets sits in the same codegen stage as the
@@ -225,7 +225,8 @@ def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame |
     level_i): one histogram for every dimension, shuffled by value so no
     group is merged in one task, then each group's statistics from its
     distinct values.  Output shape:
-    (dimension, arrival_method, level, n, avg_wait_minutes, median_wait_minutes).
+    (dimension, arrival_method, level, n, avg_wait_minutes, median_wait_minutes),
+    with ``keep_code`` also the level's code as text, ``level_code``.
     """
     cu = (clean if clean is not None else clean_universe(visits)) \
         .withColumn("PAINSCALE_S", F.col("PAINSCALE").cast("string"))
@@ -234,7 +235,7 @@ def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame |
     if method in ("exact", "discrete"):
         table = stats if stats is not None else dimension_statistics(clean if clean is not None
                                                                      else clean_universe(visits), method)
-        return _dimensions_from_statistics(table, method, dtype)
+        return _dimensions_from_statistics(table, method, dtype, keep_code)
     else:
         q = quantile_exprs(MEASURE, ["median"], method)
         grouped = cu.groupingSets([[COHORT, lvl] for lvl in levels], COHORT, *levels).agg(
@@ -250,11 +251,18 @@ def all_dimensions(visits: DataFrame, method: str = "exact", clean: DataFrame |
         hit = F.col("_gid") == gid
         dim = F.when(hit, F.lit(name)) if dim is None else dim.when(hit, F.lit(name))
         level = F.when(hit, lab) if level is None else level.when(hit, lab)
-    return grouped.select(dim.alias("dimension"), decode_codes(COHORT, ARRIVAL_LABELS).alias("arrival_method"),
-                          level.alias("level"), "n", "avg_wait_minutes", "median_wait_minutes")
+    out = grouped.select(dim.alias("dimension"), decode_codes(COHORT, ARRIVAL_LABELS).alias("arrival_method"),
+                         level.alias("level"), "n", "avg_wait_minutes", "median_wait_minutes",
+                         _level_code(levels).alias("level_code"))
+    return out if keep_code else out.drop("level_code")
 
 
-def _dimensions_from_statistics(table: DataFrame, method: str, dtype) -> DataFrame:
+def _level_code(levels: list[str]) -> Column:
+    """The level's code as text: a row of a set has a value in its level alone."""
+    return F.coalesce(*[F.col(c).cast("string") for c in levels])
+
+
+def _dimensions_from_statistics(table: DataFrame, method: str, dtype, keep_code: bool = False) -> DataFrame:
     """The ``all_dimensions`` shape read off ``dimension_statistics``."""
     dim = level = None
     for name, lvl, labels in _SET_LEVELS:
@@ -263,10 +271,12 @@ def _dimensions_from_statistics(table: DataFrame, method: str, dtype) -> DataFra
         dim = F.when(hit, F.lit(name)) if dim is None else dim.when(hit, F.lit(name))
         level = F.when(hit, lab) if level is None else level.when(hit, lab)
     med = F.col("median") if method == "discrete" else F.round(F.col("median"), 1)
-    return table.select(dim.alias("dimension"), decode_codes(COHORT, ARRIVAL_LABELS).alias("arrival_method"),
-                        level.alias("level"), F.col("_n").alias("n"),
-                        mean_from(F.col("_sum"), F.col("_nv"), dtype, 1).alias("avg_wait_minutes"),
-                        med.cast("double").alias("median_wait_minutes"))
+    out = table.select(dim.alias("dimension"), decode_codes(COHORT, ARRIVAL_LABELS).alias("arrival_method"),
+                       level.alias("level"), F.col("_n").alias("n"),
+                       mean_from(F.col("_sum"), F.col("_nv"), dtype, 1).alias("avg_wait_minutes"),
+                       med.cast("double").alias("median_wait_minutes"),
+                       _level_code([lvl for _, lvl, _ in _SET_LEVELS]).alias("level_code"))
+    return out if keep_code else out.drop("level_code")
 
 
 def labelled_visits(visits: DataFrame) -> DataFrame:
@@ -280,7 +290,7 @@ def _gap_input(visits: DataFrame, method: str, clean: DataFrame | None = None,
                stats: DataFrame | None = None) -> DataFrame:
     """All-dimension contrast rows that enter the gap family: every dimension
     but boarding, and pain scores 0-10 only (sentinel scores stay out)."""
-    dims = all_dimensions(visits, method, clean, stats)
+    dims = all_dimensions(visits, method, clean, stats, keep_code=True)
     lo, hi = PAIN_GAP_RANGE
     pain_ok = F.col("level").try_cast("int").between(lo, hi)
     return dims.filter((F.col("dimension") != "boarding")
@@ -292,11 +302,11 @@ def gap_tables(visits: DataFrame, method: str = "exact", clean: DataFrame | None
     """(dimension, level, ambulance, walk_in, gap) of medians for every
     dimension, from the single GROUPING SETS scan."""
     return gap_table(_gap_input(visits, method, clean, stats), ["dimension", "level"], "arrival_method",
-                     "median_wait_minutes", GAP_COHORTS)
+                     "median_wait_minutes", GAP_COHORTS, code="level_code")
 
 
 def divergence_table(visits: DataFrame, method: str = "exact", clean: DataFrame | None = None,
                      stats: DataFrame | None = None) -> DataFrame:
     """Mean gap versus median gap per (dimension, level)."""
     return mean_median_divergence(_gap_input(visits, method, clean, stats), ["dimension", "level"], "arrival_method",
-                                  "avg_wait_minutes", "median_wait_minutes", GAP_COHORTS)
+                                  "avg_wait_minutes", "median_wait_minutes", GAP_COHORTS, code="level_code")

@@ -41,7 +41,7 @@ def visit_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=VI
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     return reader.format(fmt).load(path)
 
 
