@@ -91,7 +91,14 @@ def test_scratch_dir_uses_the_configured_shared_folder():
 
 
 def test_scratch_dir_sets_a_local_folder_only_when_unset():
-    s = _Session({})
+    s = _Session({"spark.master": "local[2]"})
     base = scratch_dir(s)
     assert base and s.conf.get("spark.checkpoint.dir") == base
     assert scratch_dir(s) == base                              # set once, then read back
+
+
+def test_scratch_dir_off_a_local_master_must_be_named():
+    import pytest
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_dir(_Session({"spark.master": master}))
