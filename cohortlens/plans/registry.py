@@ -17,6 +17,7 @@ from cohortlens.functions.stats import weekday_of
 from cohortlens.operators import contrasts as C
 from cohortlens.operators import profile as P
 from cohortlens.operators import rules as R
+from cohortlens.operators.quantiles import rank_check
 from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
@@ -355,6 +356,13 @@ ORACLE_CONTRASTS["distribution_contrast_half_even"] = _contrast_sql(
     "CAST(round_even(quantile_cont(WAITTIME, 0.25), 1) AS DOUBLE) AS p25_wait_minutes, "
     "CAST(round_even(quantile_cont(WAITTIME, 0.75), 1) AS DOUBLE) AS p75_wait_minutes")
 
+ORACLE_CONTRASTS["time_of_day_cuts_contrast"] = with_visits(
+    f"SELECT arrival_method, time_of_day, {N} AS n, CAST(count(WAITTIME) AS BIGINT) AS n_valid, "
+    f"{r_even('sum(WAITTIME)', 'count(WAITTIME)', 1)} AS avg_wait_minutes, "
+    "CAST(round_even(quantile_cont(WAITTIME, 0.5), 1) AS DOUBLE) AS median_wait_minutes "
+    f"FROM (SELECT * REPLACE ({_CUTS_SQL} AS time_of_day) FROM clean) "
+    "WHERE arrival_method IS NOT NULL AND time_of_day IS NOT NULL GROUP BY ARREMS, arrival_method, time_of_day")
+
 _DIMENSION_QUERIES = {
     "core_contrast": ("core", "exact"),
     "distribution_contrast": ("distribution", "exact"),
@@ -367,6 +375,7 @@ _DIMENSION_QUERIES = {
     "run_dimension_default": (S.DEFAULT_DIMENSION, "exact"),
     "distribution_contrast_discrete": ("distribution", "discrete"),
     "distribution_contrast_half_even": ("distribution", "exact"),
+    "time_of_day_cuts_contrast": ("time_of_day", "exact"),
 }
 
 
@@ -432,6 +441,9 @@ for _name, (_code, _sqlname, _index, _rng) in _GAP_QUERIES.items():
     query(_name, _gap_sql(_sqlname, _index, _code, _where))(_step_query(_name))
 
 
+query("gap_by_time_cuts", _gap_sql("time_of_day_cuts_contrast", "time_of_day", "time_of_day"))(_step_query("gap_by_time_cuts"))
+
+
 def _dims_sql(code: bool = False) -> str:
     parts = []
     for name, level_sql, code_sql, group in [
@@ -592,6 +604,69 @@ def orders_price_quartiles_approx(spark, sf_dir):
                       stats=("n", "median", "p25", "p75"), method="approx", suffix="totalprice")
 
 
+# Approximate quantiles are held against the ranks of the data, at any size.
+def _ranks_hold_sql(group: str, table: str) -> str:
+    return (f"SELECT {group}, {N} AS n, true AS median_wait_minutes_ok, true AS p25_wait_minutes_ok, "
+            f"true AS p75_wait_minutes_ok FROM {table} GROUP BY {group}")
+
+
+def _ranks(df: DataFrame, cohort: str, level: str, measure: str, method: str, tolerance: float) -> DataFrame:
+    found = C.contrast(df, cohort, level, measure, stats=("median", "p25", "p75"), method=method, digits=4)
+    return rank_check(df, [cohort, level], measure, found,
+                      {"median_wait_minutes": 0.5, "p25_wait_minutes": 0.25, "p75_wait_minutes": 0.75}, tolerance)
+
+
+@query("distribution_approx_ranks", with_visits(_ranks_hold_sql("ARREMS, IMMEDR", "clean")))
+def distribution_approx_ranks(spark, sf_dir):
+    return _ranks(clean(spark, sf_dir), "ARREMS", "IMMEDR", "WAITTIME", "approx", 0.001)
+
+
+@query("orders_price_approx_ranks", _ranks_hold_sql(_PRICE_GROUP, "orders"))
+def orders_price_approx_ranks(spark, sf_dir):
+    o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
+    return _ranks(o, "o_orderstatus", "o_orderpriority", "o_totalprice", "approx", 0.001)
+
+
+@query("orders_price_sketch_ranks", _ranks_hold_sql(_PRICE_GROUP, "orders"))
+def orders_price_sketch_ranks(spark, sf_dir):
+    """KLL sketches, salted by value and merged in two levels."""
+    o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
+    return _ranks(o, "o_orderstatus", "o_orderpriority", "o_totalprice", "sketch", 0.03)
+
+
+# The order of the rows is part of these results: numbered as they come.
+def _positions(df: DataFrame) -> DataFrame:
+    """``df``'s few group rows with their place in its order."""
+    return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
+def _position_sql(order: str) -> str:
+    return f"CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position"
+
+
+@query("distribution_contrast_order", _contrast_sql(
+    "triage_level", "triage_level", "ARREMS, IMMEDR, arrival_method, triage_level",
+    _position_sql("IMMEDR ASC NULLS FIRST, ARREMS ASC NULLS FIRST")))
+def distribution_contrast_order(spark, sf_dir):
+    return _positions(_study(spark, sf_dir, "distribution_contrast")).select(
+        "arrival_method", "triage_level", "n", "position")
+
+
+@query("boarding_contrast_order", _contrast_sql(
+    "boarding_status", "boarding_status", "ARREMS, arrival_method, boarding_status",
+    _position_sql("arrival_method ASC NULLS FIRST, boarding_status ASC NULLS FIRST")))
+def boarding_contrast_order(spark, sf_dir):
+    return _positions(_study(spark, sf_dir, "boarding_contrast")).select(
+        "arrival_method", "boarding_status", "n", "position")
+
+
+@query("triage_profile_order", with_visits(
+    f"SELECT IMMEDR AS triage_level, {N} AS n, {_position_sql('IMMEDR ASC NULLS FIRST')} FROM visits "
+    f"WHERE {TWO_LAYER_SQL} GROUP BY IMMEDR", clean=False))
+def triage_profile_order(spark, sf_dir):
+    return _positions(_study(spark, sf_dir, "triage_profile")).select("triage_level", "n", "position")
+
+
 @query("distribution_contrast_sorted", ORACLE_CONTRASTS["distribution_contrast"])
 def distribution_contrast_sorted(spark, sf_dir):
     """The flagship contrast with the distributed exact quantile path."""
