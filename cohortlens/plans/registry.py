@@ -22,6 +22,7 @@ from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
 from cohortlens.plans.oracle import avg1, case_sql, keep_sql, r, r_even, with_visits
+from cohortlens.session import scratch_dir
 from cohortlens.sources import bindings as B
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -38,26 +39,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-# The study defines its base relations once and reuses them in every step.
-# A DataFrame is an immutable logical plan, so one per (session, folder) is
-# shared by all queries; nothing is cached in memory by this.
-_BASE: dict[tuple, DataFrame] = {}
-
-
-def _shared(kind: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    key = (kind, id(spark), sf_dir)
-    df = _BASE.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = _BASE[key] = build()
-    return df
-
-
+# The base relations are lazy plans, built anew for every query so that a
+# rewritten input is listed again.
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared("visits", spark, sf_dir, lambda: B.coded_visits(spark, sf_dir))
+    return B.coded_visits(spark, sf_dir)
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared("clean", spark, sf_dir, lambda: S.clean_universe(visits(spark, sf_dir)))
+    return S.clean_universe(visits(spark, sf_dir))
 
 
 def _study(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -677,16 +666,12 @@ def distribution_contrast_sorted(spark, sf_dir):
 
 @query("distribution_contrast_stored", ORACLE_CONTRASTS["distribution_contrast"])
 def distribution_contrast_stored(spark, sf_dir):
-    """The flagship contrast over the visits stored as parquet (written once
-    under the shared checkpoint folder): the exclusion rules are pushed into
-    the parquet reader and only the used columns are read."""
-    def build():
-        from cohortlens.session import scratch_dir
-        path = scratch_dir(spark, "visits")
-        visits(spark, sf_dir).write.mode("error").parquet(path)
-        return B.read_visits(spark, path)
-    stored = _shared("stored_visits", spark, sf_dir, build)
-    return S.run_dimension(stored, "distribution")
+    """The flagship contrast over the visits stored as parquet (written for
+    this call under the shared checkpoint folder): the exclusion rules are
+    pushed into the parquet reader and only the used columns are read."""
+    path = scratch_dir(spark, "visits")
+    visits(spark, sf_dir).write.mode("error").parquet(path)
+    return S.run_dimension(B.read_visits(spark, path), "distribution")
 
 
 # ---- profiles on real columns (low and high cardinality) ------------------------
