@@ -4,7 +4,9 @@ All of them return a ``Column`` made of CASE WHEN branches, so they stay
 inside whole-stage codegen.  Unmatched input gives NULL (never a silent
 default), which keeps codes outside a codebook visible as a NULL group.
 Apply them to group keys after an aggregation when possible: the CASE then
-runs once per group instead of once per row.
+runs once per group instead of once per row.  Each is parsed by the JVM from
+one SQL expression, so building a plan costs one round trip per label column
+and not one per branch.
 """
 
 from __future__ import annotations
@@ -14,60 +16,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cohortlens.functions.literals import sql_literal, sql_name
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def _case(branches: Sequence[tuple[str, str]]) -> Column:
+    """Searched CASE over (SQL condition, label); no branch -> NULL."""
+    if not branches:
+        return F.lit(None).cast("string")
+    return F.expr("CASE " + " ".join(f"WHEN {cond} THEN {sql_literal(label)}" for cond, label in branches) + " END")
 
-def decode_codes(c: str | Column, mapping: Mapping[object, str]) -> Column:
-    """Simple CASE: ``CASE c WHEN k1 THEN v1 ... END`` (NULL when unmapped)."""
-    c = _col(c)
-    expr = None
-    for code, label in mapping.items():
-        expr = F.when(c == F.lit(code), F.lit(label)) if expr is None else expr.when(c == F.lit(code), F.lit(label))
-    return expr if expr is not None else F.lit(None).cast("string")
 
+def decode_codes(c: str, mapping: Mapping[object, str]) -> Column:
+    """``CASE WHEN c = k1 THEN v1 ... END`` (NULL when unmapped)."""
+    return _case([(f"{sql_name(c)} = {sql_literal(code)}", label) for code, label in mapping.items()])
 
-def band_ranges(c: str | Column, bands: Sequence[tuple[int, int, str]]) -> Column:
+
+def band_ranges(c: str, bands: Sequence[tuple[int, int, str]]) -> Column:
     """Closed ranges ``lo <= c <= hi``; values in gaps between bands give NULL."""
-    c = _col(c)
-    expr = None
-    for lo, hi, label in bands:
-        cond = c.between(lo, hi)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr
+    return _case([(f"{sql_name(c)} BETWEEN {sql_literal(lo)} AND {sql_literal(hi)}", label) for lo, hi, label in bands])
 
 
-def band_cuts(c: str | Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
+def band_cuts(c: str, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Left-open, right-closed intervals ``(edges[i], edges[i+1]]`` without gaps;
     outside the outer edges gives NULL."""
     if len(edges) != len(labels) + 1:
         raise ValueError("need len(edges) == len(labels) + 1")
-    c = _col(c)
-    expr = None
-    for lo, hi, label in zip(edges[:-1], edges[1:], labels):
-        cond = (c > lo) & (c <= hi)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr
-
-
-_OPS = {
-    "eq": lambda c, v: c == v,
-    "ne": lambda c, v: c != v,
-    "gt": lambda c, v: c > v,
-    "ge": lambda c, v: c >= v,
-    "lt": lambda c, v: c < v,
-    "le": lambda c, v: c <= v,
-    "in": lambda c, v: c.isin(list(v)),
-}
-
-
-def classify(c: str | Column, rules: Sequence[tuple[str, object, str]]) -> Column:
+    name = sql_name(c)
+    return _case([(f"{name} > {sql_literal(lo)} AND {name} <= {sql_literal(hi)}", label)
+                  for lo, hi, label in zip(edges[:-1], edges[1:], labels)])
+
+
+_OPS = {"eq": "=", "ne": "<>", "gt": ">", "ge": ">=", "lt": "<", "le": "<="}
+
+
+def classify(c: str, rules: Sequence[tuple[str, object, str]]) -> Column:
     """Searched CASE over ``(op, value, label)`` rules tried in order
     (``op`` in eq/ne/gt/ge/lt/le/in).  No rule matched -> NULL."""
-    c = _col(c)
-    expr = None
-    for op, value, label in rules:
-        cond = _OPS[op](c, value)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr
+    def cond(op: str, value: object) -> str:
+        if op == "in":
+            return f"{sql_name(c)} IN ({', '.join(sql_literal(v) for v in value)})"
+        return f"{sql_name(c)} {_OPS[op]} {sql_literal(value)}"
+    return _case([(cond(op, value), label) for op, value, label in rules])

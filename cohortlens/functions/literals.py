@@ -19,9 +19,14 @@ class Ref(str):
     """A cell that names a column of the input instead of a literal."""
 
 
+def sql_name(c: str) -> str:
+    """Quoted column name."""
+    return "`" + c.replace("`", "``") + "`"
+
+
 def sql_literal(v: object, dtype: T.DataType | None = None) -> str:
     if isinstance(v, Ref):
-        text = f"`{v}`"
+        text = sql_name(v)
     elif v is None:
         text = "NULL"
     elif isinstance(v, bool):

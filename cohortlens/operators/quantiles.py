@@ -191,26 +191,33 @@ def histogram_summary(hist: DataFrame, keys: Sequence[str], probs: Mapping[str,
 
 def rank_check(df: DataFrame, keys: Sequence[str], value: str, found: DataFrame, probs: Mapping[str, float],
                tolerance: float) -> DataFrame:
-    """Per group of ``keys``: ``n`` non-NULL values and, for every quantile
+    """Per group of ``keys``: ``n`` rows with a value and, for every quantile
     column of ``found`` (keys and one column per ``probs`` entry), ``<name>_ok``:
     whether its rank lies within ``tolerance`` (a share of n) of the wanted one.
+    A group whose values are all NULL stays, with ``n`` = 0: its quantiles
+    hold when they are NULL (or ``found`` has no such group).
 
     Holds approximate quantiles against the data at any size: the counts come
     from the (keys, value) histogram, never from one task per group.
     """
     keys = list(keys)
-    hist = histogram(df, keys, value).filter(F.col("_v").isNotNull())
+    hist = histogram(df, keys, value)
     known = found.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)],
                          *[F.col(c).alias(f"_q{i}") for i, c in enumerate(probs)])
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_f{i}"))
-    rows = hist.join(known, same)
-    aggs = [F.sum("_c").alias("n")]
+    rows = hist.join(known, same, "left")
+    valid = F.col("_v").isNotNull()
+    aggs = [F.coalesce(F.sum(F.when(valid, F.col("_c"))), F.lit(0)).alias("n")]
     for i in range(len(probs)):
-        aggs += [F.sum(F.when(F.col("_v") < F.col(f"_q{i}"), F.col("_c")).otherwise(0)).alias(f"_below{i}"),
-                 F.sum(F.when(F.col("_v") <= F.col(f"_q{i}"), F.col("_c")).otherwise(0)).alias(f"_upto{i}")]
+        q = F.col(f"_q{i}")
+        aggs += [F.max(q).alias(f"_at{i}"),
+                 F.sum(F.when(F.col("_v") < q, F.col("_c")).otherwise(0)).alias(f"_below{i}"),
+                 F.sum(F.when(F.col("_v") <= q, F.col("_c")).otherwise(0)).alias(f"_upto{i}")]
     out = rows.groupBy(*keys).agg(*aggs)
     return out.select(*keys, "n", *[
-        ((F.col(f"_below{i}") <= (p + tolerance) * F.col("n")) & (F.col(f"_upto{i}") >= (p - tolerance) * F.col("n")))
+        F.when(F.col("n") == 0, F.col(f"_at{i}").isNull())
+        .otherwise(F.col(f"_at{i}").isNotNull() & (F.col(f"_below{i}") <= (p + tolerance) * F.col("n"))
+                   & (F.col(f"_upto{i}") >= (p - tolerance) * F.col("n")))
         .alias(f"{name}_ok") for i, (name, p) in enumerate(probs.items())])

@@ -15,7 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.literals import sql_literal
+from cohortlens.functions.literals import sql_literal, sql_name
 from cohortlens.functions.stats import rounded_ratio
 
 Rules = Mapping[str, Sequence[int]]
@@ -23,7 +23,9 @@ Rules = Mapping[str, Sequence[int]]
 
 def excluded(column: str, codes: Sequence[int]) -> Column:
     """Row is caught by this rule (NULL when the column is NULL)."""
-    return F.col(column).isin(list(codes))
+    if not codes:
+        return F.lit(False)
+    return F.expr(f"{sql_name(column)} IN ({', '.join(sql_literal(c) for c in codes)})")
 
 
 def keep_mask(rules: Rules) -> Column:

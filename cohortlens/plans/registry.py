@@ -50,8 +50,10 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _study(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A study step (``plans.steps``) over the coded binding of ``sf_dir``."""
-    return T.STEPS[name](visits(spark, sf_dir), clean(spark, sf_dir))
+    """A study step (``plans.steps``) over the coded binding of ``sf_dir``:
+    the base relation is built once, labels only for steps that read them."""
+    rows = visits(spark, sf_dir)
+    return T.STEPS[name](rows, None if name in T.VISIT_STEPS else S.clean_universe(rows))
 
 
 # SQL fragments ---------------------------------------------------------------
@@ -513,12 +515,12 @@ def median_method_agreement(spark, sf_dir):
 
 @query("scorecard", with_visits(K.scorecard_sql(), clean=False))
 def scorecard_query(spark, sf_dir):
-    return T.scorecard(visits(spark, sf_dir), clean(spark, sf_dir))
+    return _study(spark, sf_dir, "scorecard")
 
 
 @query("scorecard_summary", with_visits(K.scorecard_summary_sql(), clean=False))
 def scorecard_summary_query(spark, sf_dir):
-    return T.scorecard_summary(visits(spark, sf_dir), clean(spark, sf_dir))
+    return _study(spark, sf_dir, "scorecard_summary")
 
 
 # ---- the same operators on real columns (lineitem, events) ---------------------
@@ -594,9 +596,10 @@ def orders_price_quartiles_approx(spark, sf_dir):
 
 
 # Approximate quantiles are held against the ranks of the data, at any size.
-def _ranks_hold_sql(group: str, table: str) -> str:
-    return (f"SELECT {group}, {N} AS n, true AS median_wait_minutes_ok, true AS p25_wait_minutes_ok, "
-            f"true AS p75_wait_minutes_ok FROM {table} GROUP BY {group}")
+# ``n`` counts the rows with a value; a group without one has nothing to hold.
+def _ranks_hold_sql(group: str, table: str, measure: str) -> str:
+    return (f"SELECT {group}, CAST(count({measure}) AS BIGINT) AS n, true AS median_wait_minutes_ok, "
+            f"true AS p25_wait_minutes_ok, true AS p75_wait_minutes_ok FROM {table} GROUP BY {group}")
 
 
 def _ranks(df: DataFrame, cohort: str, level: str, measure: str, method: str, tolerance: float) -> DataFrame:
@@ -605,18 +608,18 @@ def _ranks(df: DataFrame, cohort: str, level: str, measure: str, method: str, to
                       {"median_wait_minutes": 0.5, "p25_wait_minutes": 0.25, "p75_wait_minutes": 0.75}, tolerance)
 
 
-@query("distribution_approx_ranks", with_visits(_ranks_hold_sql("ARREMS, IMMEDR", "clean")))
+@query("distribution_approx_ranks", with_visits(_ranks_hold_sql("ARREMS, IMMEDR", "clean", "WAITTIME")))
 def distribution_approx_ranks(spark, sf_dir):
     return _ranks(clean(spark, sf_dir), "ARREMS", "IMMEDR", "WAITTIME", "approx", 0.001)
 
 
-@query("orders_price_approx_ranks", _ranks_hold_sql(_PRICE_GROUP, "orders"))
+@query("orders_price_approx_ranks", _ranks_hold_sql(_PRICE_GROUP, "orders", "o_totalprice"))
 def orders_price_approx_ranks(spark, sf_dir):
     o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])
     return _ranks(o, "o_orderstatus", "o_orderpriority", "o_totalprice", "approx", 0.001)
 
 
-@query("orders_price_sketch_ranks", _ranks_hold_sql(_PRICE_GROUP, "orders"))
+@query("orders_price_sketch_ranks", _ranks_hold_sql(_PRICE_GROUP, "orders", "o_totalprice"))
 def orders_price_sketch_ranks(spark, sf_dir):
     """KLL sketches, salted by value and merged in two levels."""
     o = B.read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderpriority", "o_totalprice"])

@@ -326,6 +326,14 @@ STEPS: dict[str, Step] = {
 }
 
 
+# Steps that read the raw visits; every other step reads the clean universe.
+VISIT_STEPS = {
+    "scan_visits", "csv_scan", "dataset_shape", "head_sample", "column_inventory", "schema_validation",
+    "required_columns", "cardinality_baseline", "clean_universe_two_layer", "exclusion_waterfall", "final_universe",
+    "layer_accounting", "frequency_profile", "triage_profile", "profile_subtotals", "sentinel_hunt",
+    "sentinel_summary", "top_values", "stacked_profile", "scorecard", "scorecard_summary",
+}
+
 # Steps about the table itself rather than the typed visit columns.
 CATALOG_STEPS = ("column_inventory", "required_columns", "dataset_shape", "head_sample")
 

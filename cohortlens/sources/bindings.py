@@ -12,7 +12,7 @@ columns without any coding.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Column order of the visit table (codebook order of the study's core columns).
@@ -22,58 +22,51 @@ VISIT_COLUMNS = [
 ]
 
 
+#: Columns of ``coded_visits`` as SQL over ``orders``; the first matching
+#: branch of a CASE wins.  All are integers but the two weights.
+_CODED = {
+    "VMONTH": "month(o_orderdate)",
+    "VDAYR": "dayofweek(o_orderdate)",
+    "ARRTIME": "CASE WHEN o_orderkey % 997 = 0 THEN 575 WHEN o_orderkey % 991 = 0 THEN -9"
+               " ELSE ((o_orderkey * 7) % 24) * 100 + (o_orderkey * 13) % 60 END",
+    "WAITTIME": "CASE WHEN o_orderkey % 7 = 0 THEN -9 WHEN o_orderkey % 41 = 0 THEN -7"
+                " ELSE (o_orderkey * 7919 + o_custkey * 31) % 181 + CASE WHEN o_orderkey % 100 < 19 THEN 0 ELSE 5 END END",
+    "LOV": "(o_orderkey * 37) % 1400",
+    "AGE": "o_custkey % 95",
+    "ARREMS": "CASE WHEN o_orderkey % 100 = 0 THEN -9 WHEN o_orderkey % 100 IN (1, 2) THEN -8"
+              " WHEN o_orderkey % 100 < 19 THEN 1 ELSE 2 END",
+    "IMMEDR": "CASE WHEN o_orderkey % 53 = 0 THEN -9 WHEN o_orderkey % 11 IN (0, 5) THEN -8"
+              " WHEN o_orderkey % 29 = 0 THEN 0 WHEN o_orderkey % 31 = 0 THEN 7"
+              " ELSE CAST(substring(o_orderpriority, 1, 1) AS int) END",
+    "PAINSCALE": "CASE WHEN o_orderkey % 61 = 0 THEN -9 WHEN o_orderkey % 5 = 0 THEN -8 ELSE (o_orderkey * 3) % 11 END",
+    "TOTCHRON": "o_custkey % 7",
+    "ADMIT": "o_orderkey % 2",
+    "REGION": "o_custkey % 4 + 1",
+    "PATWT": "o_totalprice",
+    "EDWT": "o_totalprice / 100",
+    "BOARDED": "CASE WHEN o_orderkey % 1009 = 0 THEN -8 WHEN o_orderkey % 17 = 0 THEN -9 WHEN o_orderkey % 23 = 0 THEN 0"
+               " WHEN o_orderkey % 19 = 0 THEN o_orderkey % 300 + 1 ELSE -7 END",
+}
+_REAL = ("PATWT", "EDWT")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan of one driver table; ``columns`` prunes the read schema."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def _case(*branches: tuple[Column, Column | int], otherwise: Column | int) -> Column:
-    """Searched CASE written in order; first matching branch wins."""
-    expr = None
-    for cond, value in branches:
-        value = value if isinstance(value, Column) else F.lit(value)
-        expr = F.when(cond, value) if expr is None else expr.when(cond, value)
-    other = otherwise if isinstance(otherwise, Column) else F.lit(otherwise)
-    return expr.otherwise(other)
-
-
 def coded_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visit-shaped relation over ``orders`` (15 coded columns, codebook order).
 
-    k = o_orderkey, c = o_custkey.  Sentinel codes (-9, -8, -7, 99, 0, 7,
+    Sentinel codes (-9, -8, -7, 99, 0, 7,
     unmapped -8 in BOARDED, 575 in the HHMM gap) are planted at fixed key
     residues so every exclusion and labelling rule is exercised.
     """
     o = read_table(spark, sf_dir, "orders",
                    ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"])
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    walk_in_shift = F.when(k % 100 < 19, 0).otherwise(5)
-    cols = {
-        "VMONTH": F.month("o_orderdate"),
-        "VDAYR": F.dayofweek("o_orderdate"),
-        "ARRTIME": _case((k % 997 == 0, 575), (k % 991 == 0, -9),
-                         otherwise=((k * 7) % 24) * 100 + (k * 13) % 60),
-        "WAITTIME": _case((k % 7 == 0, -9), (k % 41 == 0, -7),
-                          otherwise=(k * 7919 + c * 31) % 181 + walk_in_shift),
-        "LOV": (k * 37) % 1400,
-        "AGE": c % 95,
-        "ARREMS": _case((k % 100 == 0, -9), ((k % 100).isin(1, 2), -8), (k % 100 < 19, 1), otherwise=2),
-        "IMMEDR": _case((k % 53 == 0, -9), ((k % 11).isin(0, 5), -8), (k % 29 == 0, 0), (k % 31 == 0, 7),
-                        otherwise=F.substring("o_orderpriority", 1, 1).cast("int")),
-        "PAINSCALE": _case((k % 61 == 0, -9), (k % 5 == 0, -8), otherwise=(k * 3) % 11),
-        "TOTCHRON": c % 7,
-        "ADMIT": k % 2,
-        "REGION": c % 4 + 1,
-        "PATWT": F.col("o_totalprice").cast("double"),
-        "EDWT": (F.col("o_totalprice") / 100).cast("double"),
-        "BOARDED": _case((k % 1009 == 0, -8), (k % 17 == 0, -9), (k % 23 == 0, 0),
-                         (k % 19 == 0, k % 300 + 1), otherwise=-7),
-    }
-    ints = {"PATWT", "EDWT"}
-    return o.select(*[
-        (expr if name in ints else expr.cast("int")).alias(name) for name, expr in cols.items()
-    ])
+    return o.select(*[F.expr(f"CAST({sql} AS {'double' if name in _REAL else 'int'})").alias(name)
+                      for name, sql in _CODED.items()])
 
 
 def read_visits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

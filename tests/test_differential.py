@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as entry
+from cohortlens.plans.registry import ORACLE, QUERIES
 from conftest import SF001
 from tools.oracle_check import compare, duck
 
@@ -39,13 +39,12 @@ def random_dir(tmp_path_factory):
         "o_orderpriority": pa.array([maybe(rnd.choice(prios)) for _ in keys], pa.string()),
     })
     pq.write_table(table, os.path.join(d, "orders.parquet"))
-    for t in ("lineitem", "events"):
-        shutil.copy(os.path.join(SF001, f"{t}.parquet"), os.path.join(d, f"{t}.parquet"))
+    for name in os.listdir(SF001):
+        if name != "orders.parquet":
+            shutil.copy(os.path.join(SF001, name), os.path.join(d, name))
     return str(d)
 
 
-ORACLE = entry.oracle_sql()
-QUERIES = entry.queries()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
