@@ -25,7 +25,9 @@ from cohortlens.functions.stats import (
     QUANTILE_PROBS, mean_expr, mean_from, quantile_exprs, round_value, rounded_ratio,
 )
 from cohortlens.operators.quantiles import exact_quantiles, histogram, histogram_summary
+from cohortlens.operators.selection import refined_quantiles
 
+_SORTED = {"exact_sorted": exact_quantiles, "exact_refined": refined_quantiles}
 STAT_ORDER = ("n", "n_valid", "share", "avg", "min", "max", "median", "p25", "p75")
 
 
@@ -58,6 +60,9 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
     * ``exact_sorted``: exact for measures with unbounded distinct values
       (``operators.quantiles.exact_quantiles``; a range shuffle and one
       table write under the checkpoint folder).
+    * ``exact_refined``: the same numbers by refining histograms
+      (``operators.selection.refined_quantiles``): no value is shuffled or
+      stored, the rows are read a few times more.
     * ``sketch``: approximate observed-value quartiles from KLL sketches
       merged in two levels: partial sketches per (cohort, level, salt), the
       salt a hash of the value (``salts`` of them), then one merge of
@@ -100,13 +105,13 @@ def contrast(df: DataFrame, cohort: str, level: str, measure: str, *,
             aggs["min"] = round_value(F.min(x).cast("double"), digits, rounding)
         if "max" in stats:
             aggs["max"] = round_value(F.max(x).cast("double"), digits, rounding)
-        if qnames and method != "exact_sorted":
+        if qnames and method not in _SORTED:
             aggs.update(quantile_exprs(x, qnames, method, digits, rounding=rounding))
         grouped = df.groupBy(cohort, level).agg(*[e.alias(f"_{k}") for k, e in aggs.items()])
-        if qnames and method == "exact_sorted":
+        if qnames and method in _SORTED:
             # Distributed exact quantiles (no per-group state); joined back on
             # the group keys -- both sides hold one row per group.
-            q = exact_quantiles(df, [cohort, level], measure, probs, digits=digits, rounding=rounding)
+            q = _SORTED[method](df, [cohort, level], measure, probs, digits=digits, rounding=rounding)
             q = q.select(*[F.col(c).alias(f"_q_{c}") for c in (cohort, level)],
                          *[F.col(n).alias(f"_{n}") for n in qnames])
             cond = grouped[cohort].eqNullSafe(q[f"_q_{cohort}"]) & grouped[level].eqNullSafe(q[f"_q_{level}"])

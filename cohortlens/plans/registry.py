@@ -695,3 +695,6 @@ def orders_top_prices(spark, sf_dir):
     per order, shares over all of them, k rows kept per partition."""
     o = B.read_table(spark, sf_dir, "orders", ["o_totalprice"])
     return P.top_values(o, "o_totalprice", 20)
+
+
+from cohortlens.plans import stored_queries  # noqa: E402,F401  (registers its queries here)
