@@ -18,6 +18,7 @@ from cohortlens.operators import contrasts as C
 from cohortlens.operators import profile as P
 from cohortlens.operators import rules as R
 from cohortlens.operators.quantiles import rank_check
+from cohortlens.operators.scorecard import scorecard_summary as _scorecard_summary
 from cohortlens.plans import checks as K
 from cohortlens.plans import steps as T
 from cohortlens.plans import study as S
@@ -515,12 +516,13 @@ def median_method_agreement(spark, sf_dir):
 
 @query("scorecard", with_visits(K.scorecard_sql(), clean=False))
 def scorecard_query(spark, sf_dir):
-    return _study(spark, sf_dir, "scorecard")
+    """Figures of the stored visits against those observed as they were written."""
+    return T.observed_scorecard(visits(spark, sf_dir))
 
 
 @query("scorecard_summary", with_visits(K.scorecard_summary_sql(), clean=False))
 def scorecard_summary_query(spark, sf_dir):
-    return _study(spark, sf_dir, "scorecard_summary")
+    return _scorecard_summary(T.observed_scorecard(visits(spark, sf_dir)))
 
 
 # ---- the same operators on real columns (lineitem, events) ---------------------

@@ -28,6 +28,7 @@ from cohortlens.operators.scorecard import scorecard as _scorecard
 from cohortlens.operators.scorecard import scorecard_summary as _scorecard_summary
 from cohortlens.plans import checks as K
 from cohortlens.plans import study as S
+from cohortlens.plans.observed import observed_store
 from cohortlens.session import scratch_dir
 from cohortlens.sources import catalog as CAT
 from cohortlens.sources.csv import VISIT_SCHEMA, csv_round_trip
@@ -277,6 +278,13 @@ def scorecard(visits, clean, expected: dict[str, float] | None = None, shared=No
                       shared=shared)
 
 
+def observed_scorecard(visits):
+    """The scorecard of a stored copy of the visits, against the figures
+    observed while it was written."""
+    base = observed_store(visits)
+    return _scorecard(base.stored, "WAITTIME", K.checks(base.expected))
+
+
 def scorecard_summary(visits, clean, expected: dict[str, float] | None = None, shared=None):
     return _scorecard_summary(scorecard(visits, clean, expected, shared))
 

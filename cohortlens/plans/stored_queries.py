@@ -8,13 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlens.operators import bands as BD
 from cohortlens.operators import contrasts as C
 from cohortlens.operators import distinct as D
 from cohortlens.operators import heavy as H
 from cohortlens.operators import rank_summary as RS
+from cohortlens.operators.cube import HistogramCube
+from cohortlens.operators.maintained import MaintainedStatistics
+from cohortlens.operators.ordering import numbered
+from cohortlens.functions.stats import rounded_ratio
 from cohortlens.plans import study as S
-from cohortlens.plans.oracle import with_visits
-from cohortlens.plans.registry import N, PCT_ALL, query, visits
+from cohortlens.plans import steps as T
+from cohortlens.plans.oracle import avg1, with_visits
+from cohortlens.plans.registry import N, ORACLE, PCT_ALL, query, visits
+from cohortlens.session import scratch_dir
 from cohortlens.sources import bindings as B
 from cohortlens.sources import footers as FT
 from cohortlens.sources import statistics as ST
@@ -207,3 +214,130 @@ def events_top_users(spark, sf_dir):
 def documents_top_sources(spark, sf_dir):
     """A column with a hot value: settled by the second pass."""
     return H.heavy_hitters(B.read_table(spark, sf_dir, "documents", ["source"]), "source", 5).drop("others_at_most")
+
+
+# ---- any filter combination from one cube (P12, A15) -----------------------------
+
+_FILTERS = ["IMMEDR", "PAINSCALE", "REGION", "VDAYR", "time_of_day"]
+
+
+@query("filter_cube_statistics", with_visits(
+    f"SELECT CAST(grouping_id({', '.join(_FILTERS)}) AS INTEGER) AS filter_set, ARREMS, {', '.join(_FILTERS)}, {N} AS n, "
+    f"{avg1('WAITTIME')} AS avg_wait_minutes, CAST(quantile_cont(WAITTIME, 0.5) AS DOUBLE) AS median_wait_minutes "
+    f"FROM clean GROUP BY ARREMS, CUBE ({', '.join(_FILTERS)})"))
+def filter_cube_statistics(spark, sf_dir):
+    """Every combination of the five optional filters, off the stored cube."""
+    cube = HistogramCube.build(S.clean_universe(visits(spark, sf_dir)), ["ARREMS"], _FILTERS, "WAITTIME")
+    found = cube.everything({"median_wait_minutes": 0.5})
+    return found.select("filter_set", "ARREMS", *_FILTERS, "n", rounded_ratio("total", "n_valid", 1).alias("avg_wait_minutes"),
+                        "median_wait_minutes")
+
+
+@query("filter_cube_lookups", with_visits(
+    "SELECT 'triage 3, Monday' AS slice, ARREMS, CAST(NULL AS INTEGER) AS REGION, " + N + " AS n, "
+    "CAST(quantile_cont(WAITTIME, 0.5) AS DOUBLE) AS median FROM clean WHERE IMMEDR = 3 AND VDAYR = 2 GROUP BY ARREMS "
+    "UNION ALL SELECT 'pain 10 by region', ARREMS, REGION, " + N + ", CAST(quantile_cont(WAITTIME, 0.5) AS DOUBLE) "
+    "FROM clean WHERE PAINSCALE = 10 GROUP BY ARREMS, REGION "
+    "UNION ALL SELECT 'no band', ARREMS, NULL, " + N + ", CAST(quantile_cont(WAITTIME, 0.5) AS DOUBLE) "
+    "FROM clean WHERE time_of_day IS NULL GROUP BY ARREMS"))
+def filter_cube_lookups(spark, sf_dir):
+    """Three questions to one cube; each reads one folder of it."""
+    cube = HistogramCube.build(S.clean_universe(visits(spark, sf_dir)), ["ARREMS"], _FILTERS, "WAITTIME")
+    none = F.lit(None).cast("int").alias("REGION")
+    one = cube.statistics({"IMMEDR": 3, "VDAYR": 2}).select(F.lit("triage 3, Monday").alias("slice"), "ARREMS", none, "n", "median")
+    two = cube.statistics({"PAINSCALE": 10}, ["REGION"]).select(F.lit("pain 10 by region").alias("slice"), "ARREMS", "REGION", "n", "median")
+    three = cube.statistics({"time_of_day": None}).select(F.lit("no band").alias("slice"), "ARREMS", none, "n", "median")
+    return one.unionByName(two).unionByName(three)
+
+
+# ---- statistics that follow a growing table (V4, A14) ----------------------------
+
+_LEVELS = {"triage": "IMMEDR", "pain": "PAINSCALE", "boarding": "boarding_status", "region": "REGION"}
+
+
+@query("maintained_contrasts", with_visits(
+    "\nSELECT dimension, cohort, level, n, avg_wait_minutes, median_wait_minutes FROM (" + " UNION ALL ".join(
+        f"SELECT '{d}' AS dimension, ARREMS AS cohort, CAST({c} AS VARCHAR) AS level, {N} AS n, "
+        f"{avg1('WAITTIME')} AS avg_wait_minutes, CAST(quantile_cont(WAITTIME, 0.5) AS DOUBLE) AS median_wait_minutes "
+        f"FROM (SELECT * FROM clean WHERE VDAYR <> 7) GROUP BY ARREMS, {c}" for d, c in _LEVELS.items()) + ")"))
+def maintained_contrasts(spark, sf_dir):
+    """Contrasts off the states of a table that grew day by day: days 1 to 3
+    arrive, then 4 to 7 while day 2, which was first stored without its
+    ambulances, is rewritten, then day 7 is deleted."""
+    # a day of the week as the partition; its folder names differ from the column
+    rows = visits(spark, sf_dir).filter("VDAYR IS NOT NULL").withColumn("day", F.col("VDAYR"))
+    source = scratch_dir(spark, "maintained-source")
+    state = MaintainedStatistics(spark, source, scratch_dir(spark, "maintained-state"), "day", "ARREMS", _LEVELS, "WAITTIME",
+                                 S.clean_universe)
+
+    def put(some):
+        (some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(source))
+
+    put(rows.filter("day <= 3 AND NOT (day = 2 AND ARREMS = 1)"))
+    state.refresh()
+    put(rows.filter("day >= 4 OR day = 2"))
+    state.refresh()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/day=7")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    state.refresh()
+    out = None
+    for d in _LEVELS:
+        found = state.statistics(d, {"median_wait_minutes": 0.5}).select(
+            F.lit(d).alias("dimension"), "cohort", "level", "n",
+            rounded_ratio("total", "n_valid", 1).alias("avg_wait_minutes"), "median_wait_minutes")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# ---- bands as data (P18, P19) ----------------------------------------------------
+
+_HALF_HOURS = [(h * 100 + m, h * 100 + m + 29, f"{h:02d}:{m:02d}") for h in range(24) for m in (0, 30)]
+
+
+@query("half_hour_profile", with_visits(
+    "\nSELECT CASE WHEN ARRTIME BETWEEN 0 AND 2359 AND ARRTIME % 100 < 60 THEN printf('%02d:%02d', ARRTIME // 100, "
+    f"(ARRTIME % 100) // 30 * 30) END AS half_hour, {N} AS n, {PCT_ALL} AS pct_of_total FROM clean GROUP BY 1"))
+def half_hour_profile(spark, sf_dir):
+    """Arrivals per half hour, the bands a table; times in its gaps have none."""
+    bands = spark.createDataFrame(_HALF_HOURS, "low long, high long, label string")
+    clean = BD.band_lookup(S.clean_universe(visits(spark, sf_dir)).select("ARRTIME"), "ARRTIME", bands, "half_hour")
+    return T.P.frequency(clean, "half_hour", value_name="half_hour")
+
+
+_BAND_WIDTH = 250
+
+
+@query("orders_key_bands",
+       f"SELECT ((o_orderkey - k) // {_BAND_WIDTH}) * {_BAND_WIDTH} + k AS first_key, {N} AS n, "
+       "CAST(sum(o_totalprice) AS DECIMAL(20, 0)) > 0 AS any_price FROM orders, (SELECT min(o_orderkey) AS k FROM orders) "
+       "WHERE o_orderkey IS NOT NULL GROUP BY 1")
+def orders_key_bands(spark, sf_dir):
+    """A band table that grows with the data: a band per 250 order keys."""
+    o = B.read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    ends = o.agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    bands = (ends.filter("a IS NOT NULL").select(F.explode(F.sequence("a", "b", F.lit(_BAND_WIDTH).cast("long"))).alias("low"))
+             .select("low", (F.col("low") + _BAND_WIDTH - 1).alias("high"), F.col("low").alias("label")))
+    found = BD.band_lookup(o.filter("o_orderkey IS NOT NULL"), "o_orderkey", bands, "first_key")
+    return found.groupBy("first_key").agg(F.count(F.lit(1)).alias("n"),
+                                          (F.sum("o_totalprice").cast("decimal(20,0)") > 0).alias("any_price"))
+
+
+# ---- order over a union, numbered (O4, O6) ---------------------------------------
+
+@query("stacked_profile_order", with_visits(
+    ", stacked AS (" + ORACLE["stacked_profile"].split("\n)\n")[-1].strip() + ") SELECT block, column_name, value, n, "
+    "CAST(row_number() OVER (ORDER BY block, n DESC, value ASC NULLS FIRST) AS BIGINT) AS position FROM stacked", clean=False))
+def stacked_profile_order(spark, sf_dir):
+    """The stacked profile's rows with their position: by block, then from the
+    most to the least frequent, ties by value."""
+    order = [F.asc("block"), F.desc("n"), F.asc_nulls_first("value")]
+    return numbered(T.stacked_profile(visits(spark, sf_dir), None), order).select("block", "column_name", "value", "n", "position")
+
+
+@query("price_frequency_order",
+       f"SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, value ASC NULLS FIRST) AS BIGINT) AS position FROM ("
+       f"SELECT l_extendedprice AS value, {N} AS n FROM lineitem GROUP BY 1)")
+def price_frequency_order(spark, sf_dir):
+    """A frequency profile of nearly distinct values with every row's position."""
+    li = B.read_table(spark, sf_dir, "lineitem", ["l_extendedprice"])
+    return numbered(T.P.frequency(li, "l_extendedprice").select("value", "n"), [F.desc("n"), F.asc_nulls_first("value")])
