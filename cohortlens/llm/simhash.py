@@ -10,10 +10,12 @@ least two of the four blocks, so the coordinates of every pair of blocks serve
 as candidate keys; candidates whose largest coordinate difference exceeds the
 bit limit are discarded unseen, and the rest are verified bit by bit.
 
-A key shared by more than ``bucket`` fingerprints is not compared pairwise.
-Its members go under each point one flip away (in the two other blocks): two
-members are within two bits exactly if they meet under one point, at most 65
-meet, and all that meet are linked, so a star per point loses no link.
+A key shared by more than ``bucket`` fingerprints is not compared pairwise: its
+members go under each point one flip away (in the two other blocks), and those
+that meet under one are the candidates.  Two fingerprints within two bits meet
+so, at most 33 meet under a point, and no fingerprint has more than 2,080 others
+within two bits, so neither candidates nor links grow faster than the members.
+From there on all candidates are treated alike.
 """
 
 from __future__ import annotations
@@ -100,54 +102,48 @@ def _keys(table: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """(a, b) links between distinct fingerprints (``fp`` long, one row each)
-    no more than ``max_bits`` (0 to 2) apart: all of them from small buckets,
-    and stars with the same components from large ones."""
+    no more than ``max_bits`` (0 to 2) apart, each pair once, a < b."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two equal blocks of four are certain for at most 2 differing bits")
     keys = _keys(written(pivot_table(fps), "pivots"))
     shared = keys.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(keys.join(shared, ["kind", "key"]), "buckets")
 
-    small = members.filter(F.col("n") <= bucket)
-    x = small.select("kind", "key", F.col("fp").alias("a"), F.col("d").alias("da"))
-    y = small.select("kind", "key", F.col("fp").alias("b"), F.col("d").alias("db"))
-    apart = F.array_max(F.zip_with("da", "db", lambda p, q: F.abs(p - q)))
-    pairs = (x.join(y, ["kind", "key"]).filter("a < b").filter(apart <= max_bits)
-             .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-             .select("a", "b").distinct())
-
-    large = members.filter(F.col("n") > bucket).select("kind", "fp").distinct()
+    small = members.filter(F.col("n") <= bucket).select(F.struct("kind", "key").alias("at"), "fp", "d")
     free = F.lit(None).cast("array<bigint>")
     for k, (a, b) in enumerate(_BLOCK_PAIRS):
         flips = [1 << i for blk in range(4) if blk not in (a, b) for i in range(16 * blk, 16 * blk + 16)]
         free = F.when(F.col("kind") == k, F.array(*[F.lit(_signed(f)) for f in flips])).otherwise(free)
-    if max_bits == 2:    # meeting one flip away
-        points = F.concat(F.array(F.col("fp")), F.transform(free, lambda f: F.col("fp").bitwiseXOR(f)))
-        met = large.select("fp", F.explode(points).alias("at")).distinct()
-        least = met.groupBy("at").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        stars = met.join(least, "at").filter("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-    else:                # a flip of one is the other
-        other = F.explode(F.transform(free, lambda f: F.col("fp").bitwiseXOR(f)))
-        stars = large.select(F.col("fp").alias("a"), other.alias("b")).join(
-            large.select(F.col("fp").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        stars = stars.filter(F.lit(max_bits == 1))
-    return pairs.unionByName(stars)
+    points = F.concat(F.array(F.col("fp")), F.transform(free, lambda f: F.col("fp").bitwiseXOR(f)))
+    large = members.filter(F.col("n") > bucket).select(F.explode(points).alias("at"), "fp", "d").dropDuplicates(["at", "fp"])
+    return _verified(small, max_bits).unionByName(_verified(large, max_bits)).distinct()
+
+
+def _verified(candidates: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b) of the candidates (at, fp, d) that meet under one ``at``, less
+    those whose distances to some reference differ too much, verified by bits."""
+    x = candidates.select("at", F.col("fp").alias("a"), F.col("d").alias("da"))
+    y = candidates.select("at", F.col("fp").alias("b"), F.col("d").alias("db"))
+    apart = F.array_max(F.zip_with("da", "db", lambda p, q: F.abs(p - q)))
+    return (x.join(y, "at").filter("a < b").filter(apart <= max_bits)
+            .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+            .select("a", "b").distinct())
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
            max_bits: int = MAX_BITS) -> DataFrame:
-    """One row (doc_id, fp, component_id, label, links) per row of ``docs``.
+    """One row (doc_id, text_hash, fp, component_id, label, links) per row of ``docs``.
 
     ``component_id`` is the least id reachable over links (itself included),
-    ``label`` the least fingerprint of the component; ``links`` counts the other distinct fingerprints linked directly, in a
-    star for members of a large bucket.  Null and empty texts have fingerprint
+    ``label`` the least fingerprint of the component; ``links`` counts the other
+    distinct fingerprints linked directly.  Null and empty texts have fingerprint
     zero and link like others; a null id links too but names a component only
     if all its ids are null (then null).  Repeated rows stay, extra columns
     are ignored, an empty table gives none.
     """
     ship(docs.sparkSession)
-    fps = written(docs.select(F.col(id_col).alias("doc_id"), _fingerprint_udf(words)(F.col(text_col)).alias("fp")),
-                  "fingerprints")
+    fps = written(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+                              _fingerprint_udf(words)(F.col(text_col)).alias("fp")), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     edges = written(links(classes.select("fp"), max_bits), "links")
     labels = written(components(edges), "labels")
@@ -164,16 +160,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) with one per component: the one
-    with the least doc_id (null last; ties by fingerprint, then any one row of
-    the equal ones).  All columns stay."""
-    found = written(groups(docs, words=words, max_bits=max_bits), "groups")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    with the least doc_id (null last; ties by fingerprint and text, then any one
+    row of the equal ones).  All columns stay.
+
+    Which rows stay is decided on ids and hashes; whole rows pass one shuffle,
+    by the key that both joins them to the decision and drops equal rows."""
+    found = groups(docs, words=words, max_bits=max_bits)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "text_hash")).alias("first")
     kept = found.groupBy("label").agg(first).select(
-        F.col("first.doc_id").alias("__id"), F.col("first.fp").alias("__kept"))
-    fp = _fingerprint_udf(words)(F.col("text"))
-    rows = docs.withColumn("__fp", fp)
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.struct(F.col("first.doc_id"), F.col("first.text_hash")).alias("__kept"))
+    kept = written(kept, "kept")
+    rows = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    rows = rows.join(kept, F.col("__key") == F.col("__kept"), "left_semi")
+    return rows.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -80,8 +80,85 @@ def test_shrinkage(spark):
     assert got["bad.a.net"].verdict == "block" and got["good.a.net"].verdict == "allow"
     tiny = got["tiny.b.net"]                # one bad page: shrunk, and a wide posterior
     assert 198 / 454 < tiny.bad_rate < 0.95 and tiny.lower_bound < tiny.bad_rate - 0.2
+    assert got["other.zz"].verdict == got["unseen.a.net"].verdict == "allow" and got["unseen.a.net"].host_pages == 0
     assert got["bad.a.net"].bad_rate - got["bad.a.net"].lower_bound < 0.1
     assert got["good.a.net"].bad_rate < got["unseen.a.net"].bad_rate < got["bad.a.net"].bad_rate
     hosts = spark.createDataFrame([("h.x.co.uk",), ("a.b.example.org",), ("org",), ("",)], "h string")
     assert [tuple(r) for r in hosts.select(R.domain_of(F.col("h")), R.suffix_of(F.col("h"))).collect()] == [
         ("x.co.uk", "co.uk"), ("example.org", "org"), ("org", "org"), ("", "")]
+
+
+def by_hand(counts, suffixes=R.LONG_SUFFIXES):
+    """(mean, variance) of every host's bad rate: the three levels, one row at a time."""
+    def parts(host):
+        labels = host.split(".")
+        n = max([k for k in range(1, len(labels) + 1) if ".".join(labels[-k:]) in suffixes], default=1)
+        domain = ".".join(labels[-n - 1:])
+        return domain, ".".join(domain.split(".")[-n:])
+
+    def level(rows, parents):
+        """rows: name -> (n, bad, parent); parents: name -> (mean, variance, n)."""
+        seen = drawn = room = 0.0
+        for n, bad, parent in rows.values():
+            m = parents[parent][0]
+            if n:
+                seen, drawn, room = seen + (bad - n * m) ** 2 / n, drawn + m * (1 - m), room + m * (1 - m) * (n - 1)
+        rho = min(R.HIGH_RHO, max(R.LOW_RHO, (seen - drawn) / room)) if room else R.HIGH_RHO
+        out = {}
+        for name, (n, bad, parent) in rows.items():
+            m, known, behind = parents[parent]
+            v = (m * (1 - m) - known) * rho + known
+            s = max(min(m * (1 - m) / v - 1, behind + 1), 0.01)
+            a, b = bad + s * m, n - bad + s * (1 - m)
+            out[name] = (a / (a + b), a * b / ((a + b) ** 2 * (a + b + 1)), n)
+        return out
+
+    def rolled(key):
+        out = {}
+        for host, (n, bad) in counts.items():
+            name, parent = key(host)
+            x = out.get(name, (0, 0, parent))
+            out[name] = (x[0] + n, x[1] + bad, parent)
+        return out
+    n, bad = sum(x for x, _ in counts.values()), sum(x for _, x in counts.values())
+    m = (bad + 0.5) / (n + 1)
+    top = level(rolled(lambda h: (parts(h)[1], "")), {"": (m, m * (1 - m) / (n + 2), n)})
+    domains = level(rolled(parts), top)
+    return level({h: (*c, parts(h)[0]) for h, c in counts.items()}, domains)
+
+
+def pages_of(spark, counts):
+    rows = [(f"http://{h}/x", j < bad) if j < n else (f"http://{h}/x", None) for h, (n, bad) in counts.items() for j in range(max(n, 1))]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    return pages, spark.createDataFrame([(i, int(b)) for i, (_, b) in enumerate(rows) if b is not None] or [(-1, None)], "page_id long, bad int")
+
+
+def test_posterior_by_hand_and_both_verdicts(spark):
+    rnd = random.Random(6)
+    counts = {f"h{i}.d{i % 5}.{'net' if i % 2 else 'co.uk'}": (n, rnd.randint(0, n)) for i in range(30) for n in [rnd.randint(0, 12)]}
+    counts |= {"bad.ring.zz": (60, 57), "worse.ring.zz": (40, 40), "good.site.net": (80, 1), "new.ring.zz": (0, 0), "lone.qq": (0, 0), "": (3, 0)}
+    got = {r.host: r for r in R.judge(*pages_of(spark, counts)).collect()}
+    for host, (mean, var, n) in by_hand(counts).items():
+        r = got[host]
+        assert abs(r.bad_rate - mean) < 1e-9 and abs(r.lower_bound - max(0, mean - R.Z * var ** 0.5)) < 1e-9, host
+        assert (r.verdict == "block") == (n > 0 and mean - R.Z * var ** 0.5 > R.LIMIT)
+    assert [got[h].verdict for h in ("bad.ring.zz", "worse.ring.zz", "good.site.net", "new.ring.zz", "lone.qq", "")] == [
+        "block", "block", "allow", "allow", "allow", "allow"]
+    assert got["lone.qq"].lower_bound < got["new.ring.zz"].lower_bound < got["bad.ring.zz"].lower_bound
+
+
+def test_few_labels_block_no_unseen_host(spark):
+    rnd = random.Random(3)
+    counts = {f"h{i}.net": (1, int(rnd.random() < 0.6)) for i in range(50)} | {f"u{i}.net": (0, 0) for i in range(20)}
+    got = {r.host: r for r in R.judge(*pages_of(spark, counts)).collect()}
+    assert {got[f"u{i}.net"].verdict for i in range(20)} == {"allow"}
+    none = {r.verdict for r in R.judge(*pages_of(spark, {h: (0, 0) for h in counts})).collect()}
+    assert none == {"allow"}
+
+
+def test_a_suffix_table_of_the_callers(spark):
+    counts = {"a.x.pvt.k12.ma.us": (9, 9), "b.y.pvt.k12.ma.us": (9, 0), "c.ma.us": (5, 0)}
+    table = ("pvt.k12.ma.us", "k12.ma.us", "ma.us")
+    got = {r.host: r for r in R.judge(*pages_of(spark, counts), suffixes=table).collect()}
+    for host, (mean, _, _) in by_hand(counts, table).items():
+        assert abs(got[host].bad_rate - mean) < 1e-9
