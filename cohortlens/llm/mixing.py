@@ -7,8 +7,10 @@ the order of their keys, exponential variables divided by the document's
 quality weight, until the running sum of tokens fills it.  The document at the
 line gives the words that are left, so a source's taken words equal its budget.
 
-A source is never gathered: it is cut into buckets of consecutive keys, the
-bucket sums are accumulated, and documents are ordered inside a bucket only.
+A source is never gathered: rows are dealt out by ranges of (source, key), cut
+where the keys themselves lie, so a part holds about as many rows as any other
+whatever the qualities are; the parts' sums are accumulated, and documents are
+ordered inside a part only.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from cohortlens.llm.common import WORD, attach, numbered, written
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = 20
-BUCKET_ROWS = 4000
+#: Sums of (source, part), about as many as parts and sources, are broadcast up to this many.
+BROADCAST_ROWS = 200_000
 
 
 def budgets(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -59,7 +62,7 @@ def quality_weights(docs: DataFrame, labels: DataFrame, low: float = 0.25) -> Da
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
-        bucket_rows: int = BUCKET_ROWS, labels: DataFrame | None = None) -> DataFrame:
+        labels: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, source, text, quality): doc_id,
     size, source, source_size, target, taken, copies, text_hash.
 
@@ -73,13 +76,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     line counting if at least half of it is taken.  A document without words
     has taken 0 and is copied as its place in the order says.  Keys come from
     a hash of id and text, so reruns agree; equal rows are interchangeable.  A
-    quality that is null, not positive or missing counts as 1.
+    quality that is null, not positive or missing counts as 1.  ``parts`` is the
+    number of key ranges (default: as Spark shuffles); it changes no result.
+    An empty table gives no row.
     """
     given = F.col("quality") if "quality" in docs.columns and labels is None else F.lit(1.0)
     rows = docs.select(
         "doc_id", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("skey"),
         word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"),
-        F.when(given > 0, given.cast("double")).otherwise(1.0).alias("quality"))
+        F.when(given > 0, given.cast("double")).otherwise(1.0).alias("quality"),
+        F.monotonically_increasing_id().alias("row"))      # tells equal rows apart; stored with them
     rows = written(rows if labels is None else quality_weights(rows, labels), "sizes")
     by = F.when(F.col("skey") != "-", F.col("skey"))
     sources = numbered(rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
@@ -88,20 +94,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     sources = budgets(sources.withColumn("weight", pick).drop("position"), max_epochs)
     size = F.greatest("source_size", F.lit(1))
     sources = sources.withColumn("budget", F.floor(F.col("target") + 0.5)).select(
-        "skey", "n", "source_size", "target", F.col("n").alias("rows"),
-        F.floor(F.col("budget") / size).cast("long").alias("epochs"), (F.col("budget") % size).alias("rest"))
+        "skey", "n", "source_size", "target", F.floor(F.col("budget") / size).cast("long").alias("epochs"), (F.col("budget") % size).alias("rest"))
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 11) + 0.5) / float(1 << 53)
     keyed = attach(rows, written(sources, "sources"), "skey", "n").withColumn("key", -F.log(unit) / F.col("quality"))
-    buckets = F.ceil(F.col("rows") / bucket_rows)
-    keyed = keyed.withColumn("bucket", F.least(buckets - 1, F.floor((1 - F.exp(-F.col("key"))) * buckets)))
-    keyed = written(keyed.drop("quality", "rows"), "keys")
+    # equal rows stand side by side; their numbers let a range end between them
+    order = ["skey", "key", "doc_id", "text_hash", "row"]
+    keyed = keyed.drop("quality")
+    ranged = keyed.repartitionByRange(parts, *order) if parts else keyed.repartitionByRange(*order)
+    keyed = written(ranged.withColumn("bucket", F.spark_partition_id()), "keys")
     sums = keyed.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
-    inside = (Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "text_hash")
+    sums = sums.select(F.col("skey").alias("s"), F.col("bucket").alias("b"),
+                       F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
+    inside = (Window.partitionBy("bucket", "skey").orderBy("key", "doc_id", "text_hash", "row")
               .rowsBetween(Window.unboundedPreceding, -1))
-    out = (keyed.join(sums, ["skey", "bucket"])
-           .withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))))
+    out = keyed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = (out.join(F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums,
+                    (F.col("skey") == F.col("s")) & (F.col("bucket") == F.col("b")))
+           .withColumn("ahead", F.col("ahead") + F.col("before")))
     part = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("ahead")))
     extra = (F.col("ahead") < F.col("rest")) & (2 * part >= F.col("size"))
     return out.select(
@@ -111,7 +121,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: whole rows of ``docs``, each as often as ``mix`` takes it."""
+    """The mix itself: whole rows of ``docs``, each as often as ``mix`` takes it.
+
+    Null texts, ids and sources are kept as ``mix`` counts them; rows of equal
+    id, text and source share their copies evenly; extra columns stay; an empty
+    table gives none."""
     # one struct as key of join and window: nulls in it are equal, and the text is shuffled once
     plan = mix(docs, **options).filter("copies > 0").groupBy(
         F.struct("doc_id", "text_hash", "source").alias("__plan")).agg(

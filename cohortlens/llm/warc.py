@@ -261,7 +261,10 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, archive_byt
 
     Returns per record page_id, payload_bytes and payload_digest of the full
     payload (a revisit's from the response it refers to), record_type,
-    refers_to and url as the archive has it.
+    refers_to and url as the archive has it.  A null html is an empty payload;
+    a null page_id stays null and refers like any other; repeated rows are
+    records each; pages that tie for the least page_id are all responses;
+    extra columns are ignored; an empty table gives no row.
     """
     folder = scratch_dir(pages.sparkSession, "llm", "warc")
     found = read_archives(write_archives(pages, folder, min_bytes, archive_bytes), folder)
@@ -272,7 +275,8 @@ def round_trip(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, archive_byt
              .agg(F.max("stored_bytes").alias("full_bytes")).join(revisits, "payload_digest"))
     # the weight counts revisits; responses never need their size looked up
     found = found.withColumn("wanted", F.when(F.col("record_type") == "revisit", F.col("payload_digest"))
-                             .otherwise(F.concat(F.lit("-"), F.col("page_id").cast("string"), F.lit("-"), "payload_digest")))
+                             .otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id"), F.monotonically_increasing_id())
+                                                 .cast("string"), F.lit("-"), "payload_digest")))
     sizes = written(sizes.withColumnRenamed("payload_digest", "wanted"), "sizes")
     found = attach(found, sizes, "wanted", "n")
     return found.select("page_id", F.coalesce("stored_bytes", "full_bytes").alias("payload_bytes"), "payload_digest",

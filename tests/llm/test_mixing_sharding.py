@@ -33,7 +33,7 @@ def test_mix_meets_targets(spark):
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
     order = sorted((s for s in sizes if s is not None)) + [None]
     want = slow_targets({s: sizes[s] for s in order}, [(1, 2, 3)[i % 3] for i in range(len(order))])
-    got = mixing.mix(df, bucket_rows=20).collect()
+    got = mixing.mix(df, parts=20).collect()
     assert len(got) == len(rows)
     taken = {}
     for r in got:
@@ -43,10 +43,10 @@ def test_mix_meets_targets(spark):
         assert whole * r.size <= r.taken <= (whole + 1) * r.size      # complete epochs come first
         taken[r.source] = taken.get(r.source, 0) + r.taken
     assert all(abs(taken[s] - want[s]) <= 0.5 for s in want)
-    again = mixing.mix(df.repartition(7), bucket_rows=20).collect()
+    again = mixing.mix(df.repartition(7), parts=20).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    # the same documents whatever the bucket size
-    other = mixing.mix(df, bucket_rows=10 ** 6).collect()
+    # the same documents whatever the number of ranges
+    other = mixing.mix(df, parts=1).collect()
     assert sorted((str(r.doc_id), r.size, r.taken) for r in got) == sorted((str(r.doc_id), r.size, r.taken) for r in other)
 
 
@@ -103,8 +103,26 @@ def test_shards(spark):
 def test_labels_give_the_same_mix_as_joined_qualities(spark):
     _, df = docs(spark)
     lab = spark.createDataFrame([(i, i % 3 % 2) for i in range(0, 300, 2)] + [(2, 1), (None, 0)], "doc_id long, quality int")
-    one = mixing.mix(df, bucket_rows=20, labels=lab).collect()
-    two = mixing.mix(mixing.quality_weights(df, lab), bucket_rows=20).collect()
+    one = mixing.mix(df, parts=20, labels=lab).collect()
+    two = mixing.mix(mixing.quality_weights(df, lab), parts=20).collect()
     assert sorted(map(str, one)) == sorted(map(str, two))
-    out = mixing.mixed(df, bucket_rows=20, labels=lab)
+    out = mixing.mixed(df, parts=20, labels=lab)
     assert out.columns == df.columns and out.count() == sum(r.copies for r in one)
+
+
+def test_no_part_is_much_larger_than_the_others(spark, monkeypatch):
+    """Nine in ten rows of low quality, one source, many equal rows."""
+    rows = [(i if i % 4 else 7, "a b c", "s", 0.25 if i % 10 else 1.0) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double")
+    seen = []
+    real = mixing.written
+
+    def spying(frame, name):
+        out = real(frame, name)
+        if name == "keys":
+            seen.extend(r["count"] for r in out.groupBy("bucket").count().collect())
+        return out
+    monkeypatch.setattr(mixing, "written", spying)
+    got = mixing.mix(df, parts=30)
+    assert sum(r.taken for r in got.collect()) == 90_000
+    assert len(seen) >= 25 and max(seen) < 3 * 30_000 / 30
