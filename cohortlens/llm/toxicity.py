@@ -6,8 +6,12 @@ probabilities, and it is rejected if grade 0 has less than half.  Features are
 capped counts of words (A-Z lower-cased, ASCII punctuation stripped) and of word
 beginnings, so inflected forms of a marked stem count as well.
 
-The labels are binary.  Grades of toxic documents are the quantile group of
-their number of marker features, those over-represented in toxic documents.
+Grades are the labels' own where they have a column ``grade`` (0: clean).  Binary
+labels get grades from the text, and not from what the same documents taught:
+the sample is halved by a hash of the id, marker features (those
+over-represented in toxic documents) are found in each half, and a toxic
+document's grade is the quantile group of its number of markers of the other
+half.
 
 Fitting uses at most about ``sample`` labelled rows, chosen by a hash of the id;
 feature counts are aggregated by Spark, the few selected features' matrix is
@@ -121,21 +125,20 @@ def fit_cumulative(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, docs, toxic docs), summed over the task's rows so far."""
+    """(feature, docs and toxic docs of either half), summed over the task's rows so far."""
     known, counts = _Cached(lambda w: tuple(features_of(w))), {}
 
     def out():
         keys = list(counts)
-        return pa.RecordBatch.from_pydict({"feature": pa.array(keys, pa.binary()),
-                                           "n": pa.array([counts[k][0] for k in keys], pa.int64()),
-                                           "n_toxic": pa.array([counts[k][1] for k in keys], pa.int64())})
+        return pa.RecordBatch.from_pydict({"feature": pa.array(keys, pa.binary())} | {
+            name: pa.array([counts[k][i] for k in keys], pa.int64()) for i, name in enumerate(("n0", "t0", "n1", "t1"))})
 
     for batch in batches:
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+        for text, toxic, half in zip(*(batch[c].to_pylist() for c in ("text", "toxic", "half"))):
             for f in {f for w in set(words_of(text)) for f in known[w]}:
-                c = counts.setdefault(f, [0, 0])
-                c[0] += 1
-                c[1] += toxic
+                c = counts.setdefault(f, [0, 0, 0, 0])
+                c[2 * half] += 1
+                c[2 * half + 1] += toxic
         if len(counts) > 500_000:
             yield out()
             counts = {}
@@ -143,65 +146,93 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of about ``sample`` labelled documents at most, by a hash
-    of the id.  Several labels of a document count as toxic if any is."""
+    """(text, toxic, grade, half) of about ``sample`` labelled documents at most,
+    by a hash of the id.  Several labels of a document count as toxic if any is,
+    and as the highest grade; ``grade`` is null where labels have none."""
+    grade = F.max("grade").cast("int") if "grade" in labels.columns else F.lit(None).cast("int")
     of = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
-          .agg(F.max("toxic").cast("int").alias("__toxic")))
+          .agg(F.max("toxic").cast("int").alias("__toxic"), grade.alias("__grade")))
     n = of.count()
     u = F.pmod(F.xxhash64(F.lit(5), "__id"), F.lit(1 << 20)) / float(1 << 20)
     of = of.filter(u < min(1.0, sample / max(1, n)))
     return docs.select("doc_id", "text").join(of, F.col("doc_id") == F.col("__id")).select(
-        "text", F.col("__toxic").alias("toxic"))
+        "text", F.col("__toxic").alias("toxic"), F.col("__grade").alias("grade"),
+        F.pmod(F.xxhash64(F.lit(6), "__id"), F.lit(2)).cast("int").alias("half"))
+
+
+def _z(n, t, docs: int, toxic: int):
+    """How far a feature's share of the toxic documents lies from its share of
+    the others, in standard deviations: ``n`` documents have it, ``t`` toxic ones."""
+    p = n / docs
+    return (t / toxic - (n - t) / (docs - toxic)) / F.sqrt(
+        F.greatest(p * (1 - p), F.lit(0.5 / docs)) * (1 / toxic + 1 / (docs - toxic)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES,
         grades: int = GRADES) -> Model | None:
     """The model, or None if the labelled documents are not of both classes or
-    no feature tells them apart."""
+    no feature tells them apart.  A given grade that makes all rows one grade
+    counts as one class."""
     ship(docs.sparkSession)
     rows = written(sample_of(docs, labels, sample), "labelled")
-    n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    halves = {r["half"]: (r["n"], r["t"]) for r in rows.groupBy("half").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).collect()}
+    n, n_toxic = (sum(h[i] for h in halves.values()) for i in (0, 1))
     if not n or not n_toxic or n == n_toxic:
         return None
-    seen = (rows.mapInArrow(_feature_counts, "feature binary, n long, n_toxic long").groupBy("feature")
-            .agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).filter(F.col("n") >= MIN_DOCS))
-    p1, p0 = F.col("n_toxic") / n_toxic, (F.col("n") - F.col("n_toxic")) / (n - n_toxic)
-    p = F.col("n") / n
-    z = (p1 - p0) / F.sqrt(F.greatest(p * (1 - p), F.lit(0.5 / n)) * (1 / n_toxic + 1 / (n - n_toxic)))
-    chosen = (seen.select("feature", z.alias("z")).filter(F.abs("z") >= MIN_Z)
-              .orderBy(F.abs("z").desc(), "feature").limit(max_features).collect())
+    seen = written(rows.mapInArrow(_feature_counts, "feature binary, n0 long, t0 long, n1 long, t1 long").groupBy("feature")
+                   .agg(*[F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]), "features")
+
+    def selected(n_col, t_col, docs: int, toxic: int, only_toxic: bool) -> list:
+        if not toxic or toxic == docs:
+            return []
+        z = _z(n_col, t_col, docs, toxic)
+        far = z if only_toxic else F.abs(z)
+        return (seen.filter(n_col >= MIN_DOCS).select("feature", z.alias("z"), far.alias("far")).filter(F.col("far") >= MIN_Z)
+                .orderBy(F.desc("far"), "feature").limit(max_features).collect())
+
+    chosen = selected(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1"), n, n_toxic, False)
     if not any(r["z"] > 0 for r in chosen):
         return None
     index = {bytes(r["feature"]): i for i, r in enumerate(chosen)}
-    marker = np.array([r["z"] > 0 for r in chosen])
-    blank = Model(index, (), ())
+    # markers of either half, known to the tasks beside the features, and no input of the model
+    known_all = dict(index)
+    markers = [[known_all.setdefault(bytes(r["feature"]), len(known_all))
+                for r in selected(F.col(f"n{h}"), F.col(f"t{h}"), *halves.get(h, (0, 0)), True)] for h in (0, 1)]
+    blank = Model(known_all, (), ())
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = blank.known()
         for batch in batches:
             found = [blank.counts(t, known) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch["toxic"], pa.array([list(c) for c in found], pa.list_(pa.int32())),
+                [batch["toxic"], batch["grade"], batch["half"], pa.array([list(c) for c in found], pa.list_(pa.int32())),
                  pa.array([[min(x, CAP) for x in c.values()] for c in found], pa.list_(pa.int32()))],
-                ["toxic", "cols", "vals"])
+                ["toxic", "grade", "half", "cols", "vals"])
 
     n_features, cuts_wanted = len(chosen), grades
+    counts_for = [np.isin(np.arange(len(known_all)), markers[1 - h]) for h in (0, 1)]      # the other half's
 
     def one_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(key=[tuple(c) + tuple(v) for c, v in zip(pdf["cols"], pdf["vals"])])
-        pdf = pdf.sort_values(["toxic", "key"]).reset_index(drop=True)   # same sums in every run
-        rows_ = np.repeat(np.arange(len(pdf)), pdf["cols"].map(len))
-        cols = np.concatenate([np.asarray(c, int) for c in pdf["cols"]] or [np.empty(0, int)])
-        vals = np.concatenate([np.asarray(v, float) for v in pdf["vals"]] or [np.empty(0)])
-        hits = np.bincount(rows_, marker[cols] * vals, len(pdf))
+        pdf = pdf.assign(key=[tuple(sorted(zip(c, v))) for c, v in zip(pdf["cols"], pdf["vals"])])
+        pdf = pdf.sort_values(["toxic", "half", "key"]).reset_index(drop=True)   # same sums in every run
+        rows_ = np.repeat(np.arange(len(pdf)), pdf["key"].map(len))
+        cols = np.array([c for k in pdf["key"] for c, _ in k], int)
+        vals = np.array([v for k in pdf["key"] for _, v in k], float)
+        half = pdf["half"].to_numpy(int)
+        of_other = np.where(half[rows_] == 0, counts_for[0][cols], counts_for[1][cols])
+        hits = np.bincount(rows_, of_other * vals, len(pdf))
         toxic = pdf["toxic"].to_numpy() > 0
         edges = np.quantile(hits[toxic], [k / cuts_wanted for k in range(1, cuts_wanted)])
         grade = np.where(toxic, 1 + np.searchsorted(np.unique(edges), hits, side="left"), 0)
+        given = pdf["grade"].to_numpy(float)
+        grade = np.where(np.isnan(given), grade, np.nan_to_num(given)).astype(int)
         _, grade = np.unique(grade, return_inverse=True)          # no empty grade
-        w, cuts = fit_cumulative(rows_, cols, vals, grade, n_features, int(grade.max()))
+        own = cols < n_features
+        w, cuts = fit_cumulative(rows_[own], cols[own], vals[own], grade, n_features, int(grade.max()))
         return pd.DataFrame({"weights": [w.tolist()], "cuts": [cuts.tolist()]})
 
-    fitted = (rows.mapInArrow(sparse, "toxic int, cols array<int>, vals array<int>").groupBy(F.lit(0).alias("one"))
+    fitted = (rows.mapInArrow(sparse, "toxic int, grade int, half int, cols array<int>, vals array<int>").groupBy(F.lit(0).alias("one"))
               .applyInPandas(one_fit, "weights array<double>, cuts array<double>").first())
     return Model(index, tuple(fitted["weights"]), tuple(fitted["cuts"]))
 
@@ -239,6 +270,8 @@ def severity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, with all their columns."""
+    """The rows of ``docs`` that are not toxic, with all their columns: null and
+    empty texts stay, as do all rows where the labels tell nothing; repeated rows
+    are judged alike; an empty table gives none."""
     score = _scorer(fit(docs, labels, **options))
     return docs.filter(score(F.col("text"))["p_toxic"] <= 0.5)

@@ -30,6 +30,101 @@ def test_held_out_accuracy(spark):
     assert np.mean([s for _, t, s in got if t]) > 5 * np.mean([s for _, t, s in got if not t])
 
 
+def dense_fit(x, grades, n_cuts):
+    """The cumulative logit by plain dense sums, one document after another."""
+    n, f = x.shape
+    share = [min(max(sum(g > k for g in grades) / n, 1e-4), 1 - 1e-4) for k in range(n_cuts)]
+    start = [-np.log(s / (1 - s)) for s in share]
+    params = np.concatenate([np.zeros(f), start[:1], [np.log(max(b - a, 1e-2)) for a, b in zip(start, start[1:])]])
+    m, v = np.zeros_like(params), np.zeros_like(params)
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    for step in range(1, X.STEPS + 1):
+        w, gaps = params[:f], np.exp(params[f + 1:])
+        cuts = np.concatenate([[params[f]], params[f] + np.cumsum(gaps)])
+        grad_w, grad_cut = X.L2 * w, np.zeros(n_cuts)
+        for row, g in zip(x, grades):
+            s = row @ w
+            hi = logistic(cuts[g] - s) if g < n_cuts else 1.0
+            lo = logistic(cuts[g - 1] - s) if g else 0.0
+            p = max(hi - lo, 1e-12)
+            a, b = hi * (1 - hi) / p, lo * (1 - lo) / p
+            grad_w = grad_w + (a - b) / n * row
+            if g < n_cuts:
+                grad_cut[g] -= a / n
+            if g:
+                grad_cut[g - 1] += b / n
+        tail = np.cumsum(grad_cut[::-1])[::-1]
+        grad = np.concatenate([grad_w, tail[:1], tail[1:] * gaps])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
+        params = params - 0.05 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    return params[:f], np.concatenate([[params[f]], params[f] + np.cumsum(np.exp(params[f + 1:]))])
+
+
+def test_fit_and_scores_by_hand(spark):
+    """Selection, grades by the other half's markers, a dense refit, and every
+    text's severity worked out again."""
+    rnd = random.Random(12)
+    bad, good = ["vile", "scum", "filthy", "rot"], ["fine", "day", "sun", "tree", "walk", "bread"]
+    texts = {i: " ".join(rnd.choice(bad if i % 3 == 0 and rnd.random() < 0.5 else good) for _ in range(rnd.randint(3, 12))) for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    rows = X.sample_of(docs, lab).collect()
+    assert len(rows) == 120 and {r.half for r in rows} == {0, 1}
+
+    def counted(text):
+        out = {}
+        for w in (text or "").lower().encode().split():
+            for f in X.features_of(w):
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    def z_of(some):
+        n, t = len(some), sum(r.toxic for r in some)
+        seen = {}
+        for r in some:
+            for f in counted(r.text):
+                c = seen.setdefault(f, [0, 0])
+                c[0], c[1] = c[0] + 1, c[1] + r.toxic
+        return {f: (b / t - (a - b) / (n - t)) / (max(a / n * (1 - a / n), 0.5 / n) * (1 / t + 1 / (n - t))) ** 0.5
+                for f, (a, b) in seen.items() if a >= X.MIN_DOCS}
+    z = z_of(rows)
+    chosen = sorted((f for f in z if abs(z[f]) >= X.MIN_Z), key=lambda f: (-abs(z[f]), f))
+    markers = [{f for f, x in z_of([r for r in rows if r.half == h]).items() if x >= X.MIN_Z} for h in (0, 1)]
+    hits = [sum(min(n, X.CAP) for f, n in counted(r.text).items() if f in markers[1 - r.half]) for r in rows]
+    edges = sorted(set(np.quantile([h for h, r in zip(hits, rows) if r.toxic], [k / X.GRADES for k in range(1, X.GRADES)])))
+    raw = [1 + sum(h > e for e in edges) if r.toxic else 0 for h, r in zip(hits, rows)]
+    grades = [sorted(set(raw)).index(g) for g in raw]
+    assert max(grades) >= 2                                   # the other half's markers tell grades apart
+    x = np.array([[min(counted(r.text).get(f, 0), X.CAP) for f in chosen] for r in rows], float)
+    weights, cuts = dense_fit(x, grades, max(grades))
+    model = X.fit(docs, lab)
+    place = {f: i for f, i in model.index.items()}
+    assert set(place) == set(chosen)
+    assert np.allclose([model.weights[place[f]] for f in chosen], weights, atol=1e-6) and np.allclose(model.cuts, cuts, atol=1e-6)
+    for r in X.severity(docs, lab).collect():
+        c = counted(texts[r.doc_id])
+        score = sum(weights[i] * min(c.get(f, 0), X.CAP) for i, f in enumerate(chosen))
+        above = [1 / (1 + np.exp(t - score)) for t in cuts]
+        assert abs(r.expected_severity - sum(above)) < 1e-5 and abs(r.p_toxic - above[0]) < 1e-5
+        assert r.toxic == (above[0] > 0.5)
+        shares = [a - b for a, b in zip([1.0, *above], [*above, 0.0])]
+        assert r.grade == shares.index(max(shares))
+
+
+def test_given_grades_and_calibration(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = X.severity(docs, labels.filter("doc_id % 2 = 0")).filter("doc_id % 2 = 1").collect()
+    got = [(r.p_toxic, truth[r.doc_id]) for r in got if truth.get(r.doc_id) is not None]
+    # held-out rows: the mean probability is the share of toxic ones
+    assert abs(np.mean([p for p, _ in got]) - np.mean([t for _, t in got])) < 0.03
+    few = spark.createDataFrame([(i, ["fine day", "vile day", "vile scum"][i % 3] + " words here") for i in range(300)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 > 0), i % 3) for i in range(240)], "doc_id long, toxic int, grade int")
+    for r in X.severity(few, lab).collect():
+        assert r.grade == r.doc_id % 3
+
+
 def test_toxicity_edges(spark):
     rows = [(i, ("vile scum " if i % 2 else "fine day ") + "word " * 5, "k") for i in range(200)]
     rows += [(900, None, "k"), (901, "", "k"), (None, "scum vile", "k"), (902, "word " * 200000, "k"), (1, rows[1][1], "k")]
