@@ -162,3 +162,54 @@ def test_a_suffix_table_of_the_callers(spark):
     got = {r.host: r for r in R.judge(*pages_of(spark, counts), suffixes=table).collect()}
     for host, (mean, _, _) in by_hand(counts, table).items():
         assert abs(got[host].bad_rate - mean) < 1e-9
+
+
+def linked_by_hand(text, gap=S.GAP):
+    """(base, linked) spans of a text: every pair of parts looked at."""
+    found = {}
+    for kind, role, weak, pattern, least, group in S.KINDS:
+        found[kind] = [m.span() for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    base = [(s, k, e) for k, (kind, _, weak, *_) in enumerate(S.KINDS) if not weak for s, e in found[kind]]
+    weak = [(s, k, e) for k, (kind, _, w, *_) in enumerate(S.KINDS) if w for s, e in found[kind]]
+    if len(base) + len(weak) <= 1:
+        return base, set()
+    weak = [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    parts = [(p, S.KINDS[p[1]][1], S.KINDS[p[1]][2]) for p in base + weak]
+    near = lambda a, b: max(a[0], b[0]) - min(a[2], b[2]) <= gap
+    out, proven = set(), set()
+    for p, role, is_weak in parts:
+        for q, other, other_weak in parts:
+            if role == "id" and other == "secret" and near(p, q):
+                proven.add(q)
+                out |= {x for x, w in ((p, is_weak), (q, other_weak)) if w}
+    for p, role, _ in parts:
+        for q, other, other_weak in parts:
+            if role == "endpoint" and other == "secret" and near(p, q) and (not other_weak or q in proven):
+                out.add(p)
+    return base, out
+
+
+def test_linking_against_all_pairs(spark):
+    """A planted table of scattered parts: the interval join decides which weak
+    ones are reported, and leaves as many out."""
+    rnd = random.Random(17)
+    tail = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    part = [lambda: "AKIA" + tail(16, "ABCDEFGH2345"), lambda: "login = bob" + tail(2, "123"), lambda: tail(36, "ABCDEFabcdef+/GHIJ12"),
+            lambda: "password: " + tail(9, "xyz12"), lambda: tail(30, "0123456789abcdef"), lambda: "https://h" + tail(3, "abc") + ".example/p",
+            lambda: "ASIA" + tail(14, "XYZ12"), lambda: "é word " * rnd.randint(1, 60)]
+    texts = []
+    for _ in range(400):
+        text = ""
+        for _ in range(rnd.randint(1, 8)):
+            text += rnd.choice(part)() + " " * rnd.choice([1, 5, 150, 199, 200, 201, 400])
+        texts.append(text)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3])], "doc_id long, text string").repartition(4)
+    decided = left_out = 0
+    by_id = dict(enumerate(texts)) | {None: texts[0]}
+    for r in S.scan(df).collect():
+        base, linked = linked_by_hand(by_id[r.doc_id])
+        assert {tuple(x) for x in r.base} == set(base)
+        assert {tuple(x) for x in r.linked} == linked
+        decided += len(linked)
+        left_out += sum(len(re.findall(p, by_id[r.doc_id], re.ASCII)) for _, _, w, p, *_ in S.KINDS if w) - len(linked)
+    assert decided > 300 and left_out > 300
