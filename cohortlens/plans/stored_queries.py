@@ -34,7 +34,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # ---- catalog of stored data (S3-S6) ----------------------------------------------
 
 def _footers(spark, sf_dir, *tables):
-    found = FT.footers(spark, *[f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables])
+    found = FT.file_footers(spark, *[f"{sf_dir.rstrip('/')}/{t}.parquet" for t in tables])
     return found.withColumn("table_name", F.regexp_extract("file", r"([^/]+)\.parquet(/[^/]*)?$", 1))
 
 

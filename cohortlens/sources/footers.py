@@ -69,7 +69,7 @@ def _read_footers():
     return run
 
 
-def footers(spark: SparkSession, *paths: str) -> DataFrame:
+def file_footers(spark: SparkSession, *paths: str) -> DataFrame:
     """One row per file and column of the Parquet files at ``paths`` (files,
     folders or patterns; partition folders are followed).
 
@@ -85,7 +85,7 @@ def footers(spark: SparkSession, *paths: str) -> DataFrame:
 def stored_inventory(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., column_name, data_type, ordinal_position, n_files, n_rows,
     null_count): the columns as stored, one row per type a column has in some
-    file.  ``by`` names grouping columns added to ``footers`` (a table's name)."""
+    file.  ``by`` names grouping columns added to ``file_footers`` (a table's name)."""
     return (found.filter(F.col("column_name").isNotNull()).groupBy(*by, "column_name", "data_type")
             .agg(F.min("ordinal_position").alias("ordinal_position"), F.count(F.lit(1)).alias("n_files"),
                  F.sum("n_rows").alias("n_rows"),

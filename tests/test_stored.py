@@ -33,7 +33,7 @@ def drifting(tmp_path):
 
 
 def test_inventory_and_drift_of_a_folder(spark, drifting):
-    found = FT.footers(spark, drifting)
+    found = FT.file_footers(spark, drifting)
     rows = {(r.column_name, r.data_type): r for r in FT.stored_inventory(found).collect()}
     assert set(rows) == {("id", "bigint"), ("id", "string"), ("name", "string"), ("more", "array<double>")}
     r = rows["id", "bigint"]
@@ -49,14 +49,14 @@ def test_inventory_and_drift_of_a_folder(spark, drifting):
 
 
 def test_no_drift_in_like_files(spark, drifting):
-    found = FT.footers(spark, *[f"{drifting}/day={d}" for d in (1, 2, 3)])
+    found = FT.file_footers(spark, *[f"{drifting}/day={d}" for d in (1, 2, 3)])
     assert FT.schema_drift(found).count() == 0
     ok = {r.column_name: (r.data_type, r.ok) for r in FT.validate_stored(found, {"id": "bigint", "name": "int", "gone": "int"}).collect()}
     assert ok == {"id": ("bigint", True), "name": ("string", False), "gone": (None, False)}
 
 
 def test_required_and_validated_columns_of_a_drifting_folder(spark, drifting):
-    found = FT.footers(spark, drifting)
+    found = FT.file_footers(spark, drifting)
     got = {r.column_name: (r.present, r.n_files, r.missing_files) for r in FT.required_stored(found, ["id", "name", "gone"]).collect()}
     assert got == {"id": (True, 6, 0), "name": (False, 5, 1), "gone": (False, 0, 6)}
     assert not any(r.ok for r in FT.validate_stored(found, {"id": "bigint", "name": "string"}).collect())
@@ -76,7 +76,7 @@ def test_footers_read_no_data_page(spark, tmp_path):
     got = {r.column_name: r for r in ST.ranges(ST.read(spark, path)).collect()}
     assert (got["a"].n_rows, got["a"].n_values, got["a"].null_count, got["a"].min_value, got["a"].max_value) == (n, n * 9 // 10, n // 10, 1, n - 1)
     assert (got["b"].min_value, got["b"].max_value, got["s"].n_values, got["s"].min_value) == (0.0, (n - 1) / 4, n, None)
-    assert {r.n_rows for r in FT.stored_inventory(FT.footers(spark, path)).collect()} == {n}
+    assert {r.n_rows for r in FT.stored_inventory(FT.file_footers(spark, path)).collect()} == {n}
     with pytest.raises(Exception):
         spark.read.parquet(path).agg(F.sum("a")).collect()
 
