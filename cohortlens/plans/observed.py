@@ -16,7 +16,6 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from cohortlens.operators.rules import excluded, keep_mask
 from cohortlens.plans import checks as K
 from cohortlens.plans import study as S
 from cohortlens.session import scratch_dir
@@ -35,40 +34,30 @@ class Observed:
     waterfall: dict[str, int]
 
 
-def _true(where: Column | None) -> Column:
-    return F.lit(True) if where is None else where
-
-
 def _ratio(num: int | None, den: int | None, digits: int, factor: int = 1) -> float | None:
     if num is None or not den:
         return None
     return float((Decimal(factor * num) / Decimal(den)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-def _metrics() -> list[Column]:
-    x = F.col(MEASURE)
+def _metrics(figures: list[tuple[str, str, str | None, str | None]]) -> list[Column]:
+    """Running aggregates, from the filters' SQL text: the figures as ``n`` and
+    ``d`` by number, and the accounting, no number derived from another."""
     out = []
-    for i, c in enumerate(K.checks()):
-        rows = _true(c.where)
-        if c.kind in ("count", "share"):
-            out.append(F.count_if(rows).alias(f"n{i}"))
-        if c.kind == "share":
-            out.append(F.count_if(_true(c.of)).alias(f"d{i}"))
-        if c.kind == "mean":
-            out += [F.sum(F.when(rows, x)).alias(f"n{i}"), F.count(F.when(rows, x)).alias(f"d{i}")]
-        if c.kind == "median":
-            out.append(F.percentile_approx(F.when(rows, x), 0.5, ACCURACY).alias(f"n{i}"))
-    # the accounting, each number on its own: nothing is derived from another
-    caught = {c: F.coalesce(excluded(c, codes), F.lit(False)) for c, codes in S.TWO_LAYER_RULES.items()}
-    catches = None
-    for hit in caught.values():
-        catches = hit.cast("int") if catches is None else catches + hit.cast("int")
-    out += [F.count(F.lit(1)).alias("total_records")]
-    out += [F.count_if(hit).alias(f"{c.lower()}_excluded") for c, hit in caught.items()]
-    out += [F.count_if(catches > 1).alias("multi_rule_excluded"),
-            F.count_if((catches == 0) & keep_mask(S.TWO_LAYER_RULES).isNull()).alias("null_excluded"),
-            F.count_if(F.coalesce(keep_mask(S.TWO_LAYER_RULES), F.lit(False))).alias("clean_universe")]
-    return out
+    for i, (_, kind, where, of) in enumerate(figures):
+        rows = where or "true"
+        value = f"CASE WHEN {rows} THEN {MEASURE} END"
+        out += {"count": [f"count_if({rows}) AS n{i}"],
+                "share": [f"count_if({rows}) AS n{i}", f"count_if({of or 'true'}) AS d{i}"],
+                "mean": [f"sum({value}) AS n{i}", f"count({value}) AS d{i}"],
+                "median": [f"percentile_approx({value}, 0.5, {ACCURACY}) AS n{i}"]}[kind]
+    caught = {c: f"coalesce({c} IN ({', '.join(map(str, codes))}), false)" for c, codes in S.TWO_LAYER_RULES.items()}
+    keep = " AND ".join(f"{c} NOT IN ({', '.join(map(str, codes))})" for c, codes in S.TWO_LAYER_RULES.items())
+    catches = " + ".join(f"CAST({hit} AS int)" for hit in caught.values())
+    out += ["count(*) AS total_records", *[f"count_if({hit}) AS {c.lower()}_excluded" for c, hit in caught.items()],
+            f"count_if({catches} > 1) AS multi_rule_excluded", f"count_if({catches} = 0 AND ({keep}) IS NULL) AS null_excluded",
+            f"count_if(coalesce({keep}, false)) AS clean_universe"]
+    return [F.expr(x) for x in out]
 
 
 def observed_store(visits: DataFrame, path: str | None = None) -> Observed:
@@ -80,13 +69,14 @@ def observed_store(visits: DataFrame, path: str | None = None) -> Observed:
     """
     spark = visits.sparkSession
     path = path or scratch_dir(spark, "observed-visits")
-    seen = Observation("base")
-    S.labelled_visits(visits).observe(seen, *_metrics()).write.mode("error").parquet(path)
+    seen, figures = Observation("base"), K.figures_sql()
+    labelled = S.labelled_visits(visits)
+    labelled.observe(seen, *_metrics(figures)).write.mode("error").parquet(path)
     found = seen.get
     expected = {}
-    for i, c in enumerate(K.checks()):
+    for i, (label, kind, _, _) in enumerate(figures):
         n, d = found[f"n{i}"], found.get(f"d{i}")
-        expected[c.label] = (_ratio(n, d, 2, 100) if c.kind == "share" else _ratio(n, d, 1) if c.kind == "mean"
-                             else None if n is None else float(n))
+        expected[label] = (_ratio(n, d, 2, 100) if kind == "share" else _ratio(n, d, 1) if kind == "mean"
+                           else None if n is None else float(n))
     names = [k for k in found if k.endswith("_excluded") or k in ("total_records", "clean_universe")]
-    return Observed(spark.read.parquet(path), expected, {k: found[k] for k in names})
+    return Observed(spark.read.schema(labelled.schema).parquet(path), expected, {k: found[k] for k in names})
