@@ -257,7 +257,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a passage that holds a test item, all columns."""
+    """The rows of ``docs`` without a passage that holds a test item, all columns.
+
+    Null and empty texts stay, as do null ids and repeated rows of clean texts;
+    an empty benchmark keeps every row, an empty table gives none."""
     for index in indexes(benchmark, **options):
         docs = docs.filter(_clean(index)(F.col("text")))
     return docs
