@@ -63,10 +63,8 @@ def coded_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     unmapped -8 in BOARDED, 575 in the HHMM gap) are planted at fixed key
     residues so every exclusion and labelling rule is exercised.
     """
-    o = read_table(spark, sf_dir, "orders",
-                   ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"])
-    return o.select(*[F.expr(f"CAST({sql} AS {'double' if name in _REAL else 'int'})").alias(name)
-                      for name, sql in _CODED.items()])
+    o = read_table(spark, sf_dir, "orders")
+    return o.selectExpr(*[f"CAST({sql} AS {'double' if name in _REAL else 'int'}) AS {name}" for name, sql in _CODED.items()])
 
 
 def read_visits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

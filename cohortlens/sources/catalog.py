@@ -73,10 +73,11 @@ def dataset_shape(df: DataFrame, n_names: int = 10) -> DataFrame:
 
     The row count is a distributed aggregate; the rest is schema metadata.
     """
-    first = ", ".join(df.columns[:n_names])
+    names = df.columns
+    first = ", ".join(names[:n_names])
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows",
-        F.lit(len(df.columns)).cast("int").alias("n_columns"),
+        F.lit(len(names)).cast("int").alias("n_columns"),
         F.lit(first).alias("first_columns"),
     )
 
