@@ -29,9 +29,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts a summary is cut into when no part column is given: by a hash of the
+#: Pieces a summary is cut into when no part column is given: by a hash of the
 #: value, so that the values of a hot group are summarised by many tasks.
-VALUE_PARTS = 64
+VALUE_PIECES = 64
 _STATE = ["_v", "_d_lo", "_d_hi", "_at_hi", "_at_lo", "_rows"]
 
 
@@ -54,29 +54,33 @@ def _points(bounded: DataFrame, by: Sequence[str], step: Column) -> DataFrame:
 
 
 def summarise(df: DataFrame, keys: Sequence[str], value: str, epsilon: float = 0.005,
-              part: str | None = None) -> DataFrame:
+              part: str | None = None, pieces: int | None = None) -> DataFrame:
     """The state of ``value`` per group of ``keys`` and part.
 
-    ``part`` names a column of ``df`` (say the day a row arrived); without
-    one, parts are hashes of the value.  Counting comes first, combined on the
+    ``part`` names a column of ``df`` (say the day a row arrived); without one
+    there is one part, 0.  A group's values of a part are summarised by one task
+    or, by a hash of the value, in ``pieces`` (default 1, and ``VALUE_PIECES``
+    without a part): the promise is the same, the points are more.  Counting comes first, combined on the
     executors, so a value that fills a third of the table is one row by the
     time it is sorted.  NULL values are in no point; NULL keys are a group,
     NULL parts a part.
     """
     keys = list(keys)
     v = F.col(value).cast("double") + F.lit(0.0)
-    of = F.col(part) if part else F.pmod(F.xxhash64(v), F.lit(VALUE_PARTS)).cast("int")
-    counted = df.groupBy(*keys, of.alias("part"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    by = [*keys, "part"]
+    pieces = pieces or (1 if part else VALUE_PIECES)
+    counted = df.groupBy(*keys, (F.col(part) if part else F.lit(0)).alias("part"), v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    counted = counted.withColumn("_piece", F.pmod(F.xxhash64("_v"), F.lit(pieces)))
+    by = [*keys, "part", "_piece"]
     order = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (counted.filter(F.col("_v").isNotNull())
               .withColumn("_up_lo", F.sum("_c").over(order)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
               .select(*by, "_v", "_up_lo", F.col("_up_lo").alias("_up_hi"),
                       (F.col("_up_lo") - F.col("_c")).alias("_bel_lo"), (F.col("_up_lo") - F.col("_c")).alias("_bel_hi"), "_n"))
     step = F.greatest(F.floor(F.lit(float(epsilon)) * F.col("_n")), F.lit(1))
+    by = [*keys, "part"]
     rows = counted.groupBy(*by).agg(F.sum("_c").alias("_rows"))
     zero = [F.lit(None).cast("double").alias("_v"), *[F.lit(0).cast("long").alias(c) for c in _STATE[1:5]]]
-    return _points(ranked, by, step).unionByName(rows.select(*by, *zero, "_rows"))
+    return _points(ranked, [*by, "_piece"], step).drop("_piece").unionByName(rows.select(*by, *zero, "_rows"))
 
 
 def merged_bounds(state: DataFrame, keys: Sequence[str]) -> DataFrame:

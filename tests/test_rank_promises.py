@@ -27,11 +27,11 @@ def truth(values, rank):
 
 
 @pytest.mark.parametrize("epsilon", [0.0, 0.01, 0.1])
-@pytest.mark.parametrize("part", [None, "day"])
-def test_rank_error_within_the_promise(spark, epsilon, part):
+@pytest.mark.parametrize("part,pieces", [(None, None), ("day", None), ("day", 5)])
+def test_rank_error_within_the_promise(spark, epsilon, part, pieces):
     rows = random_rows(11)
     df = spark.createDataFrame(rows, "g string, day int, x double").repartition(7)
-    state = R.summarise(df, ["g"], "x", epsilon, part)
+    state = R.summarise(df, ["g"], "x", epsilon, part, pieces)
     compacted = R.compact(state, ["g"], epsilon, F.col("part") % 3)
     for of, promise in ((state, epsilon), (compacted, 2 * epsilon)):
         got = {r.g: r for r in R.boundaries(of, ["g"], 4).collect()}
@@ -77,7 +77,7 @@ def test_reruns_are_identical_and_states_merge(spark, tmp_path):
 def test_points_stay_few(spark):
     df = spark.range(200_000).select(F.lit(1).alias("g"), (F.col("id") * 7919 % 199_999).cast("double").alias("x"))
     state = R.summarise(df, ["g"], "x", 0.01).filter(F.col("_v").isNotNull())
-    assert state.count() <= R.VALUE_PARTS * (2 * 110 + 2)
+    assert state.count() <= R.VALUE_PIECES * (2 * 110 + 2)
     assert R.compact(state, ["g"], 0.01).count() < 230
 
 
