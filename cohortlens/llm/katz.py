@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,17 +52,19 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 # ---- small encodings ----------------------------------------------------------
 
 def _planes(x) -> bytes:
-    """Unsigned integers byte plane by byte plane, as many as the largest needs."""
+    """Unsigned integers byte plane by byte plane, as many as the largest needs,
+    packed: counts are mostly small, which the shuffle's own codec leaves
+    unused, as it codes repeats only."""
     x = np.ascontiguousarray(x, np.uint64)
     n = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(x.view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes())
 
 
 def _from_planes(b: bytes, n: int) -> np.ndarray:
     """The ``n`` integers of ``_planes``."""
     out = np.zeros((n, 8), np.uint8)
     if n:
-        planes = np.frombuffer(b, np.uint8).reshape(-1, n)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(-1, n)
         out[:, :len(planes)] = planes.T
     return out.view(np.int64).ravel()
 
@@ -276,7 +279,7 @@ def _ask_bigrams(parts: int, uni_parts: int, salt_tokens: int):
             for p, i, j in q.cuts:
                 runs, pairs = q.run_order[i:j], q.pair_order[q.first_pair[i]:q.first_pair[j]]
                 w = np.ascontiguousarray(q.w48[pairs]).view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append((p, b.id, q.run_key[runs].tobytes(), q.salted[runs].astype(np.uint8).tobytes(),
+                rows.append((p, b.id, q.run_key[runs].tobytes(), _planes(q.salted[runs]),
                              _planes(q.run_length[i:j]), w.tobytes(), _planes(q.counts[pairs]),
                              _planes(trained[q.word[pairs]])))
         return pd.DataFrame(rows, columns=["part", "block", "runs", "salted", "lengths", "words", "counts", "unigrams"])
@@ -317,8 +320,8 @@ def _answer_bigrams(unigrams: Unigrams, k: int):
         for block, r, n, m, s in zip(frame["block"], runs, lengths, sizes, frame["salted"]):
             mine, counts = of_run[at_run:at_run + len(r)], count[of[at:at + m]]
             unseen = np.bincount(np.repeat(np.arange(len(r)), n), counts == 0, len(r)) > 0
-            told = np.flatnonzero(unseen | (np.frombuffer(s, np.uint8) > 0))
-            rows.append((part, block, _planes(counts), has_low[mine].astype(np.uint8).tobytes(), _planes(told),
+            told = np.flatnonzero(unseen | (_from_planes(s, len(r)) > 0))
+            rows.append((part, block, _planes(counts), _planes(has_low[mine]), _planes(told),
                          _planes(low[mine[told]].ravel()), mass[mine[told]].tobytes(), None))
             at_run, at = at_run + len(r), at + m
         rows.append((part, -1, *[None] * 5, _tally(count, k)))
@@ -359,7 +362,7 @@ def _score(parts: int, uni_parts: int, salt_tokens: int, unigrams: Unigrams, d:
                 mine = q.pair_order[q.first_pair[i]:q.first_pair[j]]
                 count[mine] = _from_planes(a["counts"], len(mine))
                 contexts = q.run_context[q.run_order[i:j]]
-                np.logical_or.at(has_low, contexts, np.frombuffer(a["has_low"], np.uint8) > 0)
+                np.logical_or.at(has_low, contexts, _from_planes(a["has_low"], j - i) > 0)
                 masses = np.frombuffer(a["mass"])
                 told = contexts[_from_planes(a["told"], len(masses))]
                 np.add.at(low, told, _from_planes(a["low"], len(masses) * k).reshape(-1, k))
