@@ -8,14 +8,16 @@ that a passage covers.  Everything above it is retrieved, then verified on
 word shingles: the shares of question and answer words that lie in a shingle
 the passage has too.
 
-The index is cut into pieces of bounded size by a hash of the item; each piece
-passes all documents in turn, so no piece larger than its bound is sent to the
-executors, however many items there are.
+The index is cut into pieces of bounded item text by a hash of the item, stored
+as files in the shared scratch folder.  Documents are read once: a worker takes
+a batch of them through all pieces, reading one piece, freeing it, and reading
+the next, so it holds one at a time however many items there are.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -24,10 +26,11 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import ship, written
+from cohortlens.llm.common import ship, store_of, written
+from cohortlens.session import scratch_dir
 
 THRESHOLD = 0.5
 SHINGLE = 5
@@ -226,11 +229,46 @@ def indexes(benchmark: DataFrame, threshold: float = THRESHOLD, piece_bytes: int
             yield [Index(c, idf, mean, threshold) for _, c in sorted(classes.items())]
 
 
-def _search(index: list[Index]):
+def stored(spark: SparkSession, found: Iterator[list[Index]]) -> list[str]:
+    """The pieces as files in the shared scratch folder, made one at a time."""
+    folder, paths = scratch_dir(spark, "llm", "pieces"), []
+    for index in found:
+        paths.append(f"{folder}/{len(paths)}")
+        store, at = store_of(paths[-1])
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        with store.open_output_stream(at, compression="zstd") as f:
+            f.write(pickle.dumps(index))
+        del index
+    return paths
+
+
+class Pieces:
+    """Stored pieces, read one after another by a worker."""
+
+    def __init__(self, paths: list[str]) -> None:
+        self.paths, self.path, self.index = paths, None, []
+
+    def through(self, texts: list) -> Iterator[tuple[int, dict]]:
+        """(place of the text, hits) for every piece and text.  Passes go to and
+        fro, so the piece that ends one is at hand for the next."""
+        for path in self.paths if self.path != self.paths[-1] else self.paths[::-1]:
+            if path != self.path:
+                self.index = []      # freed before the next is read
+                store, at = store_of(path)
+                with store.open_input_stream(at, compression="zstd") as f:
+                    self.index, self.path = pickle.loads(f.read()), path
+            for i, text in enumerate(texts):
+                for one in self.index:
+                    yield i, one.hits(text)
+
+
+def _search(paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(paths)
         for batch in batches:
-            rows = [(d, item, *best) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())
-                    for one in index for item, best in one.hits(t).items()]
+            ids = batch["doc_id"].to_pylist()
+            rows = [(ids[i], item, *best) for i, hits in pieces.through(batch["text"].to_pylist())
+                    for item, best in hits.items()]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.float64()) for c in cols[2:])],
@@ -250,10 +288,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     table gives no row.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.sparkSession.createDataFrame([], _HITS)
-    for index in indexes(benchmark, **options):
-        found = found.unionByName(rows.mapInArrow(_search(index), _HITS))
-    return found
+    paths = stored(rows.sparkSession, indexes(benchmark, **options))
+    return rows.mapInArrow(_search(paths), _HITS) if paths else rows.sparkSession.createDataFrame([], _HITS)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -261,13 +297,17 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
     Null and empty texts stay, as do null ids and repeated rows of clean texts;
     an empty benchmark keeps every row, an empty table gives none."""
-    for index in indexes(benchmark, **options):
-        docs = docs.filter(_clean(index)(F.col("text")))
-    return docs
+    paths = stored(docs.sparkSession, indexes(benchmark, **options))
+    return docs.filter(_clean(paths)(F.col("text"))) if paths else docs
 
 
-def _clean(index: list[Index]):
+def _clean(paths: list[str]):
     @F.pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([not any(one.hits(t) for one in index) for t in texts], dtype=bool)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        pieces = Pieces(paths)
+        for texts in batches:
+            clean = np.ones(len(texts), bool)
+            for i, hits in pieces.through(texts.tolist()):
+                clean[i] &= not hits
+            yield pd.Series(clean)
     return of

@@ -182,12 +182,32 @@ def test_leaks(spark):
     want = {(100 + i, i) for i in range(40)} | {(None, 3), (202, 4), (203, 50), (205, 53)}
     for pieces in ({}, {"piece_bytes": 2000}):
         assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench, **pieces).collect()} == want
-    kept = D.keep_clean(docs, bench)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == set(range(60)) | {200, 201, 204}
+        kept = D.keep_clean(docs, bench, **pieces)
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == set(range(60)) | {200, 201, 204}
+    assert D.keep_clean(docs, bench.limit(0)).count() == docs.count()
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_one_piece_at_a_time(spark, monkeypatch):
+    """All pieces meet all texts; the piece that ends a pass isn't read again."""
+    bench = spark.createDataFrame([(i, f"what is the colour of thing{i}? it is blue{i} as ever and always") for i in range(40)],
+                                  "item_id long, text string")
+    paths = D.stored(spark, D.indexes(bench, piece_bytes=600))
+    assert len(paths) > 2
+    read, store_of = [], D.store_of
+    monkeypatch.setattr(D, "store_of", lambda path: read.append(path) or store_of(path))
+    texts, pieces = [r.text for r in bench.orderBy("item_id").collect()] + [None, ""], D.Pieces(paths)
+    for _ in range(3):
+        found = {(i, item) for i, hits in pieces.through(texts) for item in hits}
+        assert found == {(i, i) for i in range(40)}
+    assert len(read) == 3 * len(paths) - 2
+    alone, before = D.Pieces(paths[:1]), len(read)
+    for _ in range(3):
+        list(alone.through(texts))
+    assert len(read) == before + 1
+
+
 def slow_winnow(text, k, w):
     """Positions by the definition: least of each window, rightmost on ties."""
     codes = np.array([ord(c) for c in text], np.uint32)
